@@ -8,7 +8,8 @@ element differ in all slots, which lowers the variance against independent permu
 Grouping. Documents with one set are one class, held by its smallest id. Classes that share a band are candidates:
 first every class is compared with the smallest class of each of its buckets, on the full sets, and linked classes are
 joined; then, in buckets that still hold classes of several components, every class outside the bucket's largest
-component is compared with all classes of other components. No bucket is capped and pairs inside one component are
+component is compared with all classes of other components. A bitmap of each set tells, without error, most pairs that
+can't be similar enough: every bit that one set has and the other lacks is an element that isn't shared. No bucket is capped and pairs inside one component are
 never made, so large groups of copies cost a comparison per member and band, not per pair.
 
 Nulls, empty texts: the empty set, linked with nothing. Fewer words than the shingle: the whole sequence is one shingle.
@@ -44,6 +45,8 @@ class Params:
     bands: int = 24
     rows: int = 5
     bloom_bits: int = 1 << 26
+    sketch_longs: int = 32
+    block: int = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -133,6 +136,7 @@ def _signature_batches(params: Params):
             n = batch.num_rows
             sizes, fp = np.zeros(n, np.int64), np.zeros((n, 2), U)
             bands = np.zeros((n, params.bands), U)
+            sketch = np.zeros((n, params.sketch_longs), U)
             for a, elements, starts in shingle_sets(data, offsets, params.shingle):
                 own = np.diff(starts)
                 b = a + len(own)
@@ -148,10 +152,13 @@ def _signature_batches(params: Params):
                 for r in range(params.rows):
                     s = words.mix(s + sig[:, :, r])
                 bands[a:b] = s
-            flat = pa.array(_signed(bands).reshape(-1))
+                bit = words.mix(elements + U(7)) % U(params.sketch_longs * 64)
+                cell = (a + np.repeat(np.arange(len(own)), own)) * params.sketch_longs + (bit >> U(6)).astype(np.int64)
+                np.bitwise_or.at(sketch.reshape(-1), cell, U(1) << (bit & U(63)))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(_signed(x).reshape(-1))) for x in (bands, sketch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(_signed(fp[:, 0])), pa.array(_signed(fp[:, 1])), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * params.bands), flat)],
-                ["doc_id", "n_shingles", "fp_a", "fp_b", "bands"],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(_signed(fp[:, 0])), pa.array(_signed(fp[:, 1])), *lists],
+                ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "sketch"],
             )
 
     return run
@@ -217,6 +224,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
     return shared.cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify_batches(params.similarity), "a long, b long"), "links")
 
 
+def _crossing(own: DataFrame, params: Params) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that their bitmaps allow, each from its first shared band.
+
+    A bucket is dealt into blocks of about `block` members against blocks of about `block` members outside its largest
+    component, so a task never holds a whole bucket; comparisons are in numpy, and only what is left becomes rows.
+    """
+    blocks = F.ceil(F.col("size") / params.block).cast("int")
+    own = own.withColumn("_n", blocks).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    row = "concat(transform(sequence(0, _n - 1), i -> struct(i as i, _k as j, false as minor)), if(component <> largest, transform(sequence(0, _n - 1), j -> struct(_k as i, j as j, true as minor)), array()))"
+    dealt = own.withColumn("_at", F.explode(F.expr(row))).select("band", "bucket", "_at.i", "_at.j", "_at.minor", "id", "n", "component", "head", "bands", "sketch")
+    key = ["band", "bucket", "i", "j"]
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = params.similarity
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = np.stack([table[k].to_numpy().astype(np.int64) for k in key])
+            cuts = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)), [table.num_rows]])
+            yield from groups(table, cuts[:-1])
+            rest = table.slice(int(cuts[-2])) if len(cuts) > 1 else None
+        if rest is not None and rest.num_rows:
+            yield from groups(rest, np.array([0, rest.num_rows]))
+
+    def groups(table, cuts):
+        if len(cuts) < 2:
+            return
+        ids, sizes, component, head, band = (table[k].to_numpy() for k in ("id", "n", "component", "head", "band"))
+        minor = table["minor"].to_numpy()
+        bands, sketch = (table[k].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) for k in ("bands", "sketch"))
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            o = lo + np.flatnonzero(~minor[lo:hi])
+            for m in (lo + np.flatnonzero(minor[lo:hi])).tolist():
+                c = o[(component[o] != component[m]) & (head[o] != ids[o]) & (head[o] != ids[m]) & (100 * np.minimum(sizes[o], sizes[m]) >= s * np.maximum(sizes[o], sizes[m]))]
+                if len(c):
+                    x, y = sketch[c], sketch[m]
+                    most = np.minimum(sizes[c] - np.bitwise_count(x & ~y).sum(axis=1), sizes[m] - np.bitwise_count(y & ~x).sum(axis=1))
+                    c = c[(100 + s) * most >= s * (sizes[c] + sizes[m])]
+                if len(c):
+                    c = c[(bands[c] == bands[m]).argmax(axis=1) == band[m]]
+                    a.append(np.minimum(ids[c], ids[m]))
+                    b.append(np.maximum(ids[c], ids[m]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    found = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return found.distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b): the smallest id reachable. Labels jump along links and labels.
 
@@ -242,9 +300,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs (doc_id, text)."""
     shared.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
-    sig = shared.cut(docs.mapInArrow(_signature_batches(params), "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"), "signatures")
+    sig = shared.cut(docs.mapInArrow(_signature_batches(params), "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sketch array<long>"), "signatures")
     classes = shared.cut(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp_a", "fp_b", "n_shingles").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("x")).select("fp_a", "fp_b", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")),
+        sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp_a", "fp_b", "n_shingles").agg(F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("x")).select("fp_a", "fp_b", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")),
         "classes",
     )
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
@@ -255,16 +313,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     links = _verified(shared.cut(first, "pairs"), docs, params)
     found = components(links)
     own = members.join(found, "id", "left").select("id", "n", "band", "bucket", "head", F.coalesce("component", "id").alias("component"))
-    mixed = own.groupBy("band", "bucket", "component").agg(F.count("*").alias("c")).groupBy("band", "bucket").agg(F.max_by("component", "c").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    own = own.join(mixed, ["band", "bucket"])
-    minor = own.where("component <> largest").select("band", "bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    second = minor.join(own, ["band", "bucket"]).where((F.col("component") != F.col("cx")) & (F.col("head") != F.col("id")) & (F.col("head") != F.col("x")) & (100 * F.least("n", "nx") >= s * F.greatest("n", "nx")))
-    second = shared.cut(second.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
+    mixed = own.groupBy("band", "bucket", "component").agg(F.count("*").alias("c")).groupBy("band", "bucket").agg(F.max_by("component", "c").alias("largest"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1").drop("parts")
+    own = own.join(mixed, ["band", "bucket"]).join(classes.select("id", "bands", "sketch"), "id")
+    second = shared.cut(_crossing(own, params), "pairs")
     if second.limit(1).count():
         links = shared.cut(links.union(_verified(second, docs, params)), "links")
         found = components(links)
     owners = classes.select("fp_a", "fp_b", F.col("n").alias("n_shingles"), "id").join(found, "id", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "id").alias("owner"))
-    out = sig.drop("bands").join(owners, ["fp_a", "fp_b", "n_shingles"], "left")
+    out = sig.drop("bands", "sketch").join(owners, ["fp_a", "fp_b", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("owner", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
