@@ -154,19 +154,19 @@ def scan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text"))
     df = df.withColumn("n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
     base_gate = "|".join(p.replace(" ", SEPARATOR) for p, _ in BASE)
-    df = df.withColumn("_gated", F.col("_text").rlike(f"{GATE}|{base_gate}"))
+    df = df.withColumn("_gated", shared.once(F.col("_text").rlike(f"{GATE}|{base_gate}")))
     fold = F.translate(F.regexp_replace("_text", SEPARATOR, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    df = df.withColumn("_norm", F.when(F.col("_gated"), F.concat(F.lit(" "), F.trim(fold), F.lit(" ")))).drop("_text", "_gated")
+    df = df.withColumn("_norm", shared.once(F.when(F.col("_gated"), F.concat(F.lit(" "), F.trim(fold), F.lit(" "))))).drop("_text", "_gated")
     for i, (phrase, _) in enumerate(BASE):
         marked = F.regexp_replace("_norm", f"(?<= )({phrase})(?= )", "\x01$1\x02")
-        df = df.withColumn(f"_base{i}", F.when(F.contains("_norm", F.lit(f" {phrase} ")), F.transform(_places(marked), lambda x: x["s"])).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_rules", F.when(F.col("_norm").isNotNull(), F.expr(f"filter({flat}, r -> contains(_norm, r.word))")))
+        df = df.withColumn(f"_base{i}", shared.once(F.when(F.contains("_norm", F.lit(f" {phrase} ")), F.transform(_places(marked), lambda x: x["s"])).otherwise(F.array().cast("array<bigint>"))))
+    df = df.withColumn("_rules", shared.once(F.when(F.col("_norm").isNotNull(), F.expr(f"filter({flat}, r -> contains(_norm, r.word))"))))
     each = F.transform("_rules", lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), _places(F.regexp_replace(F.col("_norm"), r["rule"], F.lit("\x01$1\x02"))).alias("at")))
     spans = F.flatten(F.transform(each, lambda r: F.transform(r["at"], lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
-    df = df.withColumn("_spans", F.sort_array(F.coalesce(spans, F.array().cast("array<struct<s:bigint,e:bigint,priority:int,label:string,weight:double>>")))).drop("_rules", "_norm")
+    df = df.withColumn("_spans", shared.once(F.sort_array(F.coalesce(spans, F.array().cast("array<struct<s:bigint,e:bigint,priority:int,label:string,weight:double>>"))))).drop("_rules", "_norm")
     # in this order a span lies inside an earlier one when an earlier end reaches its own
     sweep = "aggregate(_spans, named_struct('far', -1L, 'labels', cast(array() as array<string>), 'score', 0D, 'n', 0L), (a, x) -> if(-x.e <= a.far, a, named_struct('far', -x.e, 'labels', array_union(a.labels, array(x.label)), 'score', greatest(a.score, x.weight), 'n', a.n + 1L)))"
-    df = df.withColumn("_found", F.expr(sweep)).withColumn("_all", F.flatten(F.array(*[F.col(f"_base{i}") for i in range(len(BASE))])))
+    df = df.withColumn("_found", shared.once(F.expr(sweep))).withColumn("_all", shared.once(F.flatten(F.array(*[F.col(f"_base{i}") for i in range(len(BASE))]))))
     base = F.array_compact(F.array(*[F.when(F.size(f"_base{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
     return df.select(
         "doc_id",

@@ -45,3 +45,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def once(value: Column) -> Column:
+    """value, computed once for a row: the optimizer copies no such column into the expressions and filters that use it.
+
+    Without this a column used inside a lambda can be put there whole, and then runs for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
