@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lm, minhash, packing, quality, secrets_scan, shared, sql, sstable, token_count
+from . import decontam, licenses, linedup, lm, minhash, packing, quality, secrets_scan, shared, sql, sstable, token_count
 
 
 def vocabulary_file(name: str) -> str:
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.by_document(shared.documents(spark, sf_dir))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(shared.documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = (op1_minhash, op2_quality, op4_language_model, op5_licenses, op6_packing, op7_token_counts, op8_secrets, op9_sstable, op10_decontamination)
+QUERIES = (op1_minhash, op2_quality, op3_line_dedup, op4_language_model, op5_licenses, op6_packing, op7_token_counts, op8_secrets, op9_sstable, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

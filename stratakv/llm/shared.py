@@ -53,3 +53,8 @@ def once(value: Column) -> Column:
     Without this a column used inside a lambda can be put there whole, and then runs for every element.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def constant(values, kind: str) -> Column:
+    """An array column of one fixed-size table of numbers; the optimizer folds it into a single literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
