@@ -1,14 +1,16 @@
 """Lines that are near copies of earlier lines, by an exact set-similarity join.
 
-A line is the set of its words. Lines with fewer than `min_tokens` words are left alone. Lines with one set are a class,
+A line is the set of its tokens, and a token is a pair of words that stand side by side: single words are so common that
+a join on them meets mostly lines that have nothing else in common (13.5 million pairs on 0.5 GB, against a few ten
+thousand). Lines with fewer than `min_words` words are left alone. Lines with one set are a class,
 placed where it first occurs (doc_id, then line number). Two classes are linked when 100 * |both| >= similarity * |either|.
 A line goes if its class occurred before, or if an earlier class is linked with its class.
 
-The join. Words get one global order, rare ones first: by the count of the word's hash bucket over all texts, then by
-hash; any order is exact, and the buckets are a table of fixed size. In that order similar sets share a word among their
+The join. Tokens get one global order, rare ones first: by the count of the token's hash bucket over all texts, then by
+hash; any order is exact, and the buckets are a table of fixed size. In that order similar sets share a token among their
 first |x| - ceil(s |x|) + 1 (the prefix), which is the join key. The length filter, the positional filter (what can still
-be shared after the places of the common word) and a bitmap of each set (a bit that only one set has is a word that is
-not shared) refuse most pairs inside the join; what is left is verified on the whole sets, made again from the texts.
+be shared after the places of the common token) refuse most pairs inside the join; what is left is verified on the whole sets,
+made again from the texts.
 Classes, not lines, are joined, so a line that a third of all documents hold is one row; Spark may split any key.
 
 Built-in functions only. A null text has no lines. Repeated rows (equal doc_id) count as later copies of each other's
@@ -29,17 +31,23 @@ from . import shared
 @dataclass(frozen=True)
 class Params:
     similarity: int = 80
-    min_tokens: int = 4
+    min_words: int = 4
     buckets: int = 1 << 16
 
 
 GAP = r"[\\x20\\x09-\\x0D]+"
 
 
+def _pairs(words: str) -> str:
+    """Hashes of the word pairs of an array of words."""
+    return f"zip_with(slice({words}, 1, greatest(size({words}) - 1, 0)), slice({words}, 2, greatest(size({words}) - 1, 0)), (a, b) -> xxhash64(a, b))"
+
+
 def _ranks(docs: DataFrame, params: Params) -> np.ndarray:
-    """Words by bucket over all texts: a fixed number of counts for the driver."""
-    worded = docs.select(F.explode_outer(F.expr(f"split(_text, '{GAP}')")).alias("w"))
-    counts = worded.where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(params.buckets)).cast("int").alias("b")).agg(F.count("*").alias("c")).toArrow()
+    """The place of each hash bucket by its tokens over all texts: a fixed number of counts for the driver."""
+    worded = docs.withColumn("_w", shared.once(F.expr(f"filter(split(_text, '{GAP}', -1), x -> x <> '')")))
+    tokens = worded.select(F.explode_outer(F.expr(_pairs("_w"))).alias("h")).where("h is not null")
+    counts = tokens.groupBy(F.col("h").bitwiseAND(F.lit(params.buckets - 1)).cast("int").alias("b")).agg(F.count("*").alias("c")).toArrow()
     out = np.zeros(params.buckets, np.int64)
     out[counts["b"].to_numpy()] = counts["c"].to_numpy()
     order = np.lexsort((np.arange(params.buckets), out))
@@ -49,13 +57,16 @@ def _ranks(docs: DataFrame, params: Params) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, ranks: np.ndarray, params: Params) -> DataFrame:
-    """(doc_id, line, tokens) of lines with enough words: distinct word hashes, rare ones first."""
+    """(doc_id, line, tokens) of lines with enough words: distinct tokens in the global order.
+
+    A token is one number, the rank of its bucket above the rest of its hash, so numbers sort as tokens do.
+    """
+    bits = params.buckets.bit_length() - 1
     rows = docs.select("doc_id", F.posexplode_outer(F.split("_text", "\n", -1)).alias("line", "_line")).where("_line is not null")
-    rows = rows.withColumn("_words", shared.once(F.array_distinct(F.expr(f"filter(transform(split(_line, '{GAP}', -1), w -> if(w = '', null, xxhash64(w))), h -> h is not null)"))))
+    rows = rows.withColumn("_w", shared.once(F.expr(f"filter(split(_line, '{GAP}', -1), x -> x <> '')"))).where(F.size("_w") >= params.min_words)
     table = shared.constant(ranks.tolist(), "bigint")
-    ordered = F.transform("_words", lambda h: F.struct(F.get(table, F.pmod(h, F.lit(params.buckets)).cast("int")).alias("r"), h.alias("h")))
-    rows = rows.withColumn("tokens", shared.once(F.when(F.size("_words") >= params.min_tokens, F.transform(F.sort_array(ordered), lambda x: x["h"]))))
-    return rows.where("tokens is not null").select("doc_id", "line", "tokens")
+    number = F.transform(F.expr(_pairs("_w")), lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(params.buckets - 1)).cast("int")), 63 - bits).bitwiseOR(F.shiftrightunsigned(h, bits + 1)))
+    return rows.select("doc_id", "line", shared.once(F.sort_array(F.array_distinct(number))).alias("tokens"))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -66,13 +77,11 @@ def _possible(params: Params, x: str, y: str) -> Column:
     s = params.similarity
     size = lambda c: F.shiftright(f"{c}.at", 24)
     place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit((1 << 24) - 1))
-    lacks = lambda p, q: F.bit_count(F.col(f"{p}.bits").bitwiseAND(F.bitwise_not(F.col(f"{q}.bits"))))
     need = s * (size(x) + size(y))
     return (
         (F.col(f"{x}.id") < F.col(f"{y}.id"))
         & (100 * F.least(size(x), size(y)) >= s * F.greatest(size(x), size(y)))
         & ((100 + s) * F.least(size(x) - place(x), size(y) - place(y)) >= need)
-        & ((100 + s) * F.least(size(x) - lacks(x, y), size(y) - lacks(y, x)) >= need)
     )
 
 
@@ -84,13 +93,12 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     s = params.similarity
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, (size - F.ceil(size * s / 100) + 1).cast("int"))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 17), F.lit(64)).cast("int"))))
-    table = keyed.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits"))
+    table = keyed.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), size.alias("n"), prefix.alias("prefix"))
     table = shared.cut(table, "lines")
     place = F.struct("doc_id", "line")
-    whole = table.groupBy("id", "check", "n").agg(F.min_by(F.struct("prefix", "bits"), place).alias("x"))
+    whole = table.groupBy("id", "check", "n").agg(F.min_by("prefix", place).alias("prefix"))
     at = F.shiftleft(F.col("n").cast("long"), 24)
-    heads = whole.select("id", (F.col("x.bits")).alias("bits"), at.alias("at"), F.posexplode("x.prefix").alias("pos", "token")).select("id", "bits", "token", (F.col("at") + F.col("pos")).alias("at"))
+    heads = whole.select("id", at.alias("at"), F.posexplode("prefix").alias("pos", "token")).select("id", "token", (F.col("at") + F.col("pos")).alias("at"))
     pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & _possible(params, "x", "y"))
     pairs = shared.cut(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     firsts = table.groupBy("id", "check", "n").agg(F.min(place).alias("first"))
@@ -100,7 +108,7 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     small = (lambda df: F.broadcast(df)) if n <= 2_000_000 else (lambda df: df)  # at most 2 million ids of 8 bytes
     some = docs.join(small(wanted.select("doc_id").distinct()), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi") if n else docs.limit(0)
     sets = _keyed(some, ranks, params).withColumn("id", shared.once(F.xxhash64("tokens")))
-    sets = sets.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    sets = sets.join(small(wanted.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
     sets = shared.cut(sets, "sets")
     both = F.size(F.array_intersect("ta", "tb"))
     checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
