@@ -178,18 +178,23 @@ def _gathered(rows: DataFrame, head, params: Params, parts: int, head_parts: int
     return rows.select("text", "held_out", "key").mapInArrow(run, "part int, blob binary")
 
 
-def _merged(gathered: DataFrame, params: Params, parts: int) -> DataFrame:
+def _merged(gathered: DataFrame, params: Params, parts: int, head_parts: int) -> DataFrame:
     """One row for each part: dishes (word, restaurant, customers), tokens to score, totals of the restaurants."""
-    width = params.restaurants
+    width, per = params.restaurants, -(-params.head // head_parts)
 
     def run(batches):
         held: dict[int, list] = {}
+        sums: dict[int, np.ndarray] = {}  # head words: a fixed number of cells, however many tasks send counts
         for batch in batches:
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
                 data = blob.as_buffer()
-                held.setdefault(p, []).append(_unpacked(data, U, np.int64, np.uint8, bool) if p < parts else _unpacked(data, np.int64, np.int64))
-        for p in sorted(held):
-            columns = [np.concatenate(x) for x in zip(*held.pop(p), strict=True)]
+                if p < parts:
+                    held.setdefault(p, []).append(_unpacked(data, U, np.int64, np.uint8, bool))
+                else:
+                    cell, c = _unpacked(data, np.int64, np.int64)
+                    sums.setdefault(p, np.zeros(per * width, np.int64))[cell - (p - parts) * per * width] += c
+        for p in sorted([*held, *sums]):
+            columns = [np.concatenate(x) for x in zip(*held.pop(p), strict=True)] if p < parts else []
             if p < parts:
                 w, key, context, train = columns
                 distinct, word = np.unique(w, return_inverse=True)
@@ -198,9 +203,9 @@ def _merged(gathered: DataFrame, params: Params, parts: int) -> DataFrame:
                 order = np.lexsort((which, key))  # the same whatever order the blobs came in
                 scored = _packed(key[order], which[order].astype(np.int32))
             else:
-                dish, which = np.unique(columns[0], return_inverse=True)
-                c = np.bincount(which, weights=columns[1]).astype(np.int64)
-                scored = b""
+                all_cells = sums.pop(p)
+                cells = np.flatnonzero(all_cells)
+                dish, c, scored = cells + (p - parts) * per * width, all_cells[cells], b""
             seen = c > 0
             context = dish % width
             yield pa.RecordBatch.from_arrays(
@@ -324,7 +329,7 @@ def _totals(parts: DataFrame, totals: dict, params: Params) -> dict:
 
 
 def _scored(parts: DataFrame, totals: dict, params: Params, n_parts: int, n_train: int) -> DataFrame:
-    """From each part: sums by document key for rarer words; cells and probabilities for head words."""
+    """From each part, packed: sums by document key for rarer words, dealt by key; cells and probabilities for head words."""
 
     def run(batches):
         for batch in batches:
@@ -337,24 +342,44 @@ def _scored(parts: DataFrame, totals: dict, params: Params, n_parts: int, n_trai
                         mean += part.predictive() / params.samples
                         parent += part.parent / params.samples
                 if p >= n_parts:
-                    yield row(cells=_packed(x[0], mean, part.words, parent))
+                    yield row(-1, _packed(x[0], mean, part.words, parent))
                     continue
                 key, which = _unpacked(scored.as_buffer(), np.int64, np.int32)
                 seen = np.bincount(part.word, weights=part.c, minlength=part.n_words)[part.word]
                 base = np.log10((seen + 0.5) / (n_train + 0.5 * (totals["v"] + 1)))
                 start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 sums = [np.add.reduceat(v[which], start) for v in (base, np.log10(mean), (seen > 0).astype(np.int64))] if len(key) else [np.zeros(0)] * 3
-                for lo in range(0, len(start), 10_000):
-                    hi = min(len(start), lo + 10_000)
-                    yield row(key[start[lo:hi]], *(v[lo:hi] for v in sums))
+                keys = key[start]
+                deal = (words.mix(keys.view(U)) % U(n_parts)).astype(np.int64)
+                for q in np.unique(deal).tolist():
+                    own = deal == q
+                    yield row(q, _packed(keys[own], *(v[own] for v in sums)))
+
+    def row(deal, blob):
+        return pa.RecordBatch.from_arrays([pa.array([deal], pa.int32()), pa.array([blob], pa.binary())], ["deal", "blob"])
+
+    return parts.select("part", "dishes", "scored").mapInArrow(run, "deal int, blob binary")
+
 
-    def row(key=(), base=(), model=(), known=(), cells=None):
-        n = len(key) if cells is None else 1
-        null = pa.nulls(n)
-        columns = [pa.array(key), pa.array(base), pa.array(model), pa.array(np.asarray(known).astype(np.int64))] if cells is None else [null.cast(t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([cells] * n, pa.binary())], ["key", "base", "model", "known", "cells"])
+def _summed(found: DataFrame) -> DataFrame:
+    """(key, base, model, known): the parts' sums of each document put together."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for q, blob in zip(batch.column("deal").to_pylist(), batch.column("blob"), strict=True):
+                held.setdefault(q, []).append(_unpacked(blob.as_buffer(), np.int64, np.float64, np.float64, np.int64))
+        for q in sorted(held):
+            key, *sums = (np.concatenate(x) for x in zip(*held.pop(q), strict=True))
+            order = np.lexsort((*sums, key))  # the same sum whatever order the blobs came in
+            key = key[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            out = [key[start], *(np.add.reduceat(v[order], start) for v in sums)]
+            for lo in range(0, len(start), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 10_000]) for v in out], ["key", "base", "model", "known"])
 
-    return parts.select("part", "dishes", "scored").mapInArrow(run, "key long, base double, model double, known long, cells binary")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.where("deal >= 0").repartition(n, "deal").mapInArrow(run, "key long, base double, model double, known long")
 
 
 def _head_scores(rows: DataFrame, head, table, params: Params) -> DataFrame:
@@ -387,8 +412,8 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     frequency = np.array([r.c for r in top], np.float64) if top else np.zeros(1)
     head = spark.sparkContext.broadcast(Head(hashes, params))
     n_parts = max(2, int(n * 1.25 * 0.2 / params.part_tokens))
-    head_parts = 8
-    parts = shared.cut(_merged(_gathered(rows, head, params, n_parts, head_parts), params, n_parts), "parts")
+    head_parts = 64
+    parts = shared.cut(_merged(_gathered(rows, head, params, n_parts, head_parts), params, n_parts, head_parts), "parts")
     c, t, singles, pairs = np.zeros(params.restaurants), np.zeros(params.restaurants), 0, 0
     for r in parts.select("customers", "tables", "ones", "twos").toLocalIterator():
         c += np.array(r.customers)
@@ -402,7 +427,7 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     back = (s + totals["d1"] * totals["t"]) / (s + totals["c"])
     unknown = (s + totals["d0"] * totals["t0"]) / (v + 1) / (s + totals["c0"])
     model = np.full((len(hashes), width), unknown)
-    cells = [_unpacked(r.cells, np.int64, np.float64, np.int64, np.float64) for r in found.where("cells is not null").select("cells").toLocalIterator()]
+    cells = [_unpacked(r.blob, np.int64, np.float64, np.int64, np.float64) for r in found.where("deal < 0").select("blob").toLocalIterator()]
     for _, _, word, parent in cells:
         model[word] = parent[:, None]
     model *= back
@@ -412,7 +437,7 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     base = np.log10((frequency + 0.5) / (n + 0.5 * (v + 1))) if top else np.array([log10(0.5 / (0.5 * (v + 1)))])
     table = spark.sparkContext.broadcast((base, model))
     heads = _head_scores(rows, head, table, params)
-    tails = found.where("cells is null").groupBy("key").agg(F.sum("base").alias("base"), F.sum("model").alias("model"), F.sum("known").alias("known"))
+    tails = _summed(found)
     # equal rows share a key: what came back for the key is divided among them
     copies = heads.withColumn("copies", F.count("*").over(Window.partitionBy("key")))
     both = copies.join(tails, "key", "left")
