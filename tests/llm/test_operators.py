@@ -104,12 +104,15 @@ def test_quality(docs, labels, empty):
     assert quality.assess(docs, labels.limit(0)).count() == len(ROWS)
 
 
+FEW = linedup.Params(buckets=64)
+
+
 def test_line_dedup(docs, empty):
-    got = {(r.doc_id, r.line): r for r in linedup.repeats(docs).collect()}
+    got = {(r.doc_id, r.line): r for r in linedup.repeats(docs, FEW).collect()}
     assert not got[0, 0].removed and got[1, 0].removed and got[2, 0].removed
     assert not got[9, 0].removed and got[9, 1].removed
-    assert linedup.repeats(empty).count() == 0
-    kept = linedup.drop_repeats(docs)
+    assert linedup.repeats(empty, FEW).count() == 0
+    kept = linedup.drop_repeats(docs, FEW)
     assert kept.columns == docs.columns
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts[9] == "Apache License, Version 2.0\ncc-by-nc" and 1 not in texts and 6 in texts
