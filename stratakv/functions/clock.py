@@ -37,7 +37,7 @@ def assemble(time: Column, count: Column) -> Column:
 
 def to_timestamp(hlc: Column, with_counter: bool = True) -> Column:
     value = hlc if with_counter else logical_time(hlc)
-    return F.timestamp_micros(((value - F.pmod(value, F.lit(1000))) / 1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", value, F.lit(1000).cast("long")))
 
 
 def stamp(df: DataFrame, order: str, pt: str, received: str | None = None, start: int | None = None, out: str = "hlc") -> DataFrame:
