@@ -1,7 +1,7 @@
 """Lines that are near copies of earlier lines, by an exact set-similarity join.
 
-A line is the set of its tokens, and a token is a run of five words (the whole line, where it has fewer): a join on
-single words or word pairs meets mostly lines that have nothing else in common (13.5 and 8.3 million pairs on 0.5 GB).
+A line is the set of its tokens. `WORDS`, which the pipeline uses, takes single words as tokens, so a changed word costs a
+line one token. The registered query keeps the runs of five words (the whole line, where it has fewer) of its SQL.
 Lines with fewer than `min_words` words are left alone.
 Lines with one set are a class,
 placed where it first occurs (doc_id, then line number). Two classes are linked when 100 * |both| >= similarity * |either|.
@@ -10,8 +10,9 @@ A line goes if its class occurred before, or if an earlier class is linked with
 The join. Tokens get one global order, rare ones first: by the count of its first word's hash bucket over all texts, then
 by hash; any order is exact, and the buckets are a table of fixed size. In that order similar sets share a token among their
 first |x| - ceil(s |x|) + 1 (the prefix), which is the join key. The length filter, the positional filter (what can still
-be shared after the places of the common token) refuse most pairs inside the join; what is left is verified on the whole sets,
-made again from the texts.
+be shared after the places of the common token) refuse most pairs inside the join. Single words also get a bitmap of 128
+bits: each bit that differs is a token that only one side has, which bounds what is shared without error. What is left is
+verified on the whole sets, made again from the texts.
 Classes, not lines, are joined, so a line that a third of all documents hold is one row; Spark may split any key.
 
 Built-in functions only. A null text has no lines. Repeated rows (equal doc_id) count as later copies of each other's
@@ -37,6 +38,8 @@ class Params:
     buckets: int = 1 << 16
 
 
+#: Lines as sets of their words.
+WORDS = Params(shingle=1)
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -76,16 +79,28 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text"))
 
 
+def _masks(params: Params) -> list[Column]:
+    """The bitmap of a line of single words, in two numbers."""
+    if params.shingle > 1:
+        return []
+    bit = "if((t & 64) = {}, shiftleft(1L, cast(t & 63 as int)), 0L)"
+    return [shared.once(F.expr(f"aggregate(tokens, 0L, (a, t) -> a | {bit.format(side)})")).alias(name) for name, side in (("low", 0), ("high", 64))]
+
+
 def _possible(params: Params, x: str, y: str) -> Column:
     s = params.similarity
     size = lambda c: F.shiftright(f"{c}.at", 24)
     place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit((1 << 24) - 1))
     need = s * (size(x) + size(y))
-    return (
+    possible = (
         (F.col(f"{x}.id") < F.col(f"{y}.id"))
         & (100 * F.least(size(x), size(y)) >= s * F.greatest(size(x), size(y)))
         & ((100 + s) * F.least(size(x) - place(x), size(y) - place(y)) >= need)
     )
+    if params.shingle > 1:
+        return possible
+    apart = [F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in ("low", "high")]
+    return possible & ((100 + s) * (size(x) + size(y) - apart[0] - apart[1]) >= 2 * need)
 
 
 def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -96,12 +111,13 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     s = params.similarity
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, (size - F.ceil(size * s / 100) + 1).cast("int"))
-    table = keyed.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), size.alias("n"), prefix.alias("prefix"))
+    table = keyed.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), size.alias("n"), prefix.alias("prefix"), *_masks(params))
     table = shared.cut(table, "lines")
     place = F.struct("doc_id", "line")
-    whole = table.groupBy("id", "check", "n").agg(F.min_by("prefix", place).alias("prefix"))
+    masks = table.columns[6:]
+    whole = table.groupBy("id", "check", "n").agg(*[F.min_by(c, place).alias(c) for c in ("prefix", *masks)])
     at = F.shiftleft(F.col("n").cast("long"), 24)
-    heads = whole.select("id", at.alias("at"), F.posexplode("prefix").alias("pos", "token")).select("id", "token", (F.col("at") + F.col("pos")).alias("at"))
+    heads = whole.select("id", at.alias("at"), F.posexplode("prefix").alias("pos", "token"), *masks).select("id", "token", (F.col("at") + F.col("pos")).alias("at"), *masks)
     pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & _possible(params, "x", "y"))
     pairs = shared.cut(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     firsts = table.groupBy("id", "check", "n").agg(F.min(place).alias("first"))

@@ -118,6 +118,25 @@ def test_line_dedup(docs, empty):
     assert texts[9] == "Apache License, Version 2.0\ncc-by-nc" and 1 not in texts and 6 in texts
 
 
+def test_pipeline_line_dedup_links_lines_by_words(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(11)
+    lines = ["a b c d e f g h i j", "a b c d e X g h i j", "a b c d", "d c b a"]
+    for n in (4, 6, 9, 15, 30, 90, 260):
+        for _ in range(6):
+            w = [f"w{x}" for x in rng.integers(0, 4 * n, n)]
+            lines.append(" ".join(w))
+            for changed in (1, max(1, n // 9), max(1, n // 7)):
+                for i in rng.integers(0, n, changed):
+                    w[i] = f"w{rng.integers(0, 4 * n)}"
+                lines.append(" ".join(w))
+    sets = [frozenset(x.split()) for x in lines]
+    gone = {j for j, y in enumerate(sets) for x in sets[:j] if 100 * len(x & y) >= 80 * len(x | y)}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert {1, 3} <= gone and kept == set(range(len(lines))) - gone
+
+
 def test_language_model(docs, empty):
     got = lm.score(docs, lm.Params(head=16, contexts=4, shared=2, part_tokens=500)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
