@@ -1,8 +1,8 @@
 """License scans: ordered signature rules on normalised words.
 
-A text becomes its words (see below), lower-cased and joined by single spaces. Texts without any of the gate's words are
-not looked at further. A rule has a license, a keyword, a regular expression, a priority and a weight; a rule whose
-keyword is missing is not tried. Matches become word intervals; an interval that lies inside another one is suppressed
+A text becomes its words (see below), lower-cased and joined by single spaces. A rule has a license, keywords, words of its
+form, a regular expression, a priority and a weight; every match holds one of its keywords and one of its form's words, so a
+rule without either is not tried, and texts without any form's word are not looked at further. Matches become word intervals; an interval that lies inside another one is suppressed
 (of equal ones the rule of higher priority stays). What is left gives the labels; the score is the largest weight.
 
 Rules are the product of the table of names below and of the ways in which licenses are stated; base phrases are always
@@ -22,9 +22,9 @@ from . import shared
 #: Phrases that always count, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: License label, keyword, names in normalised words (regular expressions).
+#: License label, keywords (each alternative of the names holds one), names in normalised words (regular expressions).
 NAMES = (
-    ("mit", "mit", "(?:the )?(?:mit|expat|x11)(?: x11| expat)?"),
+    ("mit", "mit expat x11", "(?:the )?(?:mit|expat|x11)(?: x11| expat)?"),
     ("mit-0", "attribution", "mit no attribution"),
     ("apache-1", "apache", "(?:the )?apache (?:software )?(?:license )?(?:version |v)?1(?: [01])?"),
     ("apache-2", "apache", "(?:the )?apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?"),
@@ -33,8 +33,8 @@ NAMES = (
     ("bsd-4-clause", "bsd", "(?:the )?(?:original|old|4 clause|four clause) bsd|bsd 4(?: clause)?"),
     ("bsd", "bsd", "(?:the |a )?bsd(?: style)?"),
     ("isc", "isc", "(?:the )?isc"),
-    ("0bsd", "0bsd", "(?:the )?(?:0bsd|zero clause bsd)"),
-    ("gpl-1", "1", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?v?1(?: 0)?"),
+    ("0bsd", "0bsd zero", "(?:the )?(?:0bsd|zero clause bsd)"),
+    ("gpl-1", "general gpl gpl1 gplv1", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?v?1(?: 0)?"),
     ("gpl-2", "2", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? 2(?: 0)?"),
     ("gpl-2", "gplv2", "(?:the )?(?:gnu )?gplv2"),
     ("gpl-3", "3", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? 3(?: 0)?"),
@@ -71,17 +71,17 @@ NAMES = (
     ("cc-by", "by", "(?:cc|creative commons) by(?: [1234])?(?: [05])?"),
     ("cc-by", "attribution", "(?:a |the )?creative commons attribution(?: [1234] [05])?"),
     ("cc-by-sa", "sa", "(?:cc|creative commons) by sa(?: [1234])?(?: [05])?"),
-    ("cc-by-sa", "sharealike", "(?:a |the )?creative commons attribution share ?alike(?: [1234] [05])?"),
+    ("cc-by-sa", "attribution", "(?:a |the )?creative commons attribution share ?alike(?: [1234] [05])?"),
     ("cc-by-nc", "nc", "(?:cc|creative commons) by nc(?: [1234])?(?: [05])?"),
-    ("cc-by-nc", "noncommercial", "(?:a |the )?creative commons attribution non ?commercial(?: [1234] [05])?"),
+    ("cc-by-nc", "attribution", "(?:a |the )?creative commons attribution non ?commercial(?: [1234] [05])?"),
     ("cc-by-nc-sa", "nc", "(?:cc|creative commons) by nc sa(?: [1234])?(?: [05])?"),
     ("cc-by-nc-nd", "nc", "(?:cc|creative commons) by nc nd(?: [1234])?(?: [05])?"),
     ("cc-by-nd", "nd", "(?:cc|creative commons) by nd(?: [1234])?(?: [05])?"),
-    ("cc-by-nd", "noderivatives", "(?:a |the )?creative commons attribution no ?deriv(?:ative)?s?"),
+    ("cc-by-nd", "attribution", "(?:a |the )?creative commons attribution no ?deriv(?:ative)?s?"),
     ("odbl", "database", "(?:the )?open database"),
-    ("odc-by", "odc", "odc by|open data commons attribution"),
+    ("odc-by", "odc attribution", "odc by|open data commons attribution"),
     ("ofl-1-1", "font", "(?:the )?(?:sil )?open font"),
-    ("python-2", "python", "(?:the )?(?:psf|python software foundation|python)"),
+    ("python-2", "python psf", "(?:the )?(?:psf|python software foundation|python)"),
     ("ruby", "ruby", "(?:the )?ruby"),
     ("php-3", "php", "(?:the )?php"),
     ("openssl", "openssl", "(?:the )?openssl"),
@@ -94,13 +94,13 @@ NAMES = (
     ("elastic-2", "elastic", "(?:the )?elastic"),
 )
 
-#: How a license is stated: name, expression around the name, priority (1 is first), weight.
+#: How a license is stated: name, words of which one is in the expression, expression around the name, priority (1 is first), weight.
 FORMS = (
-    ("identifier", "spdx license identifier {0}(?: only| or later)?", 1, 1.0),
-    ("notice", "(?:released|licensed|distributed|available|provided|made available|published|covered) (?:as free software )?under (?:the terms of )?{0}(?: license| licence)?", 2, 0.95),
-    ("terms", "(?:the )?terms (?:and conditions )?of {0}(?: license| licence)?", 3, 0.85),
-    ("title", "{0} (?:public )?(?:license|licence)", 4, 0.75),
-    ("field", "licen[sc]e {0}", 5, 0.7),
+    ("identifier", "spdx", "spdx license identifier {0}(?: only| or later)?", 1, 1.0),
+    ("notice", "under", "(?:released|licensed|distributed|available|provided|made available|published|covered) (?:as free software )?under (?:the terms of )?{0}(?: license| licence)?", 2, 0.95),
+    ("terms", "terms", "(?:the )?terms (?:and conditions )?of {0}(?: license| licence)?", 3, 0.85),
+    ("title", "license licence", "{0} (?:public )?(?:license|licence)", 4, 0.75),
+    ("field", "license licence", "licen[sc]e {0}", 5, 0.7),
 )
 
 #: Statements without a license's name: label, keyword, expression, priority, weight.
@@ -121,7 +121,6 @@ STATEMENTS = (
     ("cc0", "creativecommons", "creativecommons org publicdomain zero", 2, 0.95),
 )
 
-GATE = "(?i)licen[sc]e|copyright|reserved|public domain|gpl|cc0|(?:cc|commons)[^0-9A-Za-z]+by|redistribut|spdx|confidential|hereby granted|permission to use"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -133,10 +132,17 @@ class Params:
     statements: tuple = STATEMENTS
 
 
-def rules(params: Params) -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, expression, priority, weight), in order."""
-    out = [(label, word, form.format(f"(?:{name})"), priority, weight) for label, word, name in params.names for _, form, priority, weight in params.forms]
-    return sorted([*out, *params.statements], key=lambda r: r[3])
+def rules(params: Params) -> list[tuple[str, str, str, int, float, str]]:
+    """(label, keywords, expression, priority, weight, words of the form), in order."""
+    out = [(label, words, form.format(f"(?:{name})"), priority, weight, held) for label, words, name in params.names for _, held, form, priority, weight in params.forms]
+    return sorted([*out, *((*x, x[1]) for x in params.statements)], key=lambda r: r[3])
+
+
+def gate(params: Params) -> str:
+    """What every text that a rule or base phrase matches holds: a word of a rule's form, or the phrase."""
+    held = sorted({w for r in rules(params) for w in r[5].split()})
+    inside = SEPARATOR[1:-2]
+    return f"(?i)(?:^|[{inside}])(?:{'|'.join(held)})(?:$|[{inside}])|" + "|".join(p.replace(" ", SEPARATOR) for p, _ in BASE)
 
 
 def _places(expression: Column) -> Column:
@@ -150,17 +156,21 @@ def _places(expression: Column) -> Column:
 def scan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """A row for each row of docs: counts, first and last word of base places, labels, score, and the kept spans."""
     table = rules(params)
-    flat = "array(" + ",".join("named_struct('label',{},'word',{},'rule',{},'priority',{},'weight',{}D)".format(*(repr(x) for x in (a, f" {b} ", f"(?<= )({c})(?= )", d, w))) for a, b, c, d, w in table) + ")"
+    held = lambda words: "array(" + ",".join(repr(f" {w} ") for w in words.split()) + ")"
+    each = "named_struct('label',{},'words',{},'rule',{},'priority',{},'weight',{}D)"
+    groups = {form: ",".join(each.format(repr(a), held(b), repr(f"(?<= )({c})(?= )"), d, w) for a, b, c, d, w, f in table if f == form) for form in dict.fromkeys(x[5] for x in table)}
+    flat = "array(" + ",".join(f"named_struct('words',{held(form)},'rules',array({inner}))" for form, inner in groups.items()) + ")"
+    some = lambda x: f"exists({x}.words, w -> contains(_norm, w))"
+    tried = f"filter(flatten(transform(filter({flat}, g -> {some('g')}), g -> g.rules)), r -> {some('r')})"
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text"))
     df = df.withColumn("n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
-    base_gate = "|".join(p.replace(" ", SEPARATOR) for p, _ in BASE)
-    df = df.withColumn("_gated", shared.once(F.col("_text").rlike(f"{GATE}|{base_gate}")))
+    df = df.withColumn("_gated", shared.once(F.col("_text").rlike(gate(params))))
     fold = F.translate(F.regexp_replace("_text", SEPARATOR, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     df = df.withColumn("_norm", shared.once(F.when(F.col("_gated"), F.concat(F.lit(" "), F.trim(fold), F.lit(" "))))).drop("_text", "_gated")
     for i, (phrase, _) in enumerate(BASE):
         marked = F.regexp_replace("_norm", f"(?<= )({phrase})(?= )", "\x01$1\x02")
         df = df.withColumn(f"_base{i}", shared.once(F.when(F.contains("_norm", F.lit(f" {phrase} ")), F.transform(_places(marked), lambda x: x["s"])).otherwise(F.array().cast("array<bigint>"))))
-    df = df.withColumn("_rules", shared.once(F.when(F.col("_norm").isNotNull(), F.expr(f"filter({flat}, r -> contains(_norm, r.word))"))))
+    df = df.withColumn("_rules", shared.once(F.when(F.col("_norm").isNotNull(), F.expr(tried))))
     each = F.transform("_rules", lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), _places(F.regexp_replace(F.col("_norm"), r["rule"], F.lit("\x01$1\x02"))).alias("at")))
     spans = F.flatten(F.transform(each, lambda r: F.transform(r["at"], lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
     df = df.withColumn("_spans", shared.once(F.sort_array(F.coalesce(spans, F.array().cast("array<struct<s:bigint,e:bigint,priority:int,label:string,weight:double>>"))))).drop("_rules", "_norm")

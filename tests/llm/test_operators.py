@@ -159,6 +159,51 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def made(parsed, rng):
+    """A random text that the parsed expression matches."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, at = arg[int(rng.integers(len(arg)))]
+                out += chr(at if str(kind) == "LITERAL" else int(rng.integers(at[0], at[1] + 1)))
+            case "BRANCH":
+                out += made(arg[1][int(rng.integers(len(arg[1])))], rng)
+            case "SUBPATTERN":
+                out += made(arg[3], rng)
+            case "MAX_REPEAT":
+                out += "".join(made(arg[2], rng) for _ in range(int(rng.integers(arg[0], min(arg[1], arg[0] + 8) + 1))))
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_licenses_every_match_of_a_rule_is_found(spark):
+    rng = np.random.default_rng(3)
+    texts = [made(re._parser.parse(r[2]), rng) for r in licenses.rules(licenses.Params()) for _ in range(8)]
+    texts = [t.upper().replace(" ", ".\n") if i % 2 else t for i, t in enumerate(texts)]
+    named = {
+        "released under MIT.": "mit",
+        "Distributed under Apache 2.0": "apache-2",
+        "released under BSD 3-clause": "bsd-3-clause",
+        "Published under the MPL 2.0": "mpl-2",
+        "available under Creative Commons Attribution 4.0": "cc-by",
+        "placed in the public\ndomain": "public-domain",
+        "Expat License": "mit",
+        "X11 license": "mit",
+        "zero clause BSD license": "0bsd",
+        "PSF license": "python-2",
+        "Open Data Commons Attribution License": "odc-by",
+        "licensed under GPLv1": "gpl-1",
+    }
+    docs = spark.createDataFrame(list(enumerate([*named, *texts])), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [t for i, t in enumerate(texts, len(named)) if not got[i].n_detections] == []
+    assert [(t, got[i].labels) for i, (t, label) in enumerate(named.items()) if label not in got[i].labels.split(",")] == []
+
+
 def test_packing(docs, empty):
     path = contract.vocabulary_file("word_bpe_49k.json")
     got = packing.pack(docs, packing.Params(path)).collect()
