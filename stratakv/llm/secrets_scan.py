@@ -26,11 +26,15 @@ from . import shared
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+BEARER = r"A-Za-z0-9+/_.=~-"
+LOGIN = r"://[^\s/:@]+:"
+NAMED = r"(?:pwd|passphrase|private_?key|access_?key|client_?secret|credentials?|auth_?key|signing_?key)[\"']?\x20*[:=]"
 #: Contexts of the method beside the base ones: kind, how to tell that a text may hold one, expression; the value is group 1.
+#: Both are made of the same parts, so no text that an expression matches is passed over.
 CONTEXTS = (
-    ("bearer", r"(?i)bearer\x20+[A-Za-z0-9]", re.compile(r"\bbearer\x20+([A-Za-z0-9+/_.=~-]{16,})", re.I | re.A)),
-    ("login", r"://[^\s/:@]+:[^\s/@]+@", re.compile(r"://[^\s/:@]{1,200}:([^\s/@]{4,200})@")),
-    ("named", r"(?i)(pwd|passphrase|private_?key|access_?key|client_?secret|credential|auth_?key|signing_?key)[\"']?\x20*[:=]", re.compile(r"(?:pwd|passphrase|private_?key|access_?key|client_?secret|credentials?|auth_?key|signing_?key)[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;]{6,})", re.I | re.A)),
+    ("bearer", rf"(?i)bearer\x20+[{BEARER}]", re.compile(rf"\bbearer\x20+([{BEARER}]{{16,}})", re.I | re.A)),
+    ("login", rf"{LOGIN}[^\s/@]+@", re.compile(rf"{LOGIN}([^\s/@]{{4,}})@")),
+    ("named", rf"(?i){NAMED}", re.compile(rf"{NAMED}\x20*[\"']?([^\s\"',;]{{6,}})", re.I | re.A)),
 )
 GATE_BASE = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}",

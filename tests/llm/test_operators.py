@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 pytest.importorskip("stratakv.llm.contract")
@@ -166,6 +167,10 @@ def made(parsed, rng):
         match str(op):
             case "LITERAL":
                 out += chr(arg)
+            case "AT":
+                pass
+            case "IN" if str(arg[0][0]) == "NEGATE":
+                out += "aZ9+~=._%é"[int(rng.integers(10))]
             case "IN":
                 kind, at = arg[int(rng.integers(len(arg)))]
                 out += chr(at if str(kind) == "LITERAL" else int(rng.integers(at[0], at[1] + 1)))
@@ -266,6 +271,21 @@ def test_secrets(docs, empty):
     assert cost("") == 0
 
 
+def test_secrets_gates_pass_every_match(spark):
+    rng = np.random.default_rng(4)
+    for _, gate, pattern in secrets_scan.CONTEXTS:
+        texts = [made(re._parser.parse(pattern.pattern), rng) for _ in range(400)]
+        texts = [t.upper() if i % 2 and pattern.flags & re.I else t for i, t in enumerate(texts)]
+        assert all(pattern.search(t) for t in texts)
+        passed = pa.compute.match_substring_regex(pa.array(texts), gate).to_pylist()
+        assert [t for t, ok in zip(texts, passed, strict=True) if not ok] == []
+    value = "x9Q2kd83LmPz77"
+    long = "".join(chr(97 + int(i)) for i in rng.integers(0, 26, 300))
+    texts = [f"credentials: {value}", f"credential={value}", f"Bearer +/{value}", f"Bearer ~{value}.{value}", f"https://{long}:{value}@host", f"https://me:{long}@host"]
+    got = {r.doc_id: r.spans for r in secrets_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [t for i, t in enumerate(texts) if "guess:" not in got[i]] == []
+
+
 def test_sstable(spark, docs, empty, tmp_path):
     path = contract.vocabulary_file("byte_bpe_50k.json")
     got = [r for r in sstable.round_trip(docs, sstable.Params(path, block_bytes=64)).collect()]
