@@ -1,19 +1,17 @@
 """A hierarchical Pitman-Yor language model, trained on and applied to all documents.
 
-Restaurants. The root serves words; its base is uniform over the vocabulary and one unknown word. Every context has a
-restaurant whose parent is the root: each of the `contexts` commonest words as the word before, and `shared` restaurants
-among which all other words are dealt by hash. A customer (c) of a context who opens a table (t) is a customer of the
+Restaurants. The root serves words; its base is uniform over the vocabulary and one unknown word. Every previous word has
+a restaurant of its own whose parent is the root. A customer (c) of a context who opens a table (t) is a customer of the
 root. With discount d and strength s, P(w|u) = (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u), the root likewise.
 
 Seating is sampled by Gibbs: a customer leaves and is seated again, given everyone else. Dishes with more than `exact`
 customers are seated anew in growing blocks, each with a binomial draw of new tables. Predictive probabilities are
 averaged over the samples of the last pass.
 
-Distribution. All restaurants' customers of one word lie in one part (by the word's hash), so the root's share of a word
-is local; only the totals of the restaurants (a few hundred numbers) go to the driver, between passes. The `head`
-commonest words are parts of their own, counted before they are shuffled, and their probabilities (head x contexts
-numbers, a fixed size) are broadcast; rarer words' tokens are shuffled to their part and come back as sums for each
-document. So no key gathers the tokens of a common word. Every pass can be computed again and gives the same.
+Distribution. A dish is a pair of a previous word and a word. All dishes of one word lie in one part (by the word's hash),
+so the root's share of a word is local. The restaurants' totals are a table by previous word, made anew between passes and
+joined to the dishes; a few numbers go to the driver. Every dish gets its probability, and the documents' pairs are joined
+with the dishes and summed for each document. Passes are written before they are used, so none is drawn twice.
 
 A null text is empty: one end token. A null doc_id belongs to the training side. Repeated rows count and score each.
 Other columns are not looked at. An empty table gives no rows.
@@ -37,7 +35,7 @@ END = int(words.hash_one(b"\n"))  # no word holds a line feed
 
 @dataclass(frozen=True)
 class Params:
-    head: int = 1 << 15
+    head: int = 1 << 15  # head, contexts and shared are not read: no word is pooled or cut
     contexts: int = 120
     shared: int = 8
     strength: float = 1.0
@@ -47,10 +45,6 @@ class Params:
     part_tokens: int = 1_500_000
     seed: int = 20240229
 
-    @property
-    def restaurants(self) -> int:
-        return self.contexts + self.shared
-
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """All token hashes, the end token after each text, and tokens per text."""
@@ -87,141 +81,24 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.where("not held_out").select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-class Head:
-    """The commonest words by hash: place in the head (or -1) and restaurant as a context."""
-
-    def __init__(self, hashes: np.ndarray, params: Params):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-        self.contexts, self.shared = params.contexts, params.shared
-        slot = (self.sorted >> U(44)).astype(np.int64)
-        self.slots = np.full(1 << 20, -1, np.int32)
-        self.slots[slot] = np.arange(len(slot))
-        self.crowded = np.zeros(1 << 20, bool)
-        self.crowded[slot[1:][slot[1:] == slot[:-1]]] = True
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        slot = (h >> U(44)).astype(np.int64)
-        at = self.slots[slot]
-        crowd = np.flatnonzero(self.crowded[slot])
-        if len(crowd):
-            at[crowd] = np.minimum(np.searchsorted(self.sorted, h[crowd]), len(self.sorted) - 1)
-        hit = at >= 0
-        hit[hit] = self.sorted[at[hit]] == h[hit]
-        out = np.full(len(h), -1, np.int64)
-        out[hit] = self.order[at[hit]]
-        return out
-
-    def context(self, h: np.ndarray, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The restaurant of each token: that of the token before, the end token's at a text's start."""
-        own = np.where((place >= 0) & (place < self.contexts), place, self.contexts + ((h >> U(20)) % U(self.shared)).astype(np.int64))
-        end = self.place(np.array([END], U))[0]
-        end = end if 0 <= end < self.contexts else self.contexts + (END >> 20) % self.shared
-        out = np.empty(len(h), np.int64)
-        out[1:] = own[:-1]
-        out[(np.cumsum(counts) - counts)] = end
-        return out
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    body = b"".join(a.tobytes() for a in arrays)
-    return np.array([len(body), *map(len, arrays)], np.int64).tobytes() + pa.compress(body, codec="lz4", asbytes=True)
-
-
-def _unpacked(data, *types) -> list[np.ndarray]:
-    n = len(types) + 1
-    size, *lengths = np.frombuffer(data, np.int64, n).tolist()
-    body, out, at = pa.decompress(memoryview(data)[8 * n :], size, codec="lz4", asbytes=True), [], 0
-    for kind, length in zip(types, lengths, strict=True):
-        out.append(np.frombuffer(body, kind, length, at))
-        at += length * np.dtype(kind).itemsize
-    return out
-
-
-def _gathered(rows: DataFrame, head, params: Params, parts: int, head_parts: int) -> DataFrame:
-    """Rows (part, blob): counts of head words from each task, and tokens of the others."""
-    width, per = params.restaurants, -(-params.head // head_parts)
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(key, train, u, w): each token after the one before it, the end token before a text's first."""
 
     def run(batches):
-        h = head.value
-        cells: list[np.ndarray] = []
         for batch in batches:
             w, counts = tokens(batch.column("text"))
             if not len(counts):
                 continue
-            place = h.place(w)
-            context = h.context(w, place, counts)
-            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts)
+            u = np.empty_like(w)
+            u[1:] = w[:-1]
+            u[np.cumsum(counts) - counts] = U(END)
             key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), counts)
-            cells.append((place * width + context)[train & (place >= 0)])
-            tail = np.flatnonzero(place < 0)
-            part = ((w[tail] >> U(32)) % U(parts)).astype(np.int64)
-            order = np.argsort(part.astype(np.int32), kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            tail = tail[order]
-            made = [(p, _packed(w[i], key[i], context[i].astype(np.uint8), train[i])) for p in range(parts) if len(i := tail[bounds[p] : bounds[p + 1]])]
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], ["part", "blob"])
-            if sum(map(len, cells)) > 8_000_000:
-                yield from heads(cells)
-                cells = []
-        if cells:
-            yield from heads(cells)
-
-    def heads(cells):
-        cell, c = np.unique(np.concatenate(cells), return_counts=True)
-        part = cell // width // per
-        for p in np.unique(part):
-            own = part == p
-            yield pa.RecordBatch.from_arrays([pa.array([parts + int(p)], pa.int32()), pa.array([_packed(cell[own], c[own])], pa.binary())], ["part", "blob"])
-
-    return rows.select("text", "held_out", "key").mapInArrow(run, "part int, blob binary")
-
-
-def _merged(gathered: DataFrame, params: Params, parts: int, head_parts: int) -> DataFrame:
-    """One row for each part: dishes (word, restaurant, customers), tokens to score, totals of the restaurants."""
-    width, per = params.restaurants, -(-params.head // head_parts)
+            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts)
+            for lo in range(0, len(w), 100_000):
+                some = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(train[some]), pa.array(u[some].view(np.int64)), pa.array(w[some].view(np.int64))], ["key", "train", "u", "w"])
 
-    def run(batches):
-        held: dict[int, list] = {}
-        sums: dict[int, np.ndarray] = {}  # head words: a fixed number of cells, however many tasks send counts
-        for batch in batches:
-            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
-                data = blob.as_buffer()
-                if p < parts:
-                    held.setdefault(p, []).append(_unpacked(data, U, np.int64, np.uint8, bool))
-                else:
-                    cell, c = _unpacked(data, np.int64, np.int64)
-                    sums.setdefault(p, np.zeros(per * width, np.int64))[cell - (p - parts) * per * width] += c
-        for p in sorted([*held, *sums]):
-            columns = [np.concatenate(x) for x in zip(*held.pop(p), strict=True)] if p < parts else []
-            if p < parts:
-                w, key, context, train = columns
-                distinct, word = np.unique(w, return_inverse=True)
-                dish, which = np.unique(word * width + context, return_inverse=True)
-                c = np.bincount(which, weights=train, minlength=len(dish)).astype(np.int64)
-                order = np.lexsort((which, key))  # the same whatever order the blobs came in
-                scored = _packed(key[order], which[order].astype(np.int32))
-            else:
-                all_cells = sums.pop(p)
-                cells = np.flatnonzero(all_cells)
-                dish, c, scored = cells + (p - parts) * per * width, all_cells[cells], b""
-            seen = c > 0
-            context = dish % width
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p], pa.int32()),
-                    pa.array([_packed(dish, c)], pa.binary()),
-                    pa.array([scored], pa.binary()),
-                    pa.array([np.bincount(context, weights=c, minlength=width).astype(np.int64)], pa.list_(pa.int64())),
-                    pa.array([np.bincount(context[seen], minlength=width)], pa.list_(pa.int64())),
-                    pa.array([int((c == 1).sum())]),
-                    pa.array([int((c == 2).sum())]),
-                ],
-                ["part", "dishes", "scored", "customers", "tables", "ones", "twos"],
-            )
-
-    return gathered.repartition(int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(run, "part int, dishes binary, scored binary, customers array<long>, tables array<long>, ones long, twos long")
+    return rows.select("text", "held_out", "key").mapInArrow(run, "key long, train boolean, u long, w long")
 
 
 def seat_blocks(c: np.ndarray, opening: np.ndarray, d: float, rng) -> np.ndarray:
@@ -279,12 +156,12 @@ class Seating:
 
 
 class Part:
-    """The dishes of one part and the root's share of their words."""
+    """The dishes of one part, with their restaurants' totals, and the root's share of their words."""
 
-    def __init__(self, dish, c, totals: dict, params: Params, rng):
+    def __init__(self, w, c, customers, tables, totals: dict, params: Params, rng):
         self.p, self.g, self.rng = params, totals, rng
-        self.context = dish % params.restaurants
-        self.words, self.word = np.unique(dish // params.restaurants, return_inverse=True)
+        self.customers, self.tables = customers, tables
+        self.words, self.word = np.unique(w, return_inverse=True)
         self.n_words = len(self.words)
         self.c = c
         self.leaf = Seating(c, params.exact, rng)
@@ -299,104 +176,36 @@ class Part:
 
     def sweep(self) -> None:
         g = self.g
-        self.leaf.sweep((self.p.strength + g["d1"] * g["t"][self.context]) * self.parent[self.word], g["d1"])
+        self.leaf.sweep((self.p.strength + g["d1"] * self.tables) * self.parent[self.word], g["d1"])
         self._root()
 
     def predictive(self) -> np.ndarray:
         """P(w|u) of each dish."""
         g, s = self.g, self.p.strength
-        back = (s + g["d1"] * g["t"][self.context]) * self.parent[self.word]
-        return (self.c - g["d1"] * self.leaf.t + back) / (s + g["c"][self.context])
-
-
-def _totals(parts: DataFrame, totals: dict, params: Params) -> dict:
-    """The restaurants' totals after a few sweeps with the present ones."""
-
-    def run(batches):
-        for batch in batches:
-            for p, blob in zip(batch.column("part").to_pylist(), batch.column("dishes"), strict=True):
-                part = Part(*_unpacked(blob.as_buffer(), np.int64, np.int64), totals, params, np.random.default_rng([params.seed, p, 1]))
-                for _ in range(params.sweeps):
-                    part.sweep()
-                t = np.bincount(part.context, weights=part.leaf.t, minlength=params.restaurants)
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.list_(pa.float64())), pa.array([float(part.root.t.sum())])], ["t", "t0"])
-
-    t, t0 = np.zeros(params.restaurants), 0.0
-    for r in parts.select("part", "dishes").mapInArrow(run, "t array<double>, t0 double").toLocalIterator():
-        t += np.array(r.t)
-        t0 += r.t0
-    return totals | {"t": t, "t0": t0, "c0": float(t.sum())}
+        back = (s + g["d1"] * self.tables) * self.parent[self.word]
+        return (self.c - g["d1"] * self.leaf.t + back) / (s + self.customers)
 
 
-def _scored(parts: DataFrame, totals: dict, params: Params, n_parts: int, n_train: int) -> DataFrame:
-    """From each part, packed: sums by document key for rarer words, dealt by key; cells and probabilities for head words."""
+def _seated(dishes: DataFrame, restaurants: DataFrame, n_parts: int, run_part, schema: str) -> DataFrame:
+    """run_part(part, w, u, c, customers, tables) of each part, its dishes in order of word and previous word."""
+    names = ["w", "u", "c", "customers", "tables"]
 
     def run(batches):
-        for batch in batches:
-            for p, dishes, scored in zip(batch.column("part").to_pylist(), batch.column("dishes"), batch.column("scored"), strict=True):
-                part = Part(*(x := _unpacked(dishes.as_buffer(), np.int64, np.int64)), totals, params, np.random.default_rng([params.seed, p, 2]))
-                mean, parent = np.zeros(len(x[0])), np.zeros(part.n_words)
-                for i in range(params.sweeps + params.samples):
-                    part.sweep()
-                    if i >= params.sweeps:
-                        mean += part.predictive() / params.samples
-                        parent += part.parent / params.samples
-                if p >= n_parts:
-                    yield row(-1, _packed(x[0], mean, part.words, parent))
-                    continue
-                key, which = _unpacked(scored.as_buffer(), np.int64, np.int32)
-                seen = np.bincount(part.word, weights=part.c, minlength=part.n_words)[part.word]
-                base = np.log10((seen + 0.5) / (n_train + 0.5 * (totals["v"] + 1)))
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                sums = [np.add.reduceat(v[which], start) for v in (base, np.log10(mean), (seen > 0).astype(np.int64))] if len(key) else [np.zeros(0)] * 3
-                keys = key[start]
-                deal = (words.mix(keys.view(U)) % U(n_parts)).astype(np.int64)
-                for q in np.unique(deal).tolist():
-                    own = deal == q
-                    yield row(q, _packed(keys[own], *(v[own] for v in sums)))
-
-    def row(deal, blob):
-        return pa.RecordBatch.from_arrays([pa.array([deal], pa.int32()), pa.array([blob], pa.binary())], ["deal", "blob"])
-
-    return parts.select("part", "dishes", "scored").mapInArrow(run, "deal int, blob binary")
-
-
-def _summed(found: DataFrame) -> DataFrame:
-    """(key, base, model, known): the parts' sums of each document put together."""
-
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for q, blob in zip(batch.column("deal").to_pylist(), batch.column("blob"), strict=True):
-                held.setdefault(q, []).append(_unpacked(blob.as_buffer(), np.int64, np.float64, np.float64, np.int64))
-        for q in sorted(held):
-            key, *sums = (np.concatenate(x) for x in zip(*held.pop(q), strict=True))
-            order = np.lexsort((*sums, key))  # the same sum whatever order the blobs came in
-            key = key[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            out = [key[start], *(np.add.reduceat(v[order], start) for v in sums)]
-            for lo in range(0, len(start), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 10_000]) for v in out], ["key", "base", "model", "known"])
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.where("deal >= 0").repartition(n, "deal").mapInArrow(run, "key long, base double, model double, known long")
-
-
-def _head_scores(rows: DataFrame, head, table, params: Params) -> DataFrame:
-    def run(batches):
-        h, (base, model) = head.value, table.value
-        for batch in batches:
-            w, counts = tokens(batch.column("text"))
-            if not len(counts):
-                continue
-            place = h.place(w)
-            context = h.context(w, place, counts)
-            inside, start = place >= 0, np.cumsum(counts) - counts
-            at = np.where(inside, place, 0)
-            sums = [np.add.reduceat(np.where(inside, v, 0), start) for v in (base[at], model[at, context].astype(np.float64), inside.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(counts), *map(pa.array, sums)], ["key", "doc_id", "held_out", "n_tokens", "base_h", "model_h", "known_h"])
-
-    return rows.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, base_h double, model_h double, known_h long")
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        part, *columns = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in ["part", *names])
+        held.clear()
+        order = np.lexsort((columns[1], columns[0], part))
+        part, columns = part[order], [x[order] for x in columns]
+        for lo, hi in zip(start := np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [*start[1:], len(part)], strict=True):
+            arrays = run_part(int(part[lo]), *(x[lo:hi] for x in columns))
+            for at in range(0, len(arrays[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in arrays], [x.split()[0] for x in schema.split(", ")])
+
+    n = max(n_parts, int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = dishes.join(restaurants, "u").select(F.pmod(F.shiftright("w", 32), F.lit(n_parts)).cast("int").alias("part"), *names)
+    return joined.repartition(n, "part").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -407,49 +216,52 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     vocabulary_ = shared.cut(vocabulary(rows), "vocabulary")
     n, v, ones, twos = vocabulary_.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n, v = n or 0, v or 0
-    top = vocabulary_.orderBy(F.desc("c"), "w").limit(params.head).collect()  # head rows, a fixed number
-    hashes = np.array([r.w for r in top], np.int64).view(U) if top else np.array([END], U)
-    frequency = np.array([r.c for r in top], np.float64) if top else np.zeros(1)
-    head = spark.sparkContext.broadcast(Head(hashes, params))
-    n_parts = max(2, int(n * 1.25 * 0.2 / params.part_tokens))
-    head_parts = 64
-    parts = shared.cut(_merged(_gathered(rows, head, params, n_parts, head_parts), params, n_parts, head_parts), "parts")
-    c, t, singles, pairs = np.zeros(params.restaurants), np.zeros(params.restaurants), 0, 0
-    for r in parts.select("customers", "tables", "ones", "twos").toLocalIterator():
-        c += np.array(r.customers)
-        t += np.array(r.tables)
-        singles, pairs = singles + r.ones, pairs + r.twos
+    n_parts = max(2, int(n * 1.25 / params.part_tokens))
+    pairs = _pairs(rows)
+    dishes = shared.cut(pairs.groupBy("u", "w").agg(F.count_if("train").alias("c")), "dishes")
+    restaurants = shared.cut(dishes.groupBy("u").agg(F.sum("c").alias("customers"), F.count_if(F.col("c") > 0).cast("double").alias("tables")), "restaurants")
+    c0, singles, doubles = dishes.agg(F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    totals = {"v": v, "c": c, "t": t, "c0": float(t.sum()), "t0": float(v), "d1": discount(singles, pairs), "d0": discount(ones, twos)}
-    totals = _totals(parts, totals, params)
-    found = shared.cut(_scored(parts, totals, params, n_parts, n), "scored")
-    s, width = params.strength, params.restaurants
-    back = (s + totals["d1"] * totals["t"]) / (s + totals["c"])
-    unknown = (s + totals["d0"] * totals["t0"]) / (v + 1) / (s + totals["c0"])
-    model = np.full((len(hashes), width), unknown)
-    cells = [_unpacked(r.blob, np.int64, np.float64, np.int64, np.float64) for r in found.where("deal < 0").select("blob").toLocalIterator()]
-    for _, _, word, parent in cells:
-        model[word] = parent[:, None]
-    model *= back
-    for dish, p, _, _ in cells:
-        model[dish // width, dish % width] = p
-    model = np.log10(model).astype(np.float32)
-    base = np.log10((frequency + 0.5) / (n + 0.5 * (v + 1))) if top else np.array([log10(0.5 / (0.5 * (v + 1)))])
-    table = spark.sparkContext.broadcast((base, model))
-    heads = _head_scores(rows, head, table, params)
-    tails = _summed(found)
+    totals = {"v": v, "c0": float(c0), "t0": float(v), "d1": discount(singles, doubles), "d0": discount(ones, twos)}
+
+    def seat(part, w, u, c, customers, tables):
+        x = Part(w, c, customers, tables, totals, params, np.random.default_rng([params.seed, part, 1]))
+        for _ in range(params.sweeps):
+            x.sweep()
+        own, at = np.unique(u, return_inverse=True)
+        roots = np.zeros(len(own))
+        roots[0] = x.root.t.sum()
+        return own, np.bincount(at, weights=x.leaf.t), roots
+
+    seated = shared.cut(_seated(dishes, restaurants, n_parts, seat, "u long, tables double, roots double"), "seated")
+    t, t0 = seated.agg(F.sum("tables"), F.sum("roots")).first()
+    after = totals | {"c0": t or 0.0, "t0": t0 or 0.0}
+    restaurants = shared.cut(restaurants.drop("tables").join(seated.groupBy("u").agg(F.sum("tables").alias("tables")), "u"), "restaurants")
+
+    def predict(part, w, u, c, customers, tables):
+        x = Part(w, c, customers, tables, after, params, np.random.default_rng([params.seed, part, 2]))
+        mean = np.zeros(len(c))
+        for i in range(params.sweeps + params.samples):
+            x.sweep()
+            if i >= params.sweeps:
+                mean += x.predictive() / params.samples
+        seen = np.bincount(x.word, weights=c, minlength=x.n_words)[x.word]
+        return w, u, np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), np.log10(mean), (seen > 0).astype(np.int64)
+
+    found = shared.cut(_seated(dishes, restaurants, n_parts, predict, "w long, u long, base double, model double, known long"), "predicted")
+    tails = pairs.select("key", "u", "w").join(found, ["u", "w"]).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known")], F.count("*").alias("size"))
+    heads = rows.select("key", "doc_id", "held_out")
     # equal rows share a key: what came back for the key is divided among them
     copies = heads.withColumn("copies", F.count("*").over(Window.partitionBy("key")))
     both = copies.join(tails, "key", "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    known_h = F.col("known_h") if top else F.lit(0)
+    share = lambda c: F.col(c) / F.col("copies")
     return both.select(
         "doc_id",
         "held_out",
-        "n_tokens",
-        (known_h + share("known").cast("long")).cast("long").alias("n_known"),
+        share("size").cast("long").alias("n_tokens"),
+        share("known").cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_h") + share("base")).alias("base_score"),
-        (F.col("model_h") + share("model")).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("model_h") + share("model")) / F.col("n_tokens")).alias("perplexity"),
+        share("base").alias("base_score"),
+        share("model").alias("score"),
+        F.pow(F.lit(10.0), -F.col("model") / F.col("size")).alias("perplexity"),
     )

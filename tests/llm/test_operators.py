@@ -150,6 +150,14 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_gives_each_previous_word_its_own_context(spark):
+    pairs = [f"a{i} b{i}" for i in range(400)]
+    rows = [(i, pairs[i % 400]) for i in range(4000)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # after a{i} only b{i} comes, and after it the end: little more than the first of the three words is left to guess
+    assert max(r.perplexity for r in got) < 12
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs).collect()
     assert len(got) == len(ROWS) and len(licenses.rules(licenses.Params())) > 200
