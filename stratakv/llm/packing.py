@@ -101,18 +101,24 @@ class Packer:
         self.sequence += 1
 
     def finish(self) -> None:
-        """Lay what is open end to end; cut full sequences, then powers of two from the largest."""
-        queue = [p for h in range(self.p.capacity, -1, -1) for pieces in self.open[h] for p in pieces]
-        left = sum(len(p.ids) for p in queue)
-        queue.reverse()
+        """Fill the fullest open sequences from the emptiest; cut what is left into powers of two from the largest."""
+        c = self.p.capacity
+        placed = [pieces for h in range(c + 1) for pieces in self.open[h]]
+        left = sum(len(p.ids) for pieces in placed for p in pieces)
+        rest: list[Piece] = []
+        first = 0
         while left:
-            want = self.p.capacity if left >= self.p.capacity else 1 << (left.bit_length() - 1)
+            want = c if left >= c else 1 << (left.bit_length() - 1)
             left -= want
-            pieces = []
+            pieces = placed.pop() if want == c and first < len(placed) else []
+            want -= sum(len(p.ids) for p in pieces)
             while want:
-                p = queue.pop()
+                if not rest:
+                    rest = placed[first][::-1]
+                    first += 1
+                p = rest.pop()
                 if len(p.ids) > want:
-                    queue.append(Piece(p.doc, p.start + want, p.ids[want:], p.doc_tokens))
+                    rest.append(Piece(p.doc, p.start + want, p.ids[want:], p.doc_tokens))
                     p = Piece(p.doc, p.start, p.ids[:want], p.doc_tokens)
                 want -= len(p.ids)
                 pieces.append(p)

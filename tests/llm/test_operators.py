@@ -247,6 +247,26 @@ def test_packer_places_by_sum_of_squares():
     assert sum(r[2] for r in p.rows) == 19
 
 
+def test_packer_keeps_placed_sequences_at_the_end():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        p = packing.Packer(packing.Params("", capacity=64), 0)
+        sizes = rng.integers(1, 150, 60).tolist()
+        for i, n in enumerate(sizes):
+            p.add(i, np.full(n, i, np.uint32))
+        c = p.p.capacity
+        placed = [{(x.doc, x.start, len(x.ids)) for x in pieces} for h in range(c, -1, -1) for pieces in p.open[h]]
+        left = sum(n for x in placed for _, _, n in x)
+        p.finish()
+        out = collections.defaultdict(set)
+        for doc, start, length, _, _, sequence, _ in p.rows:
+            out[sequence].add((doc, start, length))
+        assert all(any(x <= y for y in out.values()) for x in placed[: left // c])
+        assert sum(r[2] for r in p.rows) == sum(sizes)
+        tokens = [(d, k) for x in out.values() for d, at, n in x for k in range(at, at + n)]
+        assert len(tokens) == len(set(tokens)) == sum(sizes)
+
+
 def test_tokens(docs, empty):
     path = contract.vocabulary_file("byte_bpe_50k.json")
     from tokenizers import Tokenizer
