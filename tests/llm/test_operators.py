@@ -382,3 +382,63 @@ def test_pipeline_stages_keep_the_columns(spark, docs, labels, tmp_path):
         rows = stage(spark, rows, folder)
         assert rows.columns == plain.columns, name
     assert {"doc_id", "sequence_id"} <= set(pipeline.run(spark, folder).columns)
+
+
+def test_pipeline_stages_drop_what_brute_force_drops(spark, labels, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 3000, n))
+    base = ["\n".join(text(20) for _ in range(6)) for _ in range(30)]
+    leak = text(9)
+    texts = [*base, base[0], base[1].replace("\n", " "), base[2].replace("\n", " ", 3), base[3] + "\n" + text(3), "too few words", "again " * 40]
+    texts += [x.split("\n")[0] + " z\n" + text(60) for x in base[4:7]] + [text(30) + "\n" + leak + " " + text(30)]
+    one = [text(150), text(150)]
+    texts += [*(t + " tail" for t in one), *one]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    stage = dict(pipeline.STAGES)
+    held = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    good = held(stage["quality rules"](spark, docs, folder))
+    assert not {34, 35} & set(good)
+
+    lined = stage["line dedup"](spark, docs, folder)
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in t.split("\n"):
+            w = frozenset(x.split())
+            if len(x.split()) < 4 or not any(100 * len(w & y) >= 80 * len(w | y) for y in seen):
+                kept.append(x)
+            if len(x.split()) >= 4:
+                seen.append(w)
+        if "".join(kept).strip():
+            want[i] = "\n".join(kept)
+    assert held(lined) == want and len(want) < len(texts)
+
+    near = stage["MinHash near-dedup"](spark, docs, folder)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (fold(t).split() for t in texts)]
+    first = list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(y):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = sorted((first[x], first[y]))
+                first = [a if f == b else f for f in first]
+    singles = {i for i, f in enumerate(first) if i == f}
+    assert set(held(near)) == singles and len(singles) < len(texts)
+
+    clean = held(stage["benchmark decontamination"](spark, docs, folder))
+    item = leak.split()
+    windows = {tuple(item[i : i + 8]) for i in range(2)}
+    assert set(clean) == {i for i, t in enumerate(texts) if not windows & {tuple(t.split()[k : k + 8]) for k in range(len(t.split()))}} and len(clean) == len(texts) - 1
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(contract.vocabulary_file("word_bpe_49k.json"))
+    total = collections.Counter()
+    for r in stage["packing"](spark, docs, folder).collect():
+        total[r.doc_id] += r.length
+    assert total == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
