@@ -1,22 +1,26 @@
 """Lines that are near copies of earlier lines, by an exact set-similarity join.
 
-A line is the set of its tokens. `WORDS`, which the pipeline uses, takes single words as tokens, so a changed word costs a
-line one token. The registered query keeps the runs of five words (the whole line, where it has fewer) of its SQL.
-Lines with fewer than `min_words` words are left alone.
-Lines with one set are a class,
-placed where it first occurs (doc_id, then line number). Two classes are linked when 100 * |both| >= similarity * |either|.
-A line goes if its class occurred before, or if an earlier class is linked with its class.
-
-The join. Tokens get one global order, rare ones first: by the count of its first word's hash bucket over all texts, then
-by hash; any order is exact, and the buckets are a table of fixed size. In that order similar sets share a token among their
-first |x| - ceil(s |x|) + 1 (the prefix), which is the join key. The length filter, the positional filter (what can still
-be shared after the places of the common token) refuse most pairs inside the join. Single words also get a bitmap of 128
-bits: each bit that differs is a token that only one side has, which bounds what is shared without error. What is left is
-verified on the whole sets, made again from the texts.
+A line is the set of its words. Lines without a word are left alone. Lines with one set are a class, placed where it first
+occurs (doc_id, then line number). Two classes are linked when 100 * |both| >= similarity * |either|. A line goes if its
+class occurred before, or if an earlier class is linked with its class.
+
+The join. Words get one global order, rare ones first: by the count of their hash bucket over all texts, then by hash; any
+order is exact, and the buckets are a table of fixed size. In that order similar sets share a word among their first
+|x| - ceil(s |x|) + 1 (the prefix), which is the join key. The length filter, the positional filter (what can still be
+shared after the places of the common word) and parities (how many words of a set have a bit, even or odd: each that
+differs is a word that only one side has) refuse pairs without error. A set of fewer than s / (100 - s) words is linked with none.
+
+Groups. The links of a group of near copies are as many as the square of its size, so no pair of it becomes a row. A
+semi-join tells which classes have a candidate at all. These are compared with the first class of their prefix words, then
+with candidates in other groups only, until every two candidates are of one group (`_groups`). A group is dealt into blocks
+of `block` classes; a row holds two blocks, whose sets, made again from the texts, are compared inside the row. Counting
+a group's links is still work in the square of its size, spread over tasks; memory is that of two blocks.
 Classes, not lines, are joined, so a line that a third of all documents hold is one row; Spark may split any key.
 
 Built-in functions only. A null text has no lines. Repeated rows (equal doc_id) count as later copies of each other's
-lines by line number. A null doc_id sorts first. An empty table gives no rows. Other columns are kept by `drop_repeats`.
+lines by line number. Ties: of different sets that first occur at one place (repeated ids) none is earlier. A
+null doc_id sorts first. Very long texts and lines are split and joined whole. An empty table gives no rows. Other columns
+may have any name and are kept by `drop_repeats`.
 """
 
 from __future__ import annotations
@@ -27,116 +31,176 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import minhash, shared
 
 
 @dataclass(frozen=True)
 class Params:
     similarity: int = 80
-    min_words: int = 4
-    shingle: int = 5
     buckets: int = 1 << 16
+    block: int = 256
+    filter_bits: int = 1 << 22
 
 
-#: Lines as sets of their words.
-WORDS = Params(shingle=1)
-GAP = r"[\x20\x09-\x0D]+"
+def _words(text: Column) -> Column:
+    """The words of a text; single blanks split without a regular expression."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
+
+
+def _cells(rows: DataFrame, cell: Column, value: Column, size: int) -> np.ndarray:
+    """A table of fixed size from one aggregated row for each cell."""
+    got = rows.groupBy(cell.cast("int").alias("cell")).agg(value.alias("value")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["cell"].to_numpy()] = got["value"].to_numpy()
+    return out
 
 
 def _ranks(docs: DataFrame, params: Params) -> np.ndarray:
-    """The place of each hash bucket by its words over all texts: a fixed number of counts for the driver."""
-    words = docs.select(F.explode_outer(F.split("_text", GAP, -1)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(params.buckets - 1)).cast("int").alias("b")).agg(F.count("*").alias("c")).toArrow()
-    out = np.zeros(params.buckets, np.int64)
-    out[counts["b"].to_numpy()] = counts["c"].to_numpy()
-    order = np.lexsort((np.arange(params.buckets), out))
+    """The place of each hash bucket by its words over all texts."""
+    words = docs.select(F.explode(_words(F.col("_text"))).alias("w"))
+    counts = _cells(words, F.xxhash64("w").bitwiseAND(F.lit(params.buckets - 1)), F.count("*"), params.buckets)
     ranks = np.empty(params.buckets, np.int64)
-    ranks[order] = np.arange(params.buckets)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(params.buckets)
     return ranks
 
 
-def _keyed(docs: DataFrame, ranks: np.ndarray, params: Params) -> DataFrame:
-    """(doc_id, line, tokens) of lines with enough words: distinct tokens in the global order.
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("_text", "\n", -1)).alias("line", "_line"))
 
-    A token is one number, the rank of its bucket above the rest of its hash, so numbers sort as tokens do.
-    """
+
+def _tokens(line: Column, ranks: np.ndarray, params: Params) -> Column:
+    """A line's distinct words in the global order: each the rank of its bucket above the rest of its hash."""
     bits = params.buckets.bit_length() - 1
-    rows = docs.select("doc_id", F.posexplode_outer(F.split("_text", "\n", -1)).alias("line", "_line")).where("_line is not null")
-    rows = rows.withColumn("_w", shared.once(F.filter(F.split("_line", GAP, -1), lambda x: x != ""))).where(F.size("_w") >= params.min_words)
     table = shared.constant(ranks.tolist(), "bigint")
 
-    def number(first: Column, token: Column) -> Column:
-        rank = F.get(table, F.xxhash64(first).bitwiseAND(F.lit(params.buckets - 1)).cast("int"))
-        return F.shiftleft(rank, 63 - bits).bitwiseOR(F.shiftrightunsigned(token, bits + 1))
+    def number(h: Column) -> Column:
+        rank = F.coalesce(F.get(table, h.bitwiseAND(F.lit(params.buckets - 1)).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 63 - bits).bitwiseOR(F.shiftrightunsigned(h, bits + 1))
 
-    k = params.shingle
-    runs = F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: number(F.get("_w", i), F.xxhash64(*[F.get("_w", i + j) for j in range(k)])))
-    tokens = F.when(F.size("_w") >= k, F.sort_array(F.array_distinct(runs))).otherwise(F.array(number(F.get("_w", F.lit(0)), F.xxhash64("_w"))))
-    return rows.select("doc_id", "line", shared.once(tokens).alias("tokens"))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text"))
 
 
-def _masks(params: Params) -> list[Column]:
-    """The bitmap of a line of single words, in two numbers."""
-    if params.shingle > 1:
-        return []
-    bit = "if((t & 64) = {}, shiftleft(1L, cast(t & 63 as int)), 0L)"
-    return [shared.once(F.expr(f"aggregate(tokens, 0L, (a, t) -> a | {bit.format(side)})")).alias(name) for name, side in (("low", 0), ("high", 64))]
+#: Sets of more words also have parities in four parts, by two more bits of a word's hash.
+LONG = 64
+PARTS = ("part0", "part1", "part2")
+
 
+def _parities() -> list[Column]:
+    flip = "aggregate(tokens, 0L, (a, t) -> {})"
+    bit = "a ^ shiftleft(1L, cast(t & 63 as int))"
+    parts = [F.expr(f"if(size(tokens) > {LONG}, {flip.format(f'if((t & 192) = {64 * i}, {bit}, a)')}, 0L)").alias(p) for i, p in enumerate(PARTS)]
+    return [F.expr(flip.format(bit)).alias("parity"), *parts]
 
-def _possible(params: Params, x: str, y: str) -> Column:
+
+#: What names a class: where it first occurs, and the hash of its set.
+CLASS = ("doc", "line", "id")
+
+
+def _candidates(x: str, y: str, params: Params) -> Column:
+    """May the classes of two prefix entries be linked?"""
     s = params.similarity
-    size = lambda c: F.shiftright(f"{c}.at", 24)
-    place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit((1 << 24) - 1))
-    need = s * (size(x) + size(y))
-    possible = (
-        (F.col(f"{x}.id") < F.col(f"{y}.id"))
-        & (100 * F.least(size(x), size(y)) >= s * F.greatest(size(x), size(y)))
-        & ((100 + s) * F.least(size(x) - place(x), size(y) - place(y)) >= need)
+    c = lambda side, name: F.col(f"{side}.{name}")
+    need = s * (c(x, "n") + c(y, "n"))
+    return (
+        (100 * F.least(c(x, "n"), c(y, "n")) >= s * F.greatest(c(x, "n"), c(y, "n")))
+        & ((100 + s) * F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need)
+        & ((100 + s) * (c(x, "n") + c(y, "n") - F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))) >= 2 * need)
+        & ((100 + s) * (c(x, "n") + c(y, "n") - _apart(lambda name: c(x, name), lambda name: c(y, name))) >= 2 * need)
     )
-    if params.shingle > 1:
-        return possible
-    apart = [F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in ("low", "high")]
-    return possible & ((100 + s) * (size(x) + size(y) - apart[0] - apart[1]) >= 2 * need)
+
+
+def _apart(x, y) -> Column:
+    """Differing bits of the 256 parities of two long sets; the parity of all words is that of the four parts together."""
+    parts = [F.bit_count(x(p).bitwiseXOR(y(p))) for p in PARTS]
+    rest = [side("parity").bitwiseXOR(side("part0")).bitwiseXOR(side("part1")).bitwiseXOR(side("part2")) for side in (x, y)]
+    return F.when((x("n") > LONG) & (y("n") > LONG), sum(parts, F.bit_count(rest[0].bitwiseXOR(rest[1])))).otherwise(0)
+
+
+def _is(x: str, y: str) -> Column:
+    return (F.col(f"{x}.id") == F.col(f"{y}.id")) & (F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line") == F.col(f"{y}.line"))
+
+
+def _groups(entries: DataFrame, params: Params) -> DataFrame:
+    """(name, component) of the classes that have a candidate; two candidates are in one component.
+
+    name is a hash of the class for the grouping: one that two classes share puts them in one group, which is no error.
+    """
+    met = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & ~_is("x", "y") & _candidates("x", "y", params), "left_semi")
+    met = shared.cut(met.withColumn("name", F.xxhash64(*CLASS)), "contested")
+    heads = met.groupBy("token").agg(F.min(F.struct(*CLASS, "n", "pos", "parity", *PARTS, "name")).alias("h")).select("token", "h.*")
+    near = met.alias("x").join(heads.alias("y"), "token").where(_candidates("x", "y", params))
+    links = shared.cut(near.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), "near")
+    found = minhash.components(links)
+    own = met.join(found.withColumnRenamed("id", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    own = shared.cut(own.join(mixed, "token", "left_semi"), "mixed")
+    across = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _candidates("x", "y", params))
+    across = shared.cut(across.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct(), "across")
+    if across.limit(1).count():
+        found = minhash.components(links.union(across))
+    names = met.select("name", *CLASS).distinct()
+    return names.join(found.withColumnRenamed("id", "name"), "name", "left").select(*CLASS, F.coalesce("component", "name").alias("component"))
+
+
+def _counted(members: DataFrame, params: Params) -> DataFrame:
+    """(doc, line, id, links, late) of members (doc, line, id, component, tokens): links inside the components."""
+    s = params.similarity
+    size = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = members.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / params.block).cast("int"))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    item = F.struct(*CLASS, F.size("tokens").alias("n"), *_parities(), "tokens")
+    blocks = shared.cut(dealt.groupBy("component", "blocks", "k").agg(F.collect_list(item).alias("items")), "blocks")
+    left = blocks.select("component", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    both = left.alias("x").join(blocks.alias("y"), ["component", "k"]).select(F.col("x.items").alias("xs"), F.col("y.items").alias("ys"))
+
+    def linked(x, y):
+        n = x.n + y.n
+        close = 100 * F.least(x.n, y.n) >= s * F.greatest(x.n, y.n)
+        possible = (100 + s) * (n - F.bit_count(x.parity.bitwiseXOR(y.parity))) >= 2 * s * n
+        possible &= (100 + s) * (n - _apart(lambda c: x[c], lambda c: y[c])) >= 2 * s * n
+        return close & possible & ((100 + s) * F.size(F.array_intersect(x.tokens, y.tokens)) >= s * n) & ((x.id != y.id) | (x.doc != y.doc) | (x.line != y.line))
+
+    def counts(x):
+        hits = F.transform(F.filter("ys", lambda y: linked(x, y)), lambda y: (y.doc < x.doc) | ((y.doc == x.doc) & (y.line < x.line)))
+        return F.struct(*[x[c].alias(c) for c in CLASS], hits.alias("hits"))
+
+    rows = both.select(F.inline(F.transform("xs", counts)))
+    return rows.groupBy(*CLASS).agg(F.sum(F.size("hits")).alias("links"), F.bool_or(F.array_contains("hits", True)).alias("late"))
 
 
 def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, line, class_id, n_links, removed) of every line with enough words; n_links counts the linked classes."""
+    """(doc_id, line, class_id, n_links, removed) of every line with a word; n_links counts the linked classes."""
     docs = _prepared(docs)
     ranks = _ranks(docs, params)
-    keyed = _keyed(docs, ranks, params)
     s = params.similarity
-    size = F.size("tokens")
-    prefix = F.slice("tokens", 1, (size - F.ceil(size * s / 100) + 1).cast("int"))
-    table = keyed.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), size.alias("n"), prefix.alias("prefix"), *_masks(params))
+    table = _lines(docs).withColumn("tokens", shared.once(_tokens(F.col("_line"), ranks, params))).where(F.size("tokens") > 0)
+    n = F.size("tokens")
+    prefix = F.when(n >= s // (100 - s), F.slice("tokens", 1, (n - F.ceil(n * s / 100) + 1).cast("int")))
+    table = table.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), n.alias("n"), prefix.alias("prefix"), *_parities())
     table = shared.cut(table, "lines")
-    place = F.struct("doc_id", "line")
-    masks = table.columns[6:]
-    whole = table.groupBy("id", "check", "n").agg(*[F.min_by(c, place).alias(c) for c in ("prefix", *masks)])
-    at = F.shiftleft(F.col("n").cast("long"), 24)
-    heads = whole.select("id", at.alias("at"), F.posexplode("prefix").alias("pos", "token"), *masks).select("id", "token", (F.col("at") + F.col("pos")).alias("at"), *masks)
-    pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & _possible(params, "x", "y"))
-    pairs = shared.cut(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    firsts = table.groupBy("id", "check", "n").agg(F.min(place).alias("first"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "first"), "id")
-    wanted = shared.cut(wanted.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "wanted")
-    n = wanted.count()
-    small = (lambda df: F.broadcast(df)) if n <= 2_000_000 else (lambda df: df)  # at most 2 million ids of 8 bytes
-    some = docs.join(small(wanted.select("doc_id").distinct()), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi") if n else docs.limit(0)
-    sets = _keyed(some, ranks, params).withColumn("id", shared.once(F.xxhash64("tokens")))
-    sets = sets.join(small(wanted.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
-    sets = shared.cut(sets, "sets")
-    both = F.size(F.array_intersect("ta", "tb"))
-    checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    links = shared.cut(checked.where(100 * both >= s * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
-    where = wanted.select("id", F.struct("doc_id", "line").alias("first"))
-    sided = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    sided = sided.join(where, "id").join(where.select(F.col("id").alias("other"), F.col("first").alias("other_first")), "other")
-    linked = sided.groupBy("id").agg(F.count("*").alias("links"), F.max(F.col("other_first") < F.col("first")).alias("late"))
-    out = table.select("doc_id", "line", "id", "check", "n").join(firsts, ["id", "check", "n"]).join(linked, "id", "left")
+    key = ["id", "check", "n"]
+    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "line")
+    classes = table.groupBy(*key).agg(F.min(F.struct(place.alias("first"), "prefix", "parity", *PARTS)).alias("x")).select(*key, "x.*")
+    entries = classes.select("first.*", "id", "n", "parity", *PARTS, F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.withColumn("token", F.col("token").bitwiseXOR(F.shiftrightunsigned("token", 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    grouped = shared.cut(_groups(entries, params), "groups")
+    cell = F.xxhash64("doc", "line").bitwiseAND(F.lit(params.filter_bits - 1))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
+    wanted = _cells(grouped, F.shiftright(cell, 6), F.bit_or(bit), params.filter_bits >> 6)
+    hit = F.get(shared.constant(wanted.tolist(), "bigint"), F.shiftright(cell, 6).cast("int")).bitwiseAND(bit) != 0
+    some = _lines(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).where(hit)
+    some = some.select("doc", "line", shared.once(_tokens(F.col("_line"), ranks, params)).alias("tokens")).withColumn("id", F.xxhash64("tokens"))
+    sets = some.join(grouped, list(CLASS)).groupBy(*CLASS, "component").agg(F.first("tokens").alias("tokens"))
+    linked = shared.cut(_counted(sets, params), "links")
+    firsts = table.groupBy(*key).agg(F.min(place).alias("first"))
+    firsts = firsts.select(*key, "first.*").join(linked, list(CLASS), "left").select(*key, F.struct("doc", "line").alias("first"), "links", "late")
+    out = table.select("doc_id", "line", *key).join(firsts, key)
     gone = F.coalesce("late", F.lit(False)) | (place != F.col("first"))
     return out.select("doc_id", "line", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), gone.alias("removed"))
 

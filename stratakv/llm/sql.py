@@ -18,7 +18,7 @@ OP3 = r"""
 with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (select doc_id, unnest(range(0, len(ls))) as line, unnest(ls) as v from t),
 w as (select doc_id, line, regexp_extract_all(v, '[^\x20\x09-\x0D]+') as w from l),
-k as (select doc_id, line, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) as s from w where len(w) >= 4),
+k as (select doc_id, line, list_sort(list_distinct(w)) as s from w where len(w) > 0),
 c as (select s, min(struct_pack(d := doc_id, l := line)) as f, len(s) as n from k group by s),
 i as (select row_number() over (order by f) as id, s, f, n from c),
 u as (select id, n, unnest(s) as g from i),

@@ -119,6 +119,44 @@ def test_line_dedup(docs, empty):
     assert texts[9] == "Apache License, Version 2.0\ncc-by-nc" and 1 not in texts and 6 in texts
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Links at exactly 80, chains, a group of near copies over many blocks, short lines, repeated and missing ids."""
+    rng = np.random.default_rng(12)
+    texts = ["a b c d\na b c d e\nz", "b a c d\tf\n\n z ", "a b c d e g", None, "", "one two"]
+    base = [f"h{i}" for i in range(30)]
+    for i in range(40):
+        own = list(base)
+        for j in rng.integers(0, 30, rng.integers(1, 4)):
+            own[j] = f"g{rng.integers(0, 40)}"
+        texts.append(" ".join(own) + "\n" + " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(1, 12))))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, "a b c d e g x"), (2, texts[2]), (None, "a b c d e"), (None, "q r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = collections.defaultdict(list)
+    low = -(2**63)
+    for i, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if w := frozenset(re.findall(SPACED, x)):
+                sets[w].append((low if i is None else i, k))
+    first = {w: min(at) for w, at in sets.items()}
+    close = {w: [v for v in sets if v != w and 100 * len(v & w) >= 80 * len(v | w)] for w in sets}
+    want = collections.Counter()
+    for w, at in sets.items():
+        late = any(first[v] < first[w] for v in close[w])
+        want.update((i, k, len(close[w]), late or (i, k) != first[w]) for i, k in at)
+    got = linedup.repeats(docs, linedup.Params(buckets=64, block=4, filter_bits=128)).collect()
+    assert collections.Counter((low if r.doc_id is None else r.doc_id, r.line, r.n_links, r.removed) for r in got) == want
+    assert sum(map(len, close.values())) > 200
+
+
+def test_line_dedup_agrees_with_its_sql(spark, tmp_path):
+    from compare import difference
+    from stratakv.llm import sql
+
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(contract.op3_line_dedup(spark, str(tmp_path)), sql.OP3, str(tmp_path)) == ""
+
+
 def test_pipeline_line_dedup_links_lines_by_words(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(11)
@@ -411,10 +449,9 @@ def test_pipeline_stages_drop_what_brute_force_drops(spark, labels, tmp_path):
         kept = []
         for x in t.split("\n"):
             w = frozenset(x.split())
-            if len(x.split()) < 4 or not any(100 * len(w & y) >= 80 * len(w | y) for y in seen):
+            if not any(100 * len(w & y) >= 80 * len(w | y) for y in seen):
                 kept.append(x)
-            if len(x.split()) >= 4:
-                seen.append(w)
+            seen.append(w)
         if "".join(kept).strip():
             want[i] = "\n".join(kept)
     assert held(lined) == want and len(want) < len(texts)
