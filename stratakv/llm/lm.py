@@ -4,14 +4,17 @@ Restaurants. The root serves words; its base is uniform over the vocabulary and
 a restaurant of its own whose parent is the root. A customer (c) of a context who opens a table (t) is a customer of the
 root. With discount d and strength s, P(w|u) = (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u), the root likewise.
 
-Seating is sampled by Gibbs: a customer leaves and is seated again, given everyone else. Dishes with more than `exact`
-customers are seated anew in growing blocks, each with a binomial draw of new tables. Predictive probabilities are
-averaged over the samples of the last pass.
+Seating is sampled by Gibbs. Customers first sit down one after another; in a sweep each dish has as many customers leave,
+drawn at random, and sit down again as it has. The root keeps its tables from sweep to sweep: customers whose table in a
+context has closed leave it, those of new tables join. Dishes with more than `exact` customers are seated anew in growing
+blocks, each with a binomial draw of new tables, instead of a sweep.
 
 Distribution. A dish is a pair of a previous word and a word. All dishes of one word lie in one part (by the word's hash),
-so the root's share of a word is local. The restaurants' totals are a table by previous word, made anew between passes and
-joined to the dishes; a few numbers go to the driver. Every dish gets its probability, and the documents' pairs are joined
-with the dishes and summed for each document. Passes are written before they are used, so none is drawn twice.
+so the root's share of a word is local. What a part can't see, the restaurants' totals, stays as it was while a pass
+samples; each pass takes the totals from the samples of the one before. The probability of a sample takes all its counts and totals
+from that one sample, which are summed up after the pass, so every context's probabilities add up to 1; they are averaged
+over the samples. Documents' pairs are joined with the dishes and summed for each document. Passes are written before they
+are used, so none is drawn twice.
 
 A null text is empty: one end token. A null doc_id belongs to the training side. Repeated rows count and score each.
 Other columns are not looked at. An empty table gives no rows.
@@ -20,7 +23,6 @@ Other columns are not looked at. An empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,10 @@ END = int(words.hash_one(b"\n"))  # no word holds a line feed
 
 @dataclass(frozen=True)
 class Params:
-    head: int = 1 << 15  # head, contexts and shared are not read: no word is pooled or cut
-    contexts: int = 120
-    shared: int = 8
     strength: float = 1.0
     exact: int = 32
-    sweeps: int = 2
+    passes: int = 3
+    sweeps: int = 4
     samples: int = 3
     part_tokens: int = 1_500_000
     seed: int = 20240229
@@ -115,140 +115,229 @@ def seat_blocks(c: np.ndarray, opening: np.ndarray, d: float, rng) -> np.ndarray
     return t
 
 
+class Tables:
+    """Table sizes of dishes with at most `width` customers, a row for each dish."""
+
+    def __init__(self, n: int, width: int, rng):
+        self.sizes, self.rng = np.zeros((n, width), np.int16), rng
+
+    def leave(self, rows) -> None:
+        """A customer of each row, each as likely as the other, goes."""
+        s = self.sizes[rows]
+        at = self.rng.random(len(rows)) * s.sum(axis=1)
+        self.sizes[rows, (np.cumsum(s, axis=1) > at[:, None]).argmax(axis=1)] -= 1
+
+    def sit(self, rows, opening, d: float) -> None:
+        """A customer of each row sits down: at a table by its size less d, or at a new one by its weight, opening."""
+        s = self.sizes[rows]
+        taken = s > 0
+        at = self.rng.random(len(rows)) * (opening + s.sum(axis=1) - d * taken.sum(axis=1)) - opening
+        new = (at < 0) | ~taken.any(axis=1)
+        old = (np.cumsum(s - d * taken, axis=1) > at[:, None]).argmax(axis=1)
+        old = np.where(taken[np.arange(len(rows)), old], old, s.argmax(axis=1))  # a rounded sum can fall short
+        self.sizes[rows, np.where(new, (~taken).argmax(axis=1), old)] += 1
+
+    def sweep(self, c, opening, d: float) -> None:
+        for i in range(int(c.max(initial=0))):
+            rows = np.flatnonzero(c > i)
+            self.leave(rows)
+            self.sit(rows, opening[rows], d)
+
+    def tables(self):
+        return (self.sizes > 0).sum(axis=1)
+
+
 class Seating:
-    """Tables of many dishes; dishes with 2 to `exact` customers keep who sits where."""
+    """Tables of many dishes of contexts. A dish with one customer has one table."""
 
-    def __init__(self, c: np.ndarray, exact: int, rng):
-        self.c, self.rng, self.exact = c, rng, exact
+    def __init__(self, c: np.ndarray, opening: np.ndarray, d: float, exact: int, rng):
+        self.c, self.rng = c, rng
         self.t = np.minimum(c, 1).astype(np.float64)
         self.many = np.flatnonzero(c > exact)
-        self.groups = [(i, np.zeros((len(i), n), np.int16), np.ones(len(i), np.int16)) for n in range(2, exact + 1) if len(i := np.flatnonzero(c == n))]
-
-    def sweep(self, opening: np.ndarray, d: float) -> None:
-        """opening: (s + d t_u) P(w) of each dish, the weight of a new table."""
-        for i, labels, fresh in self.groups:
-            self._gibbs(i, labels, fresh, opening[i], d)
+        self.some = []
+        low = 1
+        while low < exact:
+            i = np.flatnonzero((c > low) & (c <= min(2 * low, exact)))
+            low *= 2
+            if len(i):
+                seats = Tables(len(i), min(low, exact), rng)
+                for k in range(int(c[i].max())):
+                    rows = np.flatnonzero(c[i] > k)
+                    seats.sit(rows, opening[i][rows], d)
+                self.some.append((i, seats))
+                self.t[i] = seats.tables()
+        self._blocks(opening, d)
+
+    def _blocks(self, opening, d: float) -> None:
         if len(self.many):
             self.t[self.many] = seat_blocks(self.c[self.many], opening[self.many], d, self.rng)
 
-    def _gibbs(self, dishes, labels, fresh, opening, d) -> None:
-        n, k = labels.shape
-        rows, rng = np.arange(n), self.rng
-        t = self.t[dishes]
-        for i in range(k):
-            t -= (labels == labels[:, i : i + 1]).sum(axis=1) == 1
-            labels[:, i] = -1
-            new = rng.random(n) * (opening + (k - 1) - d * t) < opening
-            new |= t == 0
-            t += new
-            labels[new, i] = fresh[new]
-            fresh[new] += 1
-            left = rows[~new]
-            while len(left):  # a table as likely as its size less d: by a random neighbour, refused with odds d / size
-                j = rng.integers(0, k - 1, len(left))
-                j += j >= i
-                label = labels[left, j]
-                size = (labels[left] == label[:, None]).sum(axis=1)
-                taken = rng.random(len(left)) * size >= d
-                labels[left[taken], i] = label[taken]
-                left = left[~taken]
-        self.t[dishes] = t
+    def sweep(self, opening: np.ndarray, d: float) -> None:
+        """opening: (s + d t_u) P(w) of each dish, the weight of a new table."""
+        for i, seats in self.some:
+            seats.sweep(self.c[i], opening[i], d)
+            self.t[i] = seats.tables()
+        self._blocks(opening, d)
+
+
+class Root:
+    """The root's tables of one part's words; its customers are the contexts' tables, which come and go."""
+
+    def __init__(self, n: int, exact: int, rng):
+        self.c, self.t, self.exact, self.rng = np.zeros(n, np.int64), np.zeros(n), exact, rng
+        self.seats = Tables(n, exact, rng)
+
+    def sweep(self, c: np.ndarray, opening: float, d: float) -> None:
+        few = c <= self.exact
+        self.seats.sizes[~few] = 0
+        now = self.seats.sizes.sum(axis=1, dtype=np.int64)
+        weight = np.full(len(c), opening)
+        for i in range(int(np.max((now - c)[few], initial=0))):
+            self.seats.leave(np.flatnonzero(few & (now - c > i)))
+        for i in range(int(np.max((c - now)[few], initial=0))):
+            rows = np.flatnonzero(few & (c - now > i))
+            self.seats.sit(rows, weight[rows], d)
+        self.seats.sweep(np.where(few, c, 0), weight, d)
+        self.c, self.t = c, self.seats.tables().astype(np.float64)
+        if not few.all():
+            self.t[~few] = seat_blocks(c[~few], weight[~few], d, self.rng)
 
 
 class Part:
     """The dishes of one part, with their restaurants' totals, and the root's share of their words."""
 
-    def __init__(self, w, c, customers, tables, totals: dict, params: Params, rng):
-        self.p, self.g, self.rng = params, totals, rng
-        self.customers, self.tables = customers, tables
-        self.words, self.word = np.unique(w, return_inverse=True)
-        self.n_words = len(self.words)
-        self.c = c
-        self.leaf = Seating(c, params.exact, rng)
-        self._root()
-
-    def _root(self) -> None:
-        customers = np.bincount(self.word, weights=self.leaf.t, minlength=self.n_words).astype(np.int64)
-        self.root = Seating(customers, self.p.exact, self.rng)
+    def __init__(self, w, c, tables, totals: dict, params: Params, rng):
+        self.p, self.g, self.tables = params, totals, tables
+        self.words, self.first, self.word = np.unique(w, return_index=True, return_inverse=True)
+        self.root = Root(len(self.words), params.exact, rng)
+        self._root(np.bincount(self.word, weights=c > 0, minlength=len(self.words)))
+        self.leaf = Seating(c, self._opening(), totals["d1"], params.exact, rng)
+
+    def _root(self, customers) -> None:
         g, s = self.g, self.p.strength
-        self.root.sweep(np.full(self.n_words, (s + g["d0"] * g["t0"]) / (g["v"] + 1)), g["d0"])
-        self.parent = (customers - g["d0"] * self.root.t + (s + g["d0"] * g["t0"]) / (g["v"] + 1)) / (s + g["c0"])
+        base = (s + g["d0"] * g["t0"]) / (g["v"] + 1)
+        self.root.sweep(customers.astype(np.int64), base, g["d0"])
+        self.parent = (self.root.c - g["d0"] * self.root.t + base) / (s + g["c0"])
+
+    def _opening(self):
+        return (self.p.strength + self.g["d1"] * self.tables) * self.parent[self.word]
 
     def sweep(self) -> None:
-        g = self.g
-        self.leaf.sweep((self.p.strength + g["d1"] * self.tables) * self.parent[self.word], g["d1"])
-        self._root()
+        self.leaf.sweep(self._opening(), self.g["d1"])
+        self._root(np.bincount(self.word, weights=self.leaf.t, minlength=len(self.words)))
 
-    def predictive(self) -> np.ndarray:
-        """P(w|u) of each dish."""
-        g, s = self.g, self.p.strength
-        back = (s + g["d1"] * self.tables) * self.parent[self.word]
-        return (self.c - g["d1"] * self.leaf.t + back) / (s + self.customers)
+    def sample(self) -> dict:
+        """Of each dish: its tables, its word's customers and tables at the root, and these once for each word."""
+        once = np.zeros(len(self.word))
+        once[self.first] = 1
+        c0, t0 = self.root.c[self.word].astype(np.float64), self.root.t[self.word]
+        return {"t": self.leaf.t.copy(), "c0": c0, "t0": t0, "once_c0": c0 * once, "once_t0": t0 * once}
 
 
-def _seated(dishes: DataFrame, restaurants: DataFrame, n_parts: int, run_part, schema: str) -> DataFrame:
-    """run_part(part, w, u, c, customers, tables) of each part, its dishes in order of word and previous word."""
-    names = ["w", "u", "c", "customers", "tables"]
+def _seated(dishes: DataFrame, restaurants: DataFrame, n_parts: int, totals: dict, params: Params, turn: int, samples: int) -> DataFrame:
+    """The dishes with what `samples` samples have of each, in lists, and how often each word was seen."""
+    names = ["w", "u", "c", "tables"]
+    values = ["t", "c0", "t0", "once_c0", "once_t0"]
+    schema = "w long, u long, c long, seen long, " + ", ".join(f"{x} array<double>" for x in values)
 
     def run(batches):
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        part, *columns = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in ["part", *names])
-        held.clear()
-        order = np.lexsort((columns[1], columns[0], part))
-        part, columns = part[order], [x[order] for x in columns]
-        for lo, hi in zip(start := np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [*start[1:], len(part)], strict=True):
-            arrays = run_part(int(part[lo]), *(x[lo:hi] for x in columns))
-            for at in range(0, len(arrays[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in arrays], [x.split()[0] for x in schema.split(", ")])
+        """A part's rows come together, after those of the part before; one part is held at a time."""
+        held, part = [], None
+        for batch in batches:
+            own = batch.column("part").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if held and own[lo] != part:
+                    yield from draw(part, held)
+                    held = []
+                part = own[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from draw(part, held)
+
+    def draw(part, held):
+        w, u, c, tables = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in names)
+        order = np.lexsort((u, w))
+        w, u, c, tables = w[order], u[order], c[order], tables[order]
+        x = Part(w, c, tables, totals, params, np.random.default_rng([params.seed, int(part), turn]))
+        for _ in range(params.sweeps):
+            x.sweep()
+        drawn = []
+        for _ in range(samples):
+            x.sweep()
+            drawn.append(x.sample())
+        seen = np.bincount(x.word, weights=c, minlength=len(x.words))[x.word].astype(np.int64)
+        for lo in range(0, len(w), 100_000):
+            some = slice(lo, lo + 100_000)
+            n = len(w[some])
+            starts = pa.array(np.arange(n + 1, dtype=np.int32) * samples)
+            lists = [pa.ListArray.from_arrays(starts, pa.array(np.stack([d[v][some] for d in drawn], axis=1).astype(np.float64).reshape(-1))) for v in values]
+            yield pa.RecordBatch.from_arrays([*(pa.array(a[some]) for a in (w, u, c, seen)), *lists], ["w", "u", "c", "seen", *values])
 
     n = max(n_parts, int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joined = dishes.join(restaurants, "u").select(F.pmod(F.shiftright("w", 32), F.lit(n_parts)).cast("int").alias("part"), *names)
-    return joined.repartition(n, "part").mapInArrow(run, schema)
+    return joined.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity, a row for each row of docs."""
-    spark = docs.sparkSession
-    shared.ship(spark)
-    rows = _rows(docs)
+def _totals(seated: DataFrame, samples: int) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Each context's customers, and tables by sample; the root's customers and tables by sample."""
+    by = [F.sum(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(samples)]
+    contexts = seated.groupBy("u").agg(F.sum("c").alias("customers"), *by)
+    contexts = contexts.select("u", "customers", F.array(*[f"t{i}" for i in range(samples)]).alias("tables"))
+    root = seated.agg(*[F.sum(F.get(x, F.lit(i))) for i in range(samples) for x in ("once_c0", "once_t0")]).first()
+    return contexts, [(root[2 * i] or 0.0, root[2 * i + 1] or 0.0) for i in range(samples)]
+
+
+@dataclass(frozen=True)
+class Model:
+    """found: (u, w, p, seen) of every pair of the documents; words: (w, c); n tokens and v words were learnt from."""
+
+    found: DataFrame
+    n: int
+    v: int
+
+
+def model(rows: DataFrame, pairs: DataFrame, params: Params) -> Model:
+    s = params.strength
     vocabulary_ = shared.cut(vocabulary(rows), "vocabulary")
     n, v, ones, twos = vocabulary_.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n, v = n or 0, v or 0
     n_parts = max(2, int(n * 1.25 / params.part_tokens))
-    pairs = _pairs(rows)
     dishes = shared.cut(pairs.groupBy("u", "w").agg(F.count_if("train").alias("c")), "dishes")
-    restaurants = shared.cut(dishes.groupBy("u").agg(F.sum("c").alias("customers"), F.count_if(F.col("c") > 0).cast("double").alias("tables")), "restaurants")
+    restaurants = shared.cut(dishes.groupBy("u").agg(F.count_if(F.col("c") > 0).cast("double").alias("tables")), "restaurants")
     c0, singles, doubles = dishes.agg(F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
     totals = {"v": v, "c0": float(c0), "t0": float(v), "d1": discount(singles, doubles), "d0": discount(ones, twos)}
 
-    def seat(part, w, u, c, customers, tables):
-        x = Part(w, c, customers, tables, totals, params, np.random.default_rng([params.seed, part, 1]))
-        for _ in range(params.sweeps):
-            x.sweep()
-        own, at = np.unique(u, return_inverse=True)
-        roots = np.zeros(len(own))
-        roots[0] = x.root.t.sum()
-        return own, np.bincount(at, weights=x.leaf.t), roots
-
-    seated = shared.cut(_seated(dishes, restaurants, n_parts, seat, "u long, tables double, roots double"), "seated")
-    t, t0 = seated.agg(F.sum("tables"), F.sum("roots")).first()
-    after = totals | {"c0": t or 0.0, "t0": t0 or 0.0}
-    restaurants = shared.cut(restaurants.drop("tables").join(seated.groupBy("u").agg(F.sum("tables").alias("tables")), "u"), "restaurants")
-
-    def predict(part, w, u, c, customers, tables):
-        x = Part(w, c, customers, tables, after, params, np.random.default_rng([params.seed, part, 2]))
-        mean = np.zeros(len(c))
-        for i in range(params.sweeps + params.samples):
-            x.sweep()
-            if i >= params.sweeps:
-                mean += x.predictive() / params.samples
-        seen = np.bincount(x.word, weights=c, minlength=x.n_words)[x.word]
-        return w, u, np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), np.log10(mean), (seen > 0).astype(np.int64)
+    for turn in range(params.passes - 1):
+        drawn = _seated(dishes, restaurants, n_parts, totals, params, turn, params.samples)
+        contexts, roots = _totals(shared.cut(drawn.select("u", "c", "t", "once_c0", "once_t0"), "seated"), params.samples)
+        mean = F.aggregate("tables", F.lit(0.0), lambda a, t: a + t) / params.samples
+        restaurants = shared.cut(contexts.select("u", mean.alias("tables")), "restaurants")
+        totals = totals | {"c0": sum(c for c, _ in roots) / params.samples, "t0": sum(t for _, t in roots) / params.samples}
+
+    seated = shared.cut(_seated(dishes, restaurants, n_parts, totals, params, params.passes, params.samples), "seated")
+    contexts, roots = _totals(seated, params.samples)
+    of = lambda name, i: F.get(name, F.lit(i))
+
+    def probability(i):
+        customers, tables = roots[i]
+        parent = (of("c0", i) - totals["d0"] * of("t0", i) + (s + totals["d0"] * tables) / (v + 1)) / (s + customers)
+        return (F.col("c") - totals["d1"] * of("t", i) + (s + totals["d1"] * of("tables", i)) * parent) / (s + F.col("customers"))
+
+    p = sum((probability(i) for i in range(params.samples)), F.lit(0.0)) / params.samples
+    return Model(shared.cut(seated.join(contexts, "u").select("u", "w", p.alias("p"), "seen"), "predicted"), n, v)
 
-    found = shared.cut(_seated(dishes, restaurants, n_parts, predict, "w long, u long, base double, model double, known long"), "predicted")
+
+def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity, a row for each row of docs."""
+    shared.ship(docs.sparkSession)
+    rows = _rows(docs)
+    pairs = _pairs(rows)
+    m = model(rows, pairs, params)
+    n = m.n
+    base = F.log10((F.col("seen") + 0.5) / (m.n + 0.5 * (m.v + 1)))
+    found = m.found.select("u", "w", base.alias("base"), F.log10("p").alias("model"), (F.col("seen") > 0).cast("long").alias("known"))
     tails = pairs.select("key", "u", "w").join(found, ["u", "w"]).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known")], F.count("*").alias("size"))
     heads = rows.select("key", "doc_id", "held_out")
     # equal rows share a key: what came back for the key is divided among them

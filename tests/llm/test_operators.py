@@ -177,7 +177,7 @@ def test_pipeline_line_dedup_links_lines_by_words(spark, tmp_path):
 
 
 def test_language_model(docs, empty):
-    got = lm.score(docs, lm.Params(head=16, contexts=4, shared=2, part_tokens=500)).collect()
+    got = lm.score(docs, lm.Params(part_tokens=500)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     tokens = [(r[0], re.findall(SPACED, fold(r[1])) + [None]) for r in ROWS]
     train = collections.Counter(w for i, t in tokens if not held(i) for w in t)
@@ -196,6 +196,106 @@ def test_language_model_gives_each_previous_word_its_own_context(spark):
     assert max(r.perplexity for r in got) < 12
 
 
+def toy_corpus():
+    rng = np.random.default_rng(3)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    texts = [" ".join(f"t{x}" for x in np.minimum(rng.geometric(0.35, rng.integers(1, 9)) - 1, 6)) for _ in range(60)]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    every = [f"{a} {b}" for a in vocabulary for b in [*vocabulary, "unheard"]] + vocabulary
+    return [*zip(train, texts, strict=False), *zip(held[:1], [" ".join(every)], strict=False)] + [(held[k + 1], t) for k, t in enumerate(vocabulary)], texts, vocabulary
+
+
+def seated_by_hand(texts, d0, d1, s, sweeps):
+    """The model's averaged probabilities by one customer at a time, all totals as they are."""
+    rng = np.random.default_rng(9)
+    vocabulary = sorted({w for t in texts for w in t.split()}) + ["END"]
+    v = len(vocabulary)
+    tables, root = collections.defaultdict(list), collections.defaultdict(list)
+    in_context, customers, tables_of = collections.Counter(), collections.Counter(), collections.Counter()
+    at_root = [0, 0]
+
+    def parent(w):
+        return (sum(root[w]) - d0 * len(root[w]) + (s + d0 * at_root[1]) / (v + 1)) / (s + at_root[0])
+
+    def choose(sizes, weight, d):
+        p = np.array([weight] + [x - d for x in sizes])
+        return int(rng.choice(len(p), p=p / p.sum())) - 1
+
+    def root_change(w, add):
+        if add:
+            k = choose(root[w], (s + d0 * at_root[1]) / (v + 1), d0)
+            at_root[0] += 1
+            if k < 0:
+                root[w].append(1)
+                at_root[1] += 1
+            else:
+                root[w][k] += 1
+        else:
+            k = int(rng.choice(len(root[w]), p=np.array(root[w]) / sum(root[w])))
+            root[w][k] -= 1
+            at_root[0] -= 1
+            if not root[w][k]:
+                root[w].pop(k)
+                at_root[1] -= 1
+
+    events = []
+    for t in texts:
+        w = ["END", *t.split(), "END"]
+        events += list(zip(w[:-1], w[1:], strict=True))
+    mean = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in events:
+            own = tables[u, w]
+            if sweep:
+                k = int(rng.choice(len(own), p=np.array(own) / sum(own)))
+                own[k] -= 1
+                customers[u] -= 1
+                if not own[k]:
+                    own.pop(k)
+                    tables_of[u] -= 1
+                    root_change(w, False)
+            k = choose(own, (s + d1 * tables_of[u]) * parent(w), d1)
+            customers[u] += 1
+            if k < 0:
+                own.append(1)
+                tables_of[u] += 1
+                root_change(w, True)
+            else:
+                own[k] += 1
+        if sweep >= sweeps // 4:
+            for u in vocabulary:
+                for w in [*vocabulary, "unheard"]:
+                    back = parent(w) if w in root else (s + d0 * at_root[1]) / (v + 1) / (s + at_root[0])
+                    mean[u, w] += (sum(tables[u, w]) - d1 * len(tables[u, w]) + (s + d1 * tables_of[u]) * back) / (s + customers[u])
+    return {k: x / (sweeps - sweeps // 4) for k, x in mean.items()}
+
+
+def test_language_model_probabilities(spark):
+    """After every word the probabilities add up to 1, and they are those of a sampler that seats one customer at a time."""
+    rows, texts, vocabulary = toy_corpus()
+    held = lm._rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    pairs = lm._pairs(held)
+    params = lm.Params(part_tokens=100, samples=40)
+    m = lm.model(held, pairs, params)
+    name = {words.hash_one(w.encode()): w for w in [*vocabulary, "unheard"]} | {lm.END: "END"}
+    found = {(name[r.u % 2**64], name[r.w % 2**64]): r.p for r in m.found.collect()}
+    assert m.v == len(vocabulary) + 1
+    total = collections.Counter()
+    for (u, _), p in found.items():
+        total[u] += p
+    assert len(total) >= m.v and all(abs(total[u] - 1) < 1e-9 for u in vocabulary)
+    counts, seen = collections.Counter(), collections.Counter()
+    for t in texts:
+        w = ["END", *t.split(), "END"]
+        counts.update(zip(w[:-1], w[1:], strict=True))
+        seen.update(w[1:])
+    discount = lambda c: min(0.95, max(0.05, a / (a + 2 * b))) if (a := sum(x == 1 for x in c.values())) + 0 * (b := sum(x == 2 for x in c.values())) else 0.5
+    want = seated_by_hand(texts, discount(seen), discount(counts), params.strength, 400)
+    apart = max(abs(found[k] - want[k]) for k in found if k in want)
+    assert apart < 0.03, apart
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs).collect()
     assert len(got) == len(ROWS) and len(licenses.rules(licenses.Params())) > 200
