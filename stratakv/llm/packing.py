@@ -1,17 +1,22 @@
 """Documents into sequences of at most `capacity` tokens by sum-of-squares online packing.
 
-Each input partition packs its own documents, in one pass and in bounded memory. N(h) counts the open sequences filled
-to h. Full windows of a long document leave at once; what is left goes to the level (or to a new sequence) for which the
-sum of all N(h)^2 becomes smallest, the fuller level on ties. When `max_open` sequences are open, a document is cut to
-close the fullest one. At the end of a partition the open sequences are laid end to end and cut anew into full ones; the
-rest is cut into sequences whose lengths are powers of two, which are not padded.
-
-A null text is empty: its end token alone. Repeated rows are packed each. An empty table gives no rows. A partition that
-is computed again gives the same rows: nothing depends on time or chance.
+Each input partition packs its own documents, in one pass. N(l) counts the open sequences of fill level l, a level being
+`grain` tokens wide. Full windows of a long document leave at once; what is left goes to the level (to its emptiest
+sequence) or to a new sequence for which the sum of all N(l)^2 becomes smallest, the fuller level on ties. A sequence with
+less than `grain` tokens of room is no longer open: the documents that come next fill it, and it leaves. A document may
+also be cut, to fill the fullest sequence of a level and go on in a new one, where that makes the sum smaller by more than
+`cut_cost`: so no level grows beyond about half of that, whatever the lengths, and memory is bounded. At the end of a
+partition the fullest open sequences are filled from the emptiest ones, and the rest is cut into sequences whose lengths
+are powers of two, so nothing is padded.
+
+A null text is empty: its end token alone. Repeated rows are packed each. Very long texts are cut into windows. An empty
+table gives no rows. Other columns are not looked at. A partition that is computed again gives the same rows: nothing
+depends on time or chance.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -29,7 +34,8 @@ class Params:
     tokenizer: str
     capacity: int = 4096
     end_id: int = 2
-    max_open: int = 512
+    grain: int = 128
+    cut_cost: int = 32
     fold: bool = True
 
 
@@ -44,54 +50,72 @@ class Piece:
 class Packer:
     def __init__(self, params: Params, first_sequence: int):
         self.p, self.sequence, self.rows = params, first_sequence, []
-        self.level = np.zeros(params.capacity + 1, np.int64)
-        self.open: list[list[list[Piece]]] = [[] for _ in range(params.capacity + 1)]
-        self.n_open = 0
+        self.level = np.zeros(params.capacity // params.grain + 1, np.int64)
+        self.open: list[list[tuple[int, int, list[Piece]]]] = [[] for _ in self.level]  # heaps by fill, then age
+        self.filling: list[tuple[int, list[Piece]]] = []
+        self.age = 0
+        self.placed = 0  # sequences that placement closed
 
     def add(self, doc, ids: np.ndarray) -> None:
         at, n, c = 0, len(ids), self.p.capacity
         while n - at >= c:
             self._emit([Piece(doc, at, ids[at : at + c], n)])
+            self.placed += 1
             at += c
-        if n == at:
-            return
-        if self.n_open >= self.p.max_open:
-            h = int(np.flatnonzero(self.level)[-1])
-            room = c - h
-            if n - at > room:
-                pieces = self._take(h)
-                self._emit([*pieces, Piece(doc, at, ids[at : at + room], n)])
-                at += room
-        r = n - at
-        h = self._choose(r)
-        pieces = self._take(h) if h else []
-        pieces.append(Piece(doc, at, ids[at:].copy(), n))
-        if h + r == c:
+        while at < n and self.filling:
+            fill, pieces = self.filling.pop()
+            piece = Piece(doc, at, ids[at : at + c - fill].copy(), n)
+            at += len(piece.ids)
+            self._put(fill + len(piece.ids), [*pieces, piece])
+        if at < n:
+            self._place(doc, at, ids, n)
+
+    def _place(self, doc, at: int, ids: np.ndarray, n: int) -> None:
+        level, cut = self._choose(n - at)
+        if cut:
+            fill, _, pieces = max(self.open[level])
+            self.open[level].remove((fill, _, pieces))
+            heapq.heapify(self.open[level])
+            end = at + self.p.capacity - fill
+            self.level[level] -= 1
+            self._put(self.p.capacity, [*pieces, Piece(doc, at, ids[at:end].copy(), n)])
+            at, level = end, -1
+        fill, pieces = 0, []
+        if level >= 0:
+            fill, _, pieces = heapq.heappop(self.open[level])
+            self.level[level] -= 1
+        self._put(fill + n - at, [*pieces, Piece(doc, at, ids[at:].copy(), n)])
+
+    def _put(self, fill: int, pieces: list[Piece]) -> None:
+        if fill == self.p.capacity:
             self._emit(pieces)
+            self.placed += 1
+        elif fill > self.p.capacity - self.p.grain:
+            self.filling.append((fill, pieces))
         else:
-            self.open[h + r].append(pieces)
-            self.level[h + r] += 1
-            self.n_open += 1
-
-    def _choose(self, r: int) -> int:
-        """The level to put r tokens on: the change of the sum of squares is 2 (N(h + r) - N(h) + 1), or 2 N(r) + 1 for a new one."""
-        top = self.p.capacity - r
-        here = self.level[: top + 1]
-        there = self.level[r : r + top + 1].copy()
-        there[top] = 0  # a full sequence leaves
-        change = 2 * (there - here + 1)
-        if top == 0:
-            return 0
-        change[here == 0] = np.iinfo(np.int64).max
-        change[0] = 2 * there[0] + 1
-        if change[top] < np.iinfo(np.int64).max and top:
-            change[top] -= 1  # and its square with it
-        return int(top - np.argmin(change[::-1]))
-
-    def _take(self, h: int) -> list[Piece]:
-        self.level[h] -= 1
-        self.n_open -= 1
-        return self.open[h].pop(0)
+            self.level[fill // self.p.grain] += 1
+            heapq.heappush(self.open[fill // self.p.grain], (fill, self.age, pieces))
+            self.age += 1
+
+    def _choose(self, r: int) -> tuple[int, bool]:
+        """The level to take r tokens (-1: a new sequence), and whether they are cut there.
+
+        A sequence that moves from l to m changes the sum by 2 (N(m) - N(l) + 1); one that begins at m by 2 N(m) + 1, one
+        that leaves l by 1 - 2 N(l).
+        """
+        c, g, count = self.p.capacity, self.p.grain, self.level
+        begun = lambda fill: 0 if fill > c - g else 2 * int(count[fill // g]) + 1
+        best = (begun(r), 1, -1, False)
+        for level in np.flatnonzero(count).tolist():
+            gone = 1 - 2 * int(count[level])
+            fill = self.open[level][0][0] + r
+            if fill <= c:
+                change = 0 if fill // g == level and fill <= c - g else gone + begun(fill)
+                best = min(best, (change, -level, level, False))
+            most = max(self.open[level])[0]
+            if most + r > c:
+                best = min(best, (gone + begun(most + r - c) + self.p.cut_cost, -level, level, True))
+        return best[2], best[3]
 
     def _emit(self, pieces: list[Piece]) -> None:
         offset = 0
@@ -103,7 +127,7 @@ class Packer:
     def finish(self) -> None:
         """Fill the fullest open sequences from the emptiest; cut what is left into powers of two from the largest."""
         c = self.p.capacity
-        placed = [pieces for h in range(c + 1) for pieces in self.open[h]]
+        placed = [pieces for heap in self.open for _, _, pieces in sorted(heap)] + [pieces for _, pieces in sorted(self.filling)]
         left = sum(len(p.ids) for pieces in placed for p in pieces)
         rest: list[Piece] = []
         first = 0

@@ -377,23 +377,74 @@ def test_packing(docs, empty):
 
 
 def test_packer_places_by_sum_of_squares():
-    p = packing.Packer(packing.Params("", capacity=10), 0)
-    for i, n in enumerate((6, 6, 4, 3)):
+    """Each choice against all choices, their sums counted from the open sequences anew; ties go to the fuller level."""
+    rng = np.random.default_rng(7)
+    c, g, cost = 64, 8, 6
+    cuts = 0
+    for lengths in (rng.integers(1, 90, 300), rng.integers(33, 60, 300), rng.integers(33, 36, 200)):
+        p = packing.Packer(packing.Params("", capacity=c, grain=g, cut_cost=cost), 0)
+        opened: list[int] = []  # fills, the oldest first
+        waiting: list[int] = []
+        total = lambda fills: sum(n * n for n in collections.Counter(f // g for f in fills if f <= c - g).values())
+
+        def put(fill):
+            if fill <= c - g:
+                opened.append(fill)
+            elif fill < c:
+                waiting.append(fill)
+
+        for i, n in enumerate(lengths.tolist()):
+            p.add(i, np.full(n, i, np.uint32))
+            r = n % c
+            while r and waiting:
+                fill = waiting.pop()
+                taken = min(r, c - fill)
+                put(fill + taken)
+                r -= taken
+            if not r:
+                continue
+            options = [(total([*opened, r]), 1, None, [r])]
+            for level in {f // g for f in opened}:
+                own = [f for f in opened if f // g == level]
+                if min(own) + r <= c:
+                    rest = list(opened)
+                    rest.remove(min(own))
+                    options.append((total([*rest, min(own) + r]), -level, min(own), [min(own) + r]))
+                if max(own) + r > c:
+                    rest = list(opened)
+                    rest.remove(max(own))
+                    options.append((total([*rest, max(own) + r - c]) + cost, -level, max(own), [max(own) + r - c]))
+            _, _, gone, new = min(options, key=lambda x: x[:2])
+            cuts += gone is not None and new[0] != gone + r
+            if gone is not None:
+                opened.remove(gone)
+            for f in new:
+                put(f)
+            assert sorted(opened) == sorted(x[0] for heap in p.open for x in heap)
+            assert p.level.tolist() == [sum(f // g == k for f in opened) for k in range(c // g + 1)]
+        assert max(p.level) <= cost
+    assert cuts > 10
+
+
+def test_packer_closes_most_sequences_by_placement():
+    rng = np.random.default_rng(8)
+    p = packing.Packer(packing.Params(""), 0)
+    for i, n in enumerate(np.minimum(rng.lognormal(6.3, 1, 1250), 20000).astype(int) + 1):
         p.add(i, np.zeros(n, np.uint32))
-    assert [r[0] for r in p.rows] == [0, 2] and p.n_open == 1 or p.n_open == 2
     p.finish()
-    assert sum(r[2] for r in p.rows) == 19
+    assert p.placed > 0.9 * p.sequence
 
 
 def test_packer_keeps_placed_sequences_at_the_end():
     rng = np.random.default_rng(8)
     for _ in range(30):
-        p = packing.Packer(packing.Params("", capacity=64), 0)
+        p = packing.Packer(packing.Params("", capacity=64, grain=4), 0)
         sizes = rng.integers(1, 150, 60).tolist()
         for i, n in enumerate(sizes):
             p.add(i, np.full(n, i, np.uint32))
         c = p.p.capacity
-        placed = [{(x.doc, x.start, len(x.ids)) for x in pieces} for h in range(c, -1, -1) for pieces in p.open[h]]
+        sequences = sorted(((fill, age, pieces) for heap in p.open for fill, age, pieces in heap), reverse=True)
+        placed = [{(x.doc, x.start, len(x.ids)) for x in pieces} for pieces in [*(x for _, x in p.filling), *(x for _, _, x in sequences)]]
         left = sum(n for x in placed for _, _, n in x)
         p.finish()
         out = collections.defaultdict(set)
