@@ -11,7 +11,8 @@ shared after the places of the common word) and parities (how many words of a se
 differs is a word that only one side has) refuse pairs without error. A set of fewer than s / (100 - s) words is linked with none.
 
 Groups. The links of a group of near copies are as many as the square of its size, so no pair of it becomes a row. A
-semi-join tells which classes have a candidate at all. These are compared with the first class of their prefix words, then
+semi-join tells which classes have a candidate at all; a table of `filter_bits` bits keeps most other lines from being
+read a second time (where it is full, all lines' texts are shuffled once). These classes are compared with the first class of their prefix words, then
 with candidates in other groups only, until every two candidates are of one group (`_groups`). A group is dealt into blocks
 of `block` classes; a row holds two blocks, whose sets, made again from the texts, are compared inside the row. Counting
 a group's links is still work in the square of its size, spread over tasks; memory is that of two blocks.
@@ -37,9 +38,9 @@ from . import minhash, shared
 @dataclass(frozen=True)
 class Params:
     similarity: int = 80
-    buckets: int = 1 << 16
+    buckets: int = 1 << 14
     block: int = 256
-    filter_bits: int = 1 << 22
+    filter_bits: int = 1 << 20
 
 
 def _words(text: Column) -> Column:
@@ -122,30 +123,25 @@ def _apart(x, y) -> Column:
     return F.when((x("n") > LONG) & (y("n") > LONG), sum(parts, F.bit_count(rest[0].bitwiseXOR(rest[1])))).otherwise(0)
 
 
-def _is(x: str, y: str) -> Column:
-    return (F.col(f"{x}.id") == F.col(f"{y}.id")) & (F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line") == F.col(f"{y}.line"))
-
-
 def _groups(entries: DataFrame, params: Params) -> DataFrame:
-    """(name, component) of the classes that have a candidate; two candidates are in one component.
+    """(id, component) of the classes that have a candidate; two candidates are in one component.
 
-    name is a hash of the class for the grouping: one that two classes share puts them in one group, which is no error.
+    Here id alone names a class: two classes with one hash come into one group, where they are told apart again.
     """
-    met = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & ~_is("x", "y") & _candidates("x", "y", params), "left_semi")
-    met = shared.cut(met.withColumn("name", F.xxhash64(*CLASS)), "contested")
-    heads = met.groupBy("token").agg(F.min(F.struct(*CLASS, "n", "pos", "parity", *PARTS, "name")).alias("h")).select("token", "h.*")
+    met = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & _candidates("x", "y", params), "left_semi")
+    met = shared.cut(met, "contested")
+    heads = met.groupBy("token").agg(F.min(F.struct("id", "n", "pos", "parity", *PARTS)).alias("h")).select("token", "h.*")
     near = met.alias("x").join(heads.alias("y"), "token").where(_candidates("x", "y", params))
-    links = shared.cut(near.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), "near")
+    links = shared.cut(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near")
     found = minhash.components(links)
-    own = met.join(found.withColumnRenamed("id", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    own = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     own = shared.cut(own.join(mixed, "token", "left_semi"), "mixed")
     across = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _candidates("x", "y", params))
     across = shared.cut(across.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct(), "across")
     if across.limit(1).count():
         found = minhash.components(links.union(across))
-    names = met.select("name", *CLASS).distinct()
-    return names.join(found.withColumnRenamed("id", "name"), "name", "left").select(*CLASS, F.coalesce("component", "name").alias("component"))
+    return met.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _counted(members: DataFrame, params: Params) -> DataFrame:
@@ -186,20 +182,22 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     table = shared.cut(table, "lines")
     key = ["id", "check", "n"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "line")
-    classes = table.groupBy(*key).agg(F.min(F.struct(place.alias("first"), "prefix", "parity", *PARTS)).alias("x")).select(*key, "x.*")
-    entries = classes.select("first.*", "id", "n", "parity", *PARTS, F.posexplode("prefix").alias("pos", "token"))
+    classes = table.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("prefix", "parity", *PARTS)])
+    entries = classes.select("id", "n", "parity", *PARTS, F.posexplode("prefix").alias("pos", "token"))
     entries = entries.withColumn("token", F.col("token").bitwiseXOR(F.shiftrightunsigned("token", 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    grouped = shared.cut(_groups(entries, params), "groups")
+    groups = _groups(entries, params)
+    firsts = shared.cut(table.groupBy(*key).agg(F.min(place).alias("first")).select(*key, "first.*"), "firsts")
+    grouped = shared.cut(firsts.join(groups, "id").select(*CLASS, "component"), "groups")
     cell = F.xxhash64("doc", "line").bitwiseAND(F.lit(params.filter_bits - 1))
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
     wanted = _cells(grouped, F.shiftright(cell, 6), F.bit_or(bit), params.filter_bits >> 6)
     hit = F.get(shared.constant(wanted.tolist(), "bigint"), F.shiftright(cell, 6).cast("int")).bitwiseAND(bit) != 0
-    some = _lines(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).where(hit)
-    some = some.select("doc", "line", shared.once(_tokens(F.col("_line"), ranks, params)).alias("tokens")).withColumn("id", F.xxhash64("tokens"))
-    sets = some.join(grouped, list(CLASS)).groupBy(*CLASS, "component").agg(F.first("tokens").alias("tokens"))
+    some = _lines(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).where(hit).drop("doc_id")
+    some = some.join(grouped.withColumnRenamed("id", "_id"), ["doc", "line"])  # a line's text, before it is more than that
+    some = some.select("doc", "line", "_id", "component", shared.once(_tokens(F.col("_line"), ranks, params)).alias("tokens")).withColumn("id", F.xxhash64("tokens"))
+    sets = some.where("id = _id").groupBy(*CLASS, "component").agg(F.first("tokens").alias("tokens"))
     linked = shared.cut(_counted(sets, params), "links")
-    firsts = table.groupBy(*key).agg(F.min(place).alias("first"))
-    firsts = firsts.select(*key, "first.*").join(linked, list(CLASS), "left").select(*key, F.struct("doc", "line").alias("first"), "links", "late")
+    firsts = firsts.join(linked, list(CLASS), "left").select(*key, F.struct("doc", "line").alias("first"), "links", "late")
     out = table.select("doc_id", "line", *key).join(firsts, key)
     gone = F.coalesce("late", F.lit(False)) | (place != F.col("first"))
     return out.select("doc_id", "line", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), gone.alias("removed"))
