@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import generators
+from ..plans import ordered
 from . import scan, search
 
 #: Shares of the standard mixes in hundredths.
@@ -25,13 +26,13 @@ def drawn(ids: DataFrame, mix: str) -> DataFrame:
 def run_mix(live: DataFrame, ops: DataFrame, scan_rows: int = 50) -> DataFrame:
     """Counts by operation and success. Reads see the state before the mix; sets and read-modify-writes always succeed."""
     reads = search.get_many(live.select("key", "value", "hlc"), ops.where("op in ('get', 'rmw')").select("key", "op")).select("op", F.when(F.col("op") == "rmw", True).otherwise(F.col("found")).alias("ok"))
-    total = live.count()
-    from ..plans import ordered
-
-    ranked = ordered.rank(live.select("key"), ["key"]).select("key", F.struct("rank").alias("hit"))
-    scans = ordered.nearest(ranked, ops.where("op = 'scan'").select("key", "op"), False, False).select("op", F.coalesce(F.col("hit.rank") + scan_rows <= total, F.lit(False)).alias("ok"))
-    sets = ops.where("op = 'set'").select("op", F.lit(True).alias("ok"))
-    return reads.unionByName(scans).unionByName(sets).groupBy("op").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
+    done = reads.unionByName(ops.where("op = 'set'").select("op", F.lit(True).alias("ok")))
+    starts = ops.where("op = 'scan'").select("key", "op")
+    if starts.limit(1).count():
+        total = live.count()
+        ranked = ordered.rank(live.select("key"), ["key"]).select("key", F.struct("rank").alias("hit"))
+        done = done.unionByName(ordered.nearest(ranked, starts, False, False).select("op", F.coalesce(F.col("hit.rank") + scan_rows <= total, F.lit(False)).alias("ok")))
+    return done.groupBy("op").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
 
 
 def fill(spark, n: int, key_bytes: int, value_bytes: int) -> DataFrame:

@@ -41,21 +41,36 @@ def rank(df: DataFrame, order: list[str], out: str = "rank", descending: bool =
 
 
 def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, str]], descending: bool = False) -> DataFrame:
-    """Adds running sums or maxima ({out: (sum | max, column)}) in the order of the columns."""
+    """Adds running sums or maxima ({out: (sum | max, column)}) in the order of the columns.
+
+    What each range adds, one number for each range, goes over the driver into the expression: the plan reads df once.
+    """
     cuts = bounds(df, order[0])
     place = range_of(F.col(order[0]), cuts)
     df = df.withColumn("_range", -place if descending else place)
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_range").orderBy(*by)
     kinds = {"sum": F.sum, "max": F.max}
-    out = df.select("*", *[kinds[kind](c).over(inside).alias(f"_in_{name}") for name, (kind, c) in values.items()])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.select("*", *[kinds[kind](c).over(upto).alias(f"_in_{name}") for name, (kind, c) in values.items()])
     if not cuts:
         return out.select(*[c for c in df.columns if c != "_range"], *[F.col(f"_in_{name}").alias(name) for name in values])
     totals = df.groupBy("_range").agg(*[kinds[kind](c).alias(f"_t_{name}") for name, (kind, c) in values.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    carried = totals.select("_range", *[kinds[kind](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in values.items()])
-    out = out.join(F.broadcast(carried), "_range")  # at most as many rows as shuffle partitions
-    final = {name: (F.col(f"_in_{name}") + F.coalesce(f"_c_{name}", F.lit(0)) if kind == "sum" else F.greatest(f"_in_{name}", f"_c_{name}")) for name, (kind, _) in values.items()}
+    names = list(values)
+    rows = totals.collect()  # at most as many rows as shuffle partitions
+    rows.sort(key=lambda r: r["_range"])
+    carried, so_far = [], [None] * len(names)
+    for r in rows:
+        carried.append((r["_range"], *so_far))
+        for i, name in enumerate(names):
+            t, old = r[f"_t_{name}"], so_far[i]
+            so_far[i] = old if t is None else t if old is None else old + t if values[name][0] == "sum" else max(old, t)
+    kind_of = dict(out.dtypes)
+    before = {name: F.create_map(*[F.lit(x).cast(kind_of[f"_in_{name}"] if j % 2 else "int") for r in carried for j, x in enumerate((r[0], r[1 + i]))])[F.col("_range")] for i, name in enumerate(names)}
+    final = {}
+    for name, (kind, _) in values.items():
+        own = F.col(f"_in_{name}")
+        final[name] = own + F.coalesce(before[name], F.lit(0).cast(kind_of[f"_in_{name}"])) if kind == "sum" else F.greatest(own, before[name])
     return out.select(*[c for c in df.columns if c != "_range"], *[c.alias(name) for name, c in final.items()])
 
 
@@ -72,13 +87,13 @@ def nearest(live: DataFrame, probes: DataFrame, backward: bool, strict: bool) ->
     top = (F.col("key") == "") if backward else F.lit(False)
     right = probes.select("key", top.alias("_top"), F.lit(1 if live_first else 0).alias("_side"), F.lit(True).alias("_probe"), F.lit(None).cast(live.schema["hit"].dataType).alias("hit"), *extra)
     both = left.unionByName(right).withColumn("_range", F.when(F.col("_top"), F.lit(len(cuts))).otherwise(range_of(F.col("key"), cuts)))
-    window = Window.partitionBy("_range").orderBy("_top", "key", "_side")
-    span = window.rowsBetween(Window.unboundedPreceding, 0) if backward else window.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if backward else F.first
-    found = both.withColumn("_near", pick("hit", ignorenulls=True).over(span)).where("_probe")
+    # forward is backward in the mirrored order: a frame that grows, row by row
+    by = [F.col(c) if backward else F.col(c).desc() for c in ("_top", "key", "_side")]
+    span = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_near", F.last("hit", ignorenulls=True).over(span)).where("_probe")
     edge = left.withColumn("_range", range_of(F.col("key"), cuts)).groupBy("_range").agg((F.max_by if backward else F.min_by)("hit", "key").alias("_edge"))
     spine = live.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range"))
     edge = spine.join(edge, "_range", "left")
-    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if backward else Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    carried = edge.select("_range", pick("_edge", ignorenulls=True).over(over).alias("_carried"))
+    over = Window.orderBy(F.col("_range") if backward else F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edge.select("_range", F.last("_edge", ignorenulls=True).over(over).alias("_carried"))
     return found.join(F.broadcast(carried), "_range").select("key", *extra, F.coalesce("_near", "_carried").alias("hit"))
