@@ -30,6 +30,10 @@ STORED = T.StructType([T.StructField(n, t) for n, t in (("seq", T.LongType()), (
 VALUES = T.StructType([T.StructField("vref", T.StringType()), T.StructField("value", T.StringType()), T.StructField("n_bytes", T.LongType())])
 
 
+#: Schemes of stores besides local ones whose create is exclusive.
+EXCLUSIVE = ("hdfs", "viewfs", "file")
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
@@ -49,6 +53,8 @@ class Database:
         self.store, self.root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         self.store.create_dir(f"{self.root}/_manifest", recursive=True)
         self.closed = False
+        self.staged: Manifest | None = None  # what an atomic block has written so far
+        self.start: Manifest | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config = Config()) -> Database:
@@ -61,6 +67,8 @@ class Database:
         return sorted(int(f.base_name[1:-5]) for f in found if f.base_name.startswith("v") and f.base_name.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> Manifest:
+        if version is None and self.staged is not None:
+            return self.staged
         known = self.versions()
         if version is None:
             version = known[-1] if known else 0
@@ -71,6 +79,12 @@ class Database:
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
     def _commit(self, new: Manifest) -> Manifest:
+        if self.staged is not None:
+            self.staged = replace(new, version=self.start.version + 1)
+            return self.staged
+        return self._publish(new)
+
+    def _publish(self, new: Manifest) -> Manifest:
         path = f"{self.root}/_manifest/v{new.version}.json"
         draft = f"{self.root}/_manifest/.{uuid.uuid4().hex}"
         body = json.dumps(new.__dict__).encode()
@@ -86,26 +100,42 @@ class Database:
             finally:
                 os.unlink(draft)
         else:
-            if self.store.get_file_info(path).type != fs.FileType.NotFound:
-                raise ConflictError(f"version {new.version} is taken")
-            with self.store.open_output_stream(draft) as f:
-                f.write(body)
-            self.store.move(draft, path)
+            self._create_exclusively(path, body)
         return new
 
+    def _create_exclusively(self, path: str, body: bytes) -> None:
+        """Through Hadoop's file system, whose create(overwrite = false) fails if the file is there (HDFS; a rename would not)."""
+        jvm = self.spark._jvm
+        name = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/{path.rpartition('/')[2]}")
+        if name.toUri().getScheme() not in EXCLUSIVE:
+            raise KVError(f"a store on {name.toUri().getScheme()}:// can't create a manifest exclusively; open it for reading only")
+        try:
+            out = name.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(name, False)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise ConflictError(f"{path} is taken") from None
+            raise
+        out.write(bytearray(body))
+        out.close()
+
     # writing
 
     def _uri(self, kind: str) -> str:
         return f"{self.path}/{kind}/{uuid.uuid4().hex}"
 
     def apply(self, ops: DataFrame, base: Manifest | None = None) -> Manifest:
-        """Commits operations (key, value, tomb[, pos]) as one version; all get one clock tick unless they carry hlc."""
+        """Commits operations (key, value, tomb[, pos][, hlc]) as one version; they get one clock tick unless they carry theirs.
+
+        An operation that carries an older clock than its key's last write is late: it is logged and never seen.
+        """
         base = base or self.manifest()
         batch.check(ops)
         tick = max((time.time_ns() + 65535) & ~65535, base.hlc + 1)
         order = ["pos"] if "pos" in ops.columns else ["key"]
         ops = ordered.rank(ops, order, out="_r") if "pos" in ops.columns else ops.withColumn("_r", F.lit(1).cast("long"))
-        stamped = ops.select((F.lit(base.seq) + F.col("_r")).alias("seq"), "key", "value", "tomb", (F.lit(tick) + F.col("_r") - 1).alias("hlc") if "pos" in ops.columns else F.lit(tick).alias("hlc"))
+        clock = F.lit(tick) + F.col("_r") - 1 if "pos" in ops.columns else F.lit(tick)
+        clock = F.coalesce(F.col("hlc"), clock) if "hlc" in ops.columns else clock
+        stamped = ops.select((F.lit(base.seq) + F.col("_r")).alias("seq"), "key", "value", "tomb", clock.alias("hlc"))
         slim, large = values.split(stamped) if self.config.large_values else (stamped.withColumn("vref", F.lit(None).cast("string")), None)
         log = self._uri("log")
         slim.select(*STORED.names).write.parquet(log)
@@ -118,7 +148,7 @@ class Database:
             folder = self._uri("values")
             large.select(*VALUES.names).write.parquet(folder)
             kept = (*kept, folder)
-        return self._commit(replace(base, version=base.version + 1, hlc=stats[1], seq=stats[2], logs=(*base.logs, log), values=kept, logical_bytes=base.logical_bytes + stats[4]))
+        return self._commit(replace(base, version=base.version + 1, hlc=max(base.hlc, stats[1]), seq=stats[2], logs=(*base.logs, log), values=kept, logical_bytes=base.logical_bytes + stats[4]))
 
     def _rows(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, "pos long, key string, value string, tomb boolean")
@@ -229,15 +259,19 @@ class Database:
 
     @contextmanager
     def update(self, atomic: bool = False):
-        """Writes of the block are seen by its own reads; without atomic, those before an error stay."""
-        start = self.manifest()
-        tx = Update(self)
-        try:
-            yield tx
-        except Exception:
-            if atomic and self.manifest().version > start.version:
-                self._commit(replace(start, version=self.manifest().version + 1))
-            raise
+        """Writes of the block are seen by its own reads; without atomic, those before an error stay.
+
+        An atomic block stages its writes and publishes them as one version after the one that it began with. An error
+        publishes nothing; a version that another writer published meanwhile makes it fail with ConflictError.
+        """
+        if not atomic:
+            yield Update(self)
+            return
+        own = Database(self.spark, self.path, self.config)
+        own.start = own.staged = own.manifest()
+        yield Update(own)
+        if own.staged != own.start:
+            own._publish(own.staged)
 
     def metrics(self) -> dict:
         m, now = self.manifest(), self.at()

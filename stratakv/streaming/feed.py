@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -35,17 +37,17 @@ def upserts(log: DataFrame) -> DataFrame:
 
 
 def into_store(log: DataFrame, db, checkpoint: str, seconds: int = 5):
-    """Appends each micro-batch to a store as one version, every few seconds; a batch that runs again is committed once."""
+    """Appends each micro-batch to a store as one version, every few seconds; a batch that runs again is committed once.
+
+    Operations keep their clocks, so a late row loses to what the store already has.
+    """
 
     def commit(df: DataFrame, batch_id: int) -> None:
         base = db.manifest()
         if batch_id in base.commits:
             return
-        from dataclasses import replace
-
-        ops = df.select("key", "value", "tomb", df["seq"].alias("pos"))
-        after = db.apply(ops, replace(base, commits=(*base.commits[-100:], batch_id)))
-        del after
+        ops = df.select("key", "value", "tomb", df["seq"].alias("pos"), "hlc")
+        db.apply(ops, replace(base, commits=(*base.commits[-100:], batch_id)))
 
     return log.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 

@@ -187,3 +187,32 @@ def test_the_entry_module():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_atomic_update_keeps_what_others_wrote(spark, tmp_path):
+    path = str(tmp_path / "db")
+    mine, other = Database.open(spark, path), Database.open(spark, path)
+    mine.put("a", "1")
+    with pytest.raises(RuntimeError, match="stop"), mine.update(atomic=True) as tx:
+        tx.put("b", "2")
+        assert tx.get("b").value == "2" and other.at().get("b") is None
+        other.put("c", "3")
+        raise RuntimeError("stop")
+    assert [r.key for r in mine.at().ascend().collect()] == ["a", "c"]
+    with pytest.raises(ConflictError), mine.update(atomic=True) as tx:
+        tx.put("d", "4")
+        other.put("e", "5")
+    assert mine.at().get("d") is None and mine.at().get("e").value == "5"
+    before = mine.manifest().version
+    with mine.update(atomic=True) as tx:
+        tx.put("f", "6")
+        tx.delete("a")
+    assert mine.manifest().version == before + 1 and mine.at().get("a") is None and mine.at().get("f").value == "6"
+
+
+def test_a_late_operation_loses_in_the_store(spark, tmp_path):
+    db = Database.open(spark, str(tmp_path / "db"))
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, value string, tomb boolean, pos long, hlc long")
+    db.apply(rows(("k", "new", False, 0, 500), ("m", "x", False, 1, 400)))
+    db.apply(rows(("k", "late", False, 0, 300), ("m", None, True, 1, 450)))
+    assert db.at().get("k").value == "new" and db.at().get("m") is None and db.manifest().hlc == 500
