@@ -12,8 +12,9 @@ differs is a word that only one side has) refuse pairs without error. A set of f
 
 Groups. The links of a group of near copies are as many as the square of its size, so no pair of it becomes a row. A
 semi-join tells which classes have a candidate at all; a table of `filter_bits` bits keeps most other lines from being
-read a second time (where it is full, all lines' texts are shuffled once). These classes are compared with the first class of their prefix words, then
-with candidates in other groups only, until every two candidates are of one group (`_groups`). A group is dealt into blocks
+read a second time (where it is full, all lines' texts are shuffled once). These classes are compared with `heads` classes
+drawn by hash of each of their prefix words, then with candidates in other groups only, so that every two candidates are
+of one group (`_groups`). A group is dealt into blocks
 of `block` classes; a row holds two blocks, whose sets, made again from the texts, are compared inside the row. Counting
 a group's links is still work in the square of its size, spread over tasks; memory is that of two blocks.
 Classes, not lines, are joined, so a line that a third of all documents hold is one row; Spark may split any key.
@@ -40,6 +41,7 @@ class Params:
     similarity: int = 80
     buckets: int = 1 << 14
     block: int = 256
+    heads: int = 8
     filter_bits: int = 1 << 20
 
 
@@ -130,8 +132,10 @@ def _groups(entries: DataFrame, params: Params) -> DataFrame:
     """
     met = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & _candidates("x", "y", params), "left_semi")
     met = shared.cut(met, "contested")
-    heads = met.groupBy("token").agg(F.min(F.struct("id", "n", "pos", "parity", *PARTS)).alias("h")).select("token", "h.*")
-    near = met.alias("x").join(heads.alias("y"), "token").where(_candidates("x", "y", params))
+    entry = F.struct("id", "n", "pos", "parity", *PARTS)
+    drawn = met.groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(entry, F.xxhash64("id", F.lit(k))) for k in range(params.heads)])).alias("hs"))
+    heads = drawn.select("token", F.inline("hs"))
+    near = met.alias("x").join(heads.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _candidates("x", "y", params))
     links = shared.cut(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near")
     found = minhash.components(links)
     own = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
