@@ -350,9 +350,9 @@ def vacuum_vlog_stats(spark, d):
     return values.vacuum_stats(store, slim.where("seq % 3 <> 0"))
 
 
-@query("write_amp", EV + "select count(*) as writes, cast(sum(strlen(key) + coalesce(strlen(value), 0)) as bigint) as logical_bytes from lev")
+@query("write_amp", EV + ", b as (select case when tomb then 0 else coalesce(strlen(value), 0) end as v, strlen(key) as k, tomb, value from lev) select count(*) as writes, cast(sum(k + coalesce(strlen(value), 0)) as bigint) as logical_bytes, sum(1 + case when tomb or v > 64 then 10 else 1 end + k + case when tomb or v > 64 then 16 else v end + 12 + case when strlen(value) > 64 then strlen(value) + 56 else 0 end) / sum(k + coalesce(strlen(value), 0)) as write_amp from b")
 def write_amp(spark, d):
-    return metrics.written(logs.events(spark, d)).select("writes", "logical_bytes")
+    return metrics.written(logs.events(spark, d)).select("writes", "logical_bytes", "write_amp")
 
 
 @query("compact_stats", EV + ", b as (select 1 + case when tomb then 10 else 1 end + strlen(key) + case when tomb then 16 else coalesce(strlen(value), 0) end + 12 as n from lev), c as (select 1 + 1 + strlen(key) + coalesce(strlen(value), 0) + 12 as n from live) select (select count(*) from lev) as old_records, cast((select sum(n) from b) as bigint) as old_bytes, (select count(*) from live) as new_records, cast((select sum(n) from c) as bigint) as new_bytes, cast((select sum(n) from b) - (select sum(n) from c) as bigint) as reclaimed_bytes")
@@ -420,12 +420,14 @@ def extent_tags(spark, d):
     return extents.set_tag(logs.extents(spark, d), 2222, 9).select("ord", "len", "poff", "tag")
 
 
-@query("extent_merge", EX + "select cast(sum(len) as bigint) as len, cast(count(distinct ord) as bigint) as parts from pl")
+@query("extent_merge", EX + ", t as (select len, (ord - 1) // 5 as run, row_number() over (order by ord) as ord from ex), m as (select run, ord, cast(sum(len) over (partition by run order by ord) as bigint) as upto, len from t), g as (select run, (upto - 1) // 60 as grp, cast(sum(len) as bigint) as len, count(*) as parts, cast(min(upto - len) as bigint) as lo from m group by all) select cast(run * 1000000000 + lo as bigint) as poff, len, parts from g")
 def extent_merge(spark, d):
-    """Every length is kept and every extent is in one run, after neighbours have been made to touch in pairs."""
+    """Extents of five continue each other in both spaces: runs of five, in pieces of at most 60 bytes by where their bytes fall."""
     e = logs.extents(spark, d)
-    w = F.when(F.col("ord") % 2 == 0, F.col("poff")).otherwise(F.col("poff"))
-    return extents.merged(e.withColumn("poff", w)).agg(F.sum("len").alias("len"), F.sum("parts").alias("parts"))
+    run = F.floor((F.col("ord") - 1) / 5)
+    before = F.coalesce(F.sum("len").over(Window.partitionBy(run).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    touching = e.withColumn("poff", run * 1_000_000_000 + before).withColumn("tag", F.lit(0))
+    return extents.merged(touching, 60).select("poff", "len", "parts")
 
 
 @query("block_usage", EX + "select poff // 4194304 as block, cast(sum(len) as bigint) as live_bytes from ex group by 1")
@@ -462,7 +464,7 @@ def extent_sequences(spark, d):
     pos = F.row_number().over(w)
     kind = F.when(F.col("l_linenumber") % 5 == 4, "delete").when(F.col("l_linenumber") % 5 == 3, "tag").otherwise("insert")
     q = F.col("l_quantity").cast("long")
-    ops = l.withColumn("pos", pos.cast("long")).where("pos <= 300 or true").select(F.col("l_suppkey").alias("tree"), "pos", kind.alias("op"), (F.col("l_partkey") % F.greatest(F.col("pos") * 4, F.lit(1))).alias("loff"), (F.col("l_partkey") * 4096).alias("poff"), q.alias("len"), F.when(F.col("l_linenumber") % 5 == 3, 7).otherwise(0).alias("tag"))
+    ops = l.withColumn("pos", pos.cast("long")).select(F.col("l_suppkey").alias("tree"), "pos", kind.alias("op"), (F.col("l_partkey") % F.greatest(F.col("pos") * 4, F.lit(1))).alias("loff"), (F.col("l_partkey") * 4096).alias("poff"), q.alias("len"), F.when(F.col("l_linenumber") % 5 == 3, 7).otherwise(0).alias("tag"))
     return extents.apply(ops)
 
 

@@ -130,15 +130,18 @@ def merged(extents: DataFrame, max_extent: int = MAX_EXTENT_BYTES) -> DataFrame:
     A run is cut into groups that a maximal extent can hold: by where its bytes fall from the run's begin.
     """
     cuts = ordered.bounds(extents, "ord")
-    at = placed(extents)
-    w = Window.partitionBy("_range").orderBy("ord")
-    at = at.withColumn("_range", ordered.range_of(F.col("ord"), cuts))
-    joins = (F.col("tag") == 0) & (F.col("poff") < HOLE) & (F.lag(F.col("poff") + F.col("len")).over(w) == F.col("poff"))
-    # a run does not cross a range border: merging is optional there, and no state is carried
-    runs = at.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("_range", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_group", F.floor((F.sum("len").over(inside) - 1) / max_extent))
-    return runs.groupBy("_range", "_run", "_group").agg(F.min("ord").alias("ord"), F.sum("len").alias("len"), F.min_by("poff", "ord").alias("poff"), F.min_by("tag", "ord").alias("tag"), F.count("*").alias("parts")).drop("_range", "_run", "_group")
+    at = placed(extents).withColumn("_range", ordered.range_of(F.col("ord"), cuts)).withColumn("_end", F.col("poff") + F.col("len"))
+    last = at.groupBy("_range").agg(F.max_by("_end", "ord").alias("_last"))
+    spine = extents.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range")).join(last, "_range", "left")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    carried = spine.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    at = at.join(F.broadcast(carried), "_range")
+    previous = F.coalesce(F.lag("_end").over(Window.partitionBy("_range").orderBy("ord")), "_carried")
+    joins = F.coalesce((F.col("tag") == 0) & (F.col("poff") < HOLE) & (previous == F.col("poff")), F.lit(False))
+    at = at.withColumn("_new", F.when(joins, 0).otherwise(1).cast("long")).withColumn("_begin", F.when(F.col("_new") == 1, F.col("loff")))
+    runs = ordered.running(at.drop("_range"), ["ord"], {"_run": ("sum", "_new"), "_start": ("max", "_begin")})
+    runs = runs.withColumn("_group", F.floor((F.col("loff") + F.col("len") - F.col("_start") - 1) / max_extent))
+    return runs.groupBy("_run", "_group").agg(F.min("ord").alias("ord"), F.sum("len").alias("len"), F.min_by("poff", "ord").alias("poff"), F.min_by("tag", "ord").alias("tag"), F.count("*").alias("parts")).drop("_run", "_group")
 
 
 def fragments(extents: DataFrame, ranges: DataFrame) -> DataFrame:
