@@ -9,8 +9,8 @@ The index: a suffix array by prefix doubling gives the Burrows-Wheeler transform
 suffix positions are kept at run starts and every 16th position. Phrases are searched backwards, all at once; rows of
 the found intervals walk left to a kept position. Their words are merged into spans.
 
-The benchmark is read in blocks of bounded size, and every shard is searched for each block, so neither side's size is
-bounded by memory. Nulls and empty texts have no words. Items with a null id or no words match nothing. Repeated rows
+The benchmark is read in blocks, and every shard is searched for each block. All blocks are made by the driver and
+broadcast, so the benchmark has to fit into the driver and an executor; the documents don't. Nulls and empty texts have no words. Items with a null id or no words match nothing. Repeated rows
 give repeated rows; other columns are not looked at.
 """
 
