@@ -13,7 +13,7 @@ from . import logs
 from . import oracles as O
 from .functions import clock, scalar
 from .model import Mode
-from .operators import batch, diff, extents, metrics, mutate, scan, search, values, workload
+from .operators import batch, diff, extents, metrics, mutate, scan, search, space, values, workload
 from .plans import ordered, visible
 from .sources import text
 
@@ -456,6 +456,120 @@ def space_read_frag(spark, d):
     return extents.fragments(logs.extents(spark, d), logs.table(spark, d, "customer").select(c.alias("id"), (c * 797).alias("loff"), (100 + c % 400).alias("length")))
 
 
+#: The customers' names end to end, as hexadecimal digits, and a space's content in rows of 64 bytes.
+SP = "with h as (select hex(encode(string_agg(c_name, '' order by c_custkey))) as h from customer), "
+WIDE = " select unnest(range(0, cast(ceil(length(h) / 128) as bigint))) as id, unnest(list_transform(range(0, cast(ceil(length(h) / 128) as bigint)), lambda i: substr(h, cast(i * 128 + 1 as bigint), 128))) as bytes from f"
+
+
+def _space(spark, d):
+    return _kept(space.Space.empty(spark).append(logs.table(spark, d, "customer"), "c_custkey", "c_name"))
+
+
+def _kept(s):
+    """The space as files, so that what follows doesn't plan or run its history again."""
+    return s.save(_folder(s.extents.sparkSession, "space"))
+
+
+def _content(s):
+    return s.content(64).select("id", F.hex("data").alias("bytes"))
+
+
+@query("space_append", SP + "f as (select h from h)" + WIDE)
+def space_append(spark, d):
+    return _content(_space(spark, d))
+
+
+@query("space_insert", SP + "f as (select substr(h, 1, 2006) || repeat('6162', 400) || substr(h, 2007) as h from h)" + WIDE)
+def space_insert(spark, d):
+    return _content(_kept(_space(spark, d).insert(1003, b"ab" * 400)))
+
+
+@query("space_collapse", SP + "f as (select substr(h, 1, 1000) || substr(h, 2409) as h from h)" + WIDE)
+def space_collapse(spark, d):
+    return _content(_kept(_space(spark, d).collapse(500, 704)))
+
+
+@query("space_write", SP + "f as (select substr(h, 1, 14) || repeat('78', 40) || substr(h, 95, length(h) - 100) || repeat('79', 10) || repeat('7A', 5) as h from h)" + WIDE)
+def space_write(spark, d):
+    """Inside, over the end, and at the end."""
+    s = _kept(_space(spark, d).write(7, b"x" * 40))
+    s = _kept(s.write(s.size() - 3, b"y" * 10))
+    return _content(_kept(s.write(s.size(), b"z" * 5)))
+
+
+@query("space_update", SP + "f as (select substr(h, 1, 36) || repeat('75', 50) || substr(h, 55) as h from h)" + WIDE.replace(" as bytes", " as bytes, 18 as tag_at, 5 as tag"))
+def space_update(spark, d):
+    """The second name by fifty bytes; the tag stays at its place."""
+    s = _kept(_kept(_space(spark, d).set_tag(18, 5)).update(18, b"u" * 50, 9))
+    tagged = extents.placed(s.extents).where("tag <> 0").agg(F.first("loff").cast("int").alias("tag_at"), F.first("tag").alias("tag"))
+    return _content(s).crossJoin(tagged)  # one row
+
+
+@query("space_overwrite", SP + "f as (select substr(h, 1, 200) || repeat('6F', 77) || substr(h, 355) as h from h)" + WIDE)
+def space_overwrite(spark, d):
+    return _content(_kept(_space(spark, d).overwrite(100, b"o" * 77)))
+
+
+@query("space_allocate_truncate", SP + "f as (select substr(substr(h, 1, 20) || repeat('00', 300) || substr(h, 21), 1, 2000) as h from h)" + WIDE)
+def space_allocate_truncate(spark, d):
+    return _content(_kept(_kept(_space(spark, d).allocate(10, 300)).truncate(1000)).truncate(5000))
+
+
+@query("space_defrag", SP + "f as (select h from h)" + WIDE.replace(" as bytes", " as bytes, cast(1 as bigint) as pieces") + " where length(h) > 2000")
+def space_defrag(spark, d):
+    """A range's bytes stay and come to lie in one piece (here: read in one)."""
+    s = _kept(_space(spark, d).defrag(90, 900))
+    one = s.read_many(spark.createDataFrame([(0, 90, 900)], "id int, loff long, length long")).select("pieces")
+    return _content(s).crossJoin(one)  # one row
+
+
+@query("space_gc", SP + "f as (select substr(h, 1, 200) || substr(h, 401) as h from h)" + WIDE.replace(" as bytes", " as bytes, true as moved"))
+def space_gc(spark, d):
+    """Every block is nearly empty: all extents move behind the old end, and the content stays."""
+    s = _kept(_space(spark, d).collapse(100, 100))
+    g = _kept(s.collect_garbage())
+    return _content(g).crossJoin(g.extents.agg((F.min("poff") >= s.end).alias("moved")))  # one row
+
+
+@query("space_read_many", SP + "q as (select c_custkey as id, c_custkey * 7 as loff, c_custkey % 90 as n from customer) select id, substr(h, cast(2 * loff + 1 as bigint), cast(2 * n as bigint)) as bytes from q, h where 2 * (loff + n) <= length(h)")
+def space_read_many(spark, d):
+    c = F.col("c_custkey")
+    got = _space(spark, d).read_many(logs.table(spark, d, "customer").select(c.alias("id"), (c * 7).alias("loff"), (c % 90).alias("length")))
+    return got.select("id", F.hex("data").alias("bytes"))
+
+
+@query("space_cursor", "with e as (select cast(sum(strlen(c_name)) over (order by c_custkey) as bigint) as next, strlen(c_name) as n from customer), q as (select c_custkey * 20 as loff from customer) select q.loff, e.next is not null as valid, e.next - n as at, q.loff - e.next + n as diff, case when e.next is not null then q.loff end as poff, e.next as next from q left join e on q.loff < e.next and q.loff >= e.next - n")
+def space_cursor(spark, d):
+    return _space(spark, d).positions(logs.table(spark, d, "customer").select((F.col("c_custkey") * 20).alias("loff"))).drop("tag")
+
+
+@query("space_usage_check", SP + "b as (select cast(length(h) // 2 as bigint) as n from h) select 'block_usage' as \"check\", '0' as detail, false as fatal from b where n > 10 union all select 'extent_total', cast(n - 10 as varchar), false from b where n > 10")
+def space_usage_check(spark, d):
+    """Tracked usage and size from before a collapse differ from what the mapping now says."""
+    s = _space(spark, d)
+    tracked = metrics.block_usage(s.extents)
+    return s.collapse(20, 10).integrity(tracked, s.size())
+
+
+@query("extent_pdelete", EX + ", p as (select ord * 4 as k, least(len, 1003 - loff) as len, poff from pl where loff < 1003 union all select ord * 4 + 1, loff + len - greatest(loff, 1004), poff + greatest(loff, 1004) - loff from pl where loff + len > 1004) select row_number() over (order by k) as ord, cast(len as bigint) as len, cast(poff as bigint) as poff from p where len > 0")
+def extent_pdelete(spark, d):
+    return extents.delete_byte(logs.extents(spark, d), 1003).select("ord", "len", "poff")
+
+
+@query("extent_tree_diff", EX + ", y as (select ord, case when ord % 100 = 0 then len + 1 else len end as len, poff from ex), py as (select cast(sum(len) over (order by ord) - len as bigint) as loff, len, poff from y), px as (select loff, len, poff from pl) select 'a' as side, * from (select * from px except all select * from py) union all select 'b', * from (select * from py except all select * from px)")
+def extent_tree_diff(spark, d):
+    e = logs.extents(spark, d)
+    longer = e.withColumn("len", F.col("len") + (F.col("ord") % 100 == 0).cast("long"))
+    return space.difference(e, longer).drop("tag")
+
+
+@query("key_fingerprint", EV + ", c as (select distinct key from lev), x as (select key, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, strlen(key) + 1), lambda i: cast(ascii(substr(key, i, 1)) as bigint))), lambda c, b: list_reduce(list_prepend(xor(c, b), [cast(0 as bigint) for z in range(8)]), lambda v, z: case when v & 1 = 1 then xor(v >> 1, 2197175160) else v >> 1 end)), cast(4294967295 as bigint)) as crc from c) select key, crc, greatest(xor(crc & 65535, crc >> 16), 1) as fingerprint, greatest(xor(crc & 65535, crc >> 16), 1) & 1023 as part from x")
+def key_fingerprint(spark, d):
+    rows = logs.events(spark, d).select("key").distinct().withColumn("crc", scalar.crc32c(F.col("key")))
+    mark = scalar.fingerprint(F.col("crc"))
+    return rows.select("key", "crc", mark.alias("fingerprint"), scalar.partition(mark).alias("part"))
+
+
 @query("extent_sequences")
 def extent_sequences(spark, d):
     """Operation sequences on many trees, one for each supplier; a Python list oracle covers it in the tests."""

@@ -55,3 +55,33 @@ def hex_key(n: Column, length: int) -> Column:
 def letters_value(length: int) -> Column:
     """ABC...Z repeated to length."""
     return F.lit(("ABCDEFGHIJKLMNOPQRSTUVWXYZ" * (length // 26 + 1))[:length])
+
+
+#: The reversed polynomial of CRC-32C.
+CASTAGNOLI = 0x82F63B78
+
+
+def _crc_row(byte: int) -> int:
+    for _ in range(8):
+        byte = (byte >> 1) ^ (CASTAGNOLI if byte & 1 else 0)
+    return byte
+
+
+def crc32c(text: Column) -> Column:
+    """CRC-32C of the UTF-8 bytes, by a table that follows from the polynomial; null for null."""
+    table = F.split(F.lit(",".join(str(_crc_row(i)) for i in range(256))), ",").cast("array<bigint>")
+    hexed = F.hex(text.cast("binary"))
+    octets = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(hexed, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    octets = F.when(F.octet_length(text) > 0, octets).otherwise(F.array().cast("array<bigint>"))
+    step = lambda c, b: F.shiftright(c, 8).bitwiseXOR(F.get(table, c.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")))
+    value = F.aggregate(octets, F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(F.lit(0xFFFFFFFF))
+    return F.when(text.isNotNull(), value)
+
+
+def fingerprint(crc: Column) -> Column:
+    """The two halves of a checksum on each other, never 0."""
+    return F.greatest(crc.bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.shiftright(crc, 16)), F.lit(1))
+
+
+def partition(mark: Column) -> Column:
+    return mark.bitwiseAND(F.lit(1023))

@@ -85,6 +85,10 @@ def delete(extents: DataFrame, loff: int, length: int) -> DataFrame:
     return _renumbered(placed(extents).select("ord", F.explode(pieces).alias("x")).select("ord", "x.*"))
 
 
+def delete_byte(extents: DataFrame, loff: int) -> DataFrame:
+    return delete(extents, loff, 1)
+
+
 def query(extents: DataFrame, loff: int, length: int) -> DataFrame:
     """The physical pieces of [loff, loff + length) in order; no rows when it is out of range."""
     at = placed(extents)

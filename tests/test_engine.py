@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratakv import catalog, cli
-from stratakv.functions import clock, generators
+from stratakv.functions import clock, generators, scalar
 from stratakv.model import ConflictError, KVError, Mode
-from stratakv.operators import batch, extents, metrics, mutate, scan, search
+from stratakv.operators import batch, extents, metrics, mutate, scan, search, space
 from stratakv.plans import ordered, visible
 from stratakv.sources.store import Database
 
@@ -178,7 +178,7 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["diff", str(tmp_path / "x"), str(tmp_path / "x")], spark)
 
 
-@pytest.mark.parametrize("name", ["kv_live_dump", "kv_counters_incremental", "get_multi", "find_lt_bulk", "find_edges", "scan_short_50", "merge_conditional", "batch_sub_batches", "hlc_receive", "vacuum_vlog_stats", "diff_first", "extent_delete", "stream_upsert"])
+@pytest.mark.parametrize("name", ["kv_live_dump", "kv_counters_incremental", "get_multi", "find_lt_bulk", "find_edges", "scan_short_50", "merge_conditional", "batch_sub_batches", "hlc_receive", "vacuum_vlog_stats", "diff_first", "extent_delete", "stream_upsert", "space_write", "space_update", "space_read_many", "space_cursor", "space_usage_check", "key_fingerprint"])
 def test_queries_equal_their_oracles(spark, name):
     assert compare.difference(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL) == ""
 
@@ -216,3 +216,40 @@ def test_a_late_operation_loses_in_the_store(spark, tmp_path):
     db.apply(rows(("k", "new", False, 0, 500), ("m", "x", False, 1, 400)))
     db.apply(rows(("k", "late", False, 0, 300), ("m", None, True, 1, 450)))
     assert db.at().get("k").value == "new" and db.at().get("m") is None and db.manifest().hlc == 500
+
+
+def test_a_space_is_its_bytes(spark, tmp_path):
+    """Texts of several cells, through every operation and a garbage collection, against plain bytes."""
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    want = b"".join((t or "").encode() for t in texts)
+    s = space.Space.empty(spark).append(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id", "text").save(str(tmp_path / "a"))
+    big = random.Random(6).randbytes(200_000)
+    s, want = s.insert(70_001, big), want[:70_001] + big + want[70_001:]
+    s, want = s.collapse(60_000, 30_000), want[:60_000] + want[90_000:]
+    s, want = s.overwrite(59_000, b"xyz" * 900), want[:59_000] + b"xyz" * 900 + want[61_700:]
+    s = s.save(str(tmp_path / "b")).set_tag(50, 7)
+    s, want = s.update(50, b"hello", 30), want[:50] + b"hello" + want[80:]
+    assert extents.get_tag(s.extents, 50).first().tag == 7
+    s, want = s.write(s.size() - 2, b"longer tail"), want[:-2] + b"longer tail"
+    s = s.save(str(tmp_path / "c"))
+    assert s.integrity(metrics.block_usage(s.extents), len(want)).count() == 0 and s.read(59_990, 40) == want[59_990:60_030]
+    old, s = s, s.collect_garbage()
+    assert s.extents.agg(F.min("poff")).first()[0] >= old.end and s.physical_end() > old.physical_end()
+    assert b"".join(bytes(r.data) for r in s.content(5000).orderBy("id").collect()) == want
+    lost = space.Space(s.extents, s.chunks.where("false"), s.end)
+    assert lost.integrity().where("fatal").count() == s.extents.count()
+    for wrong in (lambda: s.insert(len(want) + 1, b"x"), lambda: s.collapse(len(want), 1), lambda: s.read(-1, 1), lambda: s.update(0, b"", len(want) + 1)):
+        with pytest.raises(KVError):
+            wrong()
+
+
+def test_an_empty_space(spark, tmp_path):
+    s = space.Space.empty(spark)
+    assert s.size() == 0 and s.read(0, 0) == b"" and s.content(10).count() == 0 and s.collect_garbage() is s
+    s = s.write(0, b"abc").allocate(1, 2).truncate(4)
+    assert s.save(str(tmp_path / "s")).read(0, 4) == b"a\0\0b"
+
+
+def test_crc32c_of_known_texts(spark):
+    rows = spark.createDataFrame([("123456789", 0xE3069283), ("", 0), (None, None)], "t string, c long")
+    assert all(r.c == r.got for r in rows.withColumn("got", scalar.crc32c(F.col("t"))).collect())
