@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import logs
 from . import oracles as O
 from .functions import clock, scalar
-from .model import Mode
+from .model import KVError, Mode
 from .operators import batch, diff, extents, metrics, mutate, scan, search, space, values, workload
 from .plans import ordered, visible
 from .sources import text
@@ -636,9 +636,13 @@ def text_trailer(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share; a temporary one where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all machines share; on one machine a temporary one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}" if where else tempfile.mkdtemp(prefix=name)
+    if where:
+        return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise KVError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{tempfile.mkdtemp(prefix=name)}/{name}"
 
 
 def _stored(spark, d):
