@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, where it is unset (tests on one machine), a temporary folder that is set there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="stratakv-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
