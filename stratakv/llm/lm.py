@@ -11,10 +11,15 @@ blocks, each with a binomial draw of new tables, instead of a sweep.
 
 Distribution. A dish is a pair of a previous word and a word. All dishes of one word lie in one part (by the word's hash),
 so the root's share of a word is local. What a part can't see, the restaurants' totals, stays as it was while a pass
-samples; each pass takes the totals from the samples of the one before. The probability of a sample takes all its counts and totals
-from that one sample, which are summed up after the pass, so every context's probabilities add up to 1; they are averaged
-over the samples. Documents' pairs are joined with the dishes and summed for each document. Passes are written before they
-are used, so none is drawn twice.
+samples; each pass takes the totals from the samples of the one before. The probability of a sample takes all its counts
+and totals from that one sample, summed up after the pass, so every context's probabilities add up to 1; they are averaged
+over the samples. Passes are written before they are used, so none is drawn twice.
+
+Space. Pairs travel packed: a row holds the pairs of one chunk of documents for one part, words by their place in a list
+(about 5 bytes a pair; a row of hashes takes over 20). No row is empty, so there are never more rows than pairs. Texts are
+split into words twice, for the model and for scoring, which is less than keeping them. A part's dishes are held by one
+task, texts are not: to be scored they stream past the dishes, and a part with much more of them than others (a word that
+a third of all tokens are) is dealt over several tasks, each with that part's dishes. A document's sums come together by key.
 
 A null text is empty: one end token. A null doc_id belongs to the training side. Repeated rows count and score each.
 Other columns are not looked at. An empty table gives no rows.
@@ -22,17 +27,21 @@ Other columns are not looked at. An empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, words
 
 U = np.uint64
-END = int(words.hash_one(b"\n"))  # no word holds a line feed
+END = int(np.array([words.hash_one(b"\n")], U).view(np.int64)[0])  # no word holds a line feed
+#: Tokens that a task gathers before it sends their pairs on, and about how many characters a token has.
+CHUNK, CHARS = 4_000_000, 6
 
 
 @dataclass(frozen=True)
@@ -50,7 +59,7 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """All token hashes, the end token after each text, and tokens per text."""
     h, counts = words.hashed_words(*words.buffers(texts))
     ends = np.cumsum(counts)
-    out = np.insert(h, ends, U(END))
+    out = np.insert(h, ends, np.int64(END).view(U))
     return out, counts + 1
 
 
@@ -60,45 +69,102 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(w, c): each training word's hash and count; a task counts about four million tokens before it sends them on."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers as one compressed cell: item sizes and lengths, then each column, equal places of its bytes together."""
+    head = np.array([len(columns), *(x for c in columns for x in (c.itemsize, len(c)))], np.int32)
+    body = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
+    return zstandard.compress(head.tobytes() + b"".join(body), 1)
+
+
+def unpack(cell: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(cell)
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    out, at = [], 4 + 8 * n
+    for size, length in np.frombuffer(data, np.int32, 2 * n, 4).reshape(-1, 2).tolist():
+        planes = np.frombuffer(data, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).view(f"i{size}").reshape(-1))
+        at += size * length
+    return out
+
+
+def _chunk(w, sizes, train, keys, n_parts: int, scoring: bool):
+    """(part, cell) of one chunk's tokens: of each pair of a part's words u, w and, for the model, how often it was
+    seen in training, or, for scoring, the documents it stands in."""
+    names, word = np.unique(w, return_inverse=True)
+    part = (names >> 32) % n_parts
+    order = np.lexsort((names, part))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    names, part, word = names[order], part[order], place[word]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[np.cumsum(sizes) - sizes] = np.flatnonzero(names == END)[0]
+    code = word * len(names) + before
+    if scoring:
+        at = np.argsort(code, kind="stable")
+        code, docs = code[at], np.repeat(np.arange(len(sizes)), sizes)[at]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, c = code[starts], np.diff(np.append(starts, len(code)))
+    else:
+        code, c = np.unique(code * 2 + ~np.repeat(train, sizes), return_counts=True)
+        c[code & 1 == 1] = 0
+        code >>= 1
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, c = code[starts], np.add.reduceat(c, starts)
+    owner = part[code // len(names)]
+    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    for lo, hi in zip(cuts, [*cuts[1:], len(code)], strict=True):
+        some, times = code[lo:hi], c[lo:hi].astype(np.int32)
+        us, u = np.unique(some % len(names), return_inverse=True)
+        columns = [names[some // len(names)], names[us], u.astype(np.int32), times]
+        if scoring:
+            own, doc = np.unique(docs[starts[lo] : starts[lo] + times.sum()], return_inverse=True)
+            columns += [doc.astype(np.int32), keys[own]]
+        yield int(owner[lo]), pack(*columns)
+
+
+def _chunks(rows: DataFrame, n_parts: int, scoring: bool) -> DataFrame:
+    """(part, cell): the pairs of each chunk of documents, dealt to the parts of their words."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            held.append(tokens(batch.column("text"))[0])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield counted(held)
+            w, sizes = tokens(batch.column("text"))
+            held.append((w.view(np.int64), sizes, ~batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)))
+            size += len(w)
+            if size > CHUNK:
+                yield from rows_of(held)
                 held, size = [], 0
-        if held:
-            yield counted(held)
+        if size:
+            yield from rows_of(held)
 
-    def counted(held):
-        w, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
+    def rows_of(held):
+        for part, cell in _chunk(*(np.concatenate(x) for x in zip(*held, strict=True)), n_parts, scoring):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cell], pa.binary())], ["part", "cell"])
 
-    return rows.where("not held_out").select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return rows.select("text", "held_out", "key").mapInArrow(run, "part int, cell binary")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(key, train, u, w): each token after the one before it, the end token before a text's first."""
+def _by_part(df: DataFrame, n_parts: int, schema: str, add, finish, by: tuple[str, ...] = ("part",)) -> DataFrame:
+    """A part's rows come together, by kind: add(state, rows) may give batches, finish(part, state) ends the part."""
 
     def run(batches):
+        state, part = {}, None
         for batch in batches:
-            w, counts = tokens(batch.column("text"))
-            if not len(counts):
-                continue
-            u = np.empty_like(w)
-            u[1:] = w[:-1]
-            u[np.cumsum(counts) - counts] = U(END)
-            key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), counts)
-            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts)
-            for lo in range(0, len(w), 100_000):
-                some = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(train[some]), pa.array(u[some].view(np.int64)), pa.array(w[some].view(np.int64))], ["key", "train", "u", "w"])
+            own = list(zip(*(batch.column(x).to_pylist() for x in by), strict=True))
+            kinds = batch.column("kind").to_pylist()
+            cuts = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1] or kinds[i] != kinds[i - 1]]
+            for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if own[lo] != part:
+                    if part:
+                        yield from finish(part[0], state)
+                    state, part = {}, own[lo]
+                yield from add(state, kinds[lo], batch.slice(lo, hi - lo))
+        if part:
+            yield from finish(part[0], state)
 
-    return rows.select("text", "held_out", "key").mapInArrow(run, "key long, train boolean, u long, w long")
+    n = max(n_parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by).sortWithinPartitions(*by, "kind").mapInArrow(run, schema)
 
 
 def seat_blocks(c: np.ndarray, opening: np.ndarray, d: float, rng) -> np.ndarray:
@@ -234,111 +300,242 @@ class Part:
         return {"t": self.leaf.t.copy(), "c0": c0, "t0": t0, "once_c0": c0 * once, "once_t0": t0 * once}
 
 
-def _seated(dishes: DataFrame, restaurants: DataFrame, n_parts: int, totals: dict, params: Params, turn: int, samples: int) -> DataFrame:
-    """The dishes with what `samples` samples have of each, in lists, and how often each word was seen."""
-    names = ["w", "u", "c", "tables"]
-    values = ["t", "c0", "t0", "once_c0", "once_t0"]
-    schema = "w long, u long, c long, seen long, " + ", ".join(f"{x} array<double>" for x in values)
+CONTEXT, CELL, TEXTS, FACT = 0, 1, 2, 10
 
-    def run(batches):
-        """A part's rows come together, after those of the part before; one part is held at a time."""
-        held, part = [], None
-        for batch in batches:
-            own = batch.column("part").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True):
-                if held and own[lo] != part:
-                    yield from draw(part, held)
-                    held = []
-                part = own[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from draw(part, held)
-
-    def draw(part, held):
-        w, u, c, tables = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in names)
-        order = np.lexsort((u, w))
-        w, u, c, tables = w[order], u[order], c[order], tables[order]
-        x = Part(w, c, tables, totals, params, np.random.default_rng([params.seed, int(part), turn]))
+
+def _schema(samples: int) -> str:
+    """A part's rows: what it has of a context (CONTEXT), packed pairs (CELL, TEXTS), and numbers to be summed up (FACT and on)."""
+    return "part int, kind int, u long, customers long, " + ", ".join(f"t{i} long" for i in range(samples)) + ", cell binary"
+
+
+def _out(part: int, samples: int, contexts, cells, facts):
+    """A part's rows as batches; contexts: u, customers and tables by sample."""
+    names = ["part", "kind", "u", "customers", *(f"t{i}" for i in range(samples)), "cell"]
+    n = len(contexts[0])
+    for lo in range(0, n, 100_000):
+        some = [pa.array(np.asarray(c[lo : lo + 100_000], np.int64)) for c in contexts]
+        m = len(some[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, CONTEXT, np.int32)), *some, pa.nulls(m, pa.binary())], names)
+    none = pa.nulls(1, pa.int64())
+    for cell in cells:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([CELL], pa.int32()), *[none] * (2 + samples), pa.array([cell], pa.binary())], names)
+    m = len(facts)
+    numbers = [pa.array(np.full(m, part, np.int32)), pa.array(np.arange(FACT, FACT + m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(np.asarray(facts, np.int64))]
+    yield pa.RecordBatch.from_arrays([*numbers, *[pa.nulls(m, pa.int64())] * samples, pa.nulls(m, pa.binary())], names)
+
+
+def _facts(df: DataFrame) -> list[int]:
+    found = df.where(F.col("kind") >= FACT).groupBy("kind").agg(F.sum("customers").alias("x")).orderBy("kind").collect()
+    return [r.x for r in found]
+
+
+def _cells(w, us, u, *columns):
+    """Cells of at most CHUNK pairs, sorted by word and previous word."""
+    for lo in range(0, len(w), CHUNK):
+        some = slice(lo, lo + CHUNK)
+        yield pack(w[some], us, u[some], *(c[some] for c in columns))
+
+
+def _merged(held: list) -> list:
+    """(w, us, u, c) of several of these: each pair once, in order."""
+    w, word = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    us, u = np.unique(np.concatenate([x[1][x[2]] for x in held]), return_inverse=True)
+    code = word * len(us) + u
+    at = np.argsort(code, kind="stable")
+    code = code[at]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    c = np.add.reduceat(np.concatenate([x[3] for x in held])[at].astype(np.int64), starts)
+    code = code[starts]
+    return [w[code // len(us)], us, (code % len(us)).astype(np.int32), c]
+
+
+def _dishes(rows: DataFrame, n_parts: int, samples: int) -> DataFrame:
+    """Each part's dishes, what it has of each context, and the counts that discounts and bases are made of."""
+
+    def add(state, kind, batch):
+        for cell in batch.column("cell"):
+            held = state.setdefault("held", [])
+            held.append(unpack(cell.as_py()))
+            if sum(len(x[0]) for x in held) > 2 * max(CHUNK, len(held[0][0])):
+                held[:] = [_merged(held)]
+        return ()
+
+    def finish(part, state):
+        w, us, u, c = _merged(state["held"])
+        words_ = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        seen = np.add.reduceat(c, words_)
+        customers = np.bincount(u, weights=c, minlength=len(us))
+        tables = np.bincount(u, weights=c > 0, minlength=len(us))
+        facts = [x for of in (seen, c) for x in (of.sum(), (of > 0).sum(), (of == 1).sum(), (of == 2).sum())]
+        yield from _out(part, samples, [us, customers, *[tables] * samples], _cells(w, us, u, c), facts)
+
+    chunks = _chunks(rows, n_parts, False).withColumn("kind", F.lit(TEXTS))
+    return _by_part(chunks, n_parts, _schema(samples), add, finish)
+
+
+def _contexts(df: DataFrame, samples: int) -> DataFrame:
+    """Every part's contexts with their sums over all parts."""
+    over = Window.partitionBy("u")
+    sums = [F.sum(x).over(over).alias(x) for x in ("customers", *(f"t{i}" for i in range(samples)))]
+    return df.where(F.col("kind") == CONTEXT).select("part", "kind", "u", *sums, "cell")
+
+
+def _held(state, kind, batch, samples: int) -> None:
+    """Gather a part's contexts and cells."""
+    if kind == CONTEXT:
+        state.setdefault("contexts", []).append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "customers", *(f"t{i}" for i in range(samples)))])
+    else:
+        state.setdefault("cells", []).extend(unpack(x.as_py()) for x in batch.column("cell"))
+
+
+def _read(state) -> tuple[list, list]:
+    """The part's pairs (w, us, u, other columns) in order, and the sums of each of us."""
+    cells = sorted(state["cells"], key=lambda x: (x[0][0], x[1][x[2][0]]))
+    us = cells[0][1]  # every cell of a part has all its contexts
+    pairs = [np.concatenate([x[i] for x in cells]) for i in range(len(cells[0])) if i != 1]
+    contexts = [np.concatenate(x) for x in zip(*state["contexts"], strict=True)]
+    at = np.argsort(contexts[0])[np.searchsorted(np.sort(contexts[0]), us)]
+    return [pairs[0], us, *pairs[1:]], [x[at] for x in contexts[1:]]
+
+
+def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict, params: Params, turn: int, last: bool) -> DataFrame:
+    """A pass over the parts: contexts' customers and tables by sample, the root's as facts, in the last pass also the samples."""
+    n = params.samples
+
+    def add(state, kind, batch):
+        _held(state, kind, batch, n)
+        return ()
+
+    def finish(part, state):
+        (w, us, u, c), (customers, *tables) = _read(state)
+        x = Part(w, c, np.mean(tables, axis=0)[u], totals, params, np.random.default_rng([params.seed, int(part), turn]))
         for _ in range(params.sweeps):
             x.sweep()
         drawn = []
-        for _ in range(samples):
+        for _ in range(n):
             x.sweep()
             drawn.append(x.sample())
-        seen = np.bincount(x.word, weights=c, minlength=len(x.words))[x.word].astype(np.int64)
-        for lo in range(0, len(w), 100_000):
-            some = slice(lo, lo + 100_000)
-            n = len(w[some])
-            starts = pa.array(np.arange(n + 1, dtype=np.int32) * samples)
-            lists = [pa.ListArray.from_arrays(starts, pa.array(np.stack([d[v][some] for d in drawn], axis=1).astype(np.float64).reshape(-1))) for v in values]
-            yield pa.RecordBatch.from_arrays([*(pa.array(a[some]) for a in (w, u, c, seen)), *lists], ["w", "u", "c", "seen", *values])
-
-    n = max(n_parts, int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = dishes.join(restaurants, "u").select(F.pmod(F.shiftright("w", 32), F.lit(n_parts)).cast("int").alias("part"), *names)
-    return joined.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+        own = [np.bincount(u, weights=z, minlength=len(us)) for z in (c, *(d["t"] for d in drawn))]
+        facts = [d[z].sum() for d in drawn for z in ("once_c0", "once_t0")]
+        columns = [d[z].astype(np.int32) for z in ("t", "c0", "t0") for d in drawn]
+        yield from _out(part, n, [us, *own], _cells(w, us, u, c, *columns) if last else (), facts)
 
-
-def _totals(seated: DataFrame, samples: int) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Each context's customers, and tables by sample; the root's customers and tables by sample."""
-    by = [F.sum(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(samples)]
-    contexts = seated.groupBy("u").agg(F.sum("c").alias("customers"), *by)
-    contexts = contexts.select("u", "customers", F.array(*[f"t{i}" for i in range(samples)]).alias("tables"))
-    root = seated.agg(*[F.sum(F.get(x, F.lit(i))) for i in range(samples) for x in ("once_c0", "once_t0")]).first()
-    return contexts, [(root[2 * i] or 0.0, root[2 * i + 1] or 0.0) for i in range(samples)]
+    both = contexts.unionByName(dishes.where(F.col("kind") == CELL))
+    return _by_part(both, n_parts, _schema(n), add, finish)
 
 
 @dataclass(frozen=True)
 class Model:
-    """found: (u, w, p, seen) of every pair of the documents; words: (w, c); n tokens and v words were learnt from."""
+    """The last pass of a model that learnt from n tokens with v words."""
 
-    found: DataFrame
+    last: DataFrame
+    totals: dict
+    roots: list
+    n_parts: int
+    params: Params
     n: int
     v: int
 
-
-def model(rows: DataFrame, pairs: DataFrame, params: Params) -> Model:
-    s = params.strength
-    vocabulary_ = shared.cut(vocabulary(rows), "vocabulary")
-    n, v, ones, twos = vocabulary_.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, v = n or 0, v or 0
-    n_parts = max(2, int(n * 1.25 / params.part_tokens))
-    dishes = shared.cut(pairs.groupBy("u", "w").agg(F.count_if("train").alias("c")), "dishes")
-    restaurants = shared.cut(dishes.groupBy("u").agg(F.count_if(F.col("c") > 0).cast("double").alias("tables")), "restaurants")
-    c0, singles, doubles = dishes.agg(F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    def _probable(self, state):
+        """(w, us, u, p, seen) of the part's pairs."""
+        k, s, d0, d1 = self.params.samples, self.params.strength, self.totals["d0"], self.totals["d1"]
+        (w, us, u, c, *drawn), (customers, *tables) = _read(state)
+        p = np.zeros(len(w))
+        for i in range(k):
+            t, c0, t0 = drawn[i], drawn[k + i], drawn[2 * k + i]
+            parent = (c0 - d0 * t0 + (s + d0 * self.roots[i][1]) / (self.v + 1)) / (s + self.roots[i][0])
+            p += (c - d1 * t + (s + d1 * tables[i])[u] * parent) / (s + customers[u])
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        seen = np.repeat(np.add.reduceat(c, starts), np.diff(np.append(starts, len(w))))
+        return w, us, u, p / k, seen
+
+    def _parts(self) -> DataFrame:
+        return _contexts(self.last, self.params.samples).unionByName(self.last.where(F.col("kind") == CELL))
+
+    def found(self) -> DataFrame:
+        """(u, w, p, seen) of every pair of the documents."""
+        me = Model(None, self.totals, self.roots, self.n_parts, self.params, self.n, self.v)
+
+        def add(state, kind, batch):
+            _held(state, kind, batch, me.params.samples)
+            return ()
+
+        def finish(part, state):
+            w, us, u, p, seen = me._probable(state)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (us[u], w, p, seen)], ["u", "w", "p", "seen"])
+
+        return _by_part(self._parts(), self.n_parts, "u long, w long, p double, seen long", add, finish)
+
+    def sums(self, rows: DataFrame) -> DataFrame:
+        """(key, base, model, known, size): what each part gives to each document. A part with more texts than others is
+        dealt over several tasks, each with the part's pairs."""
+        me = Model(None, self.totals, self.roots, self.n_parts, self.params, self.n, self.v)
+
+        def add(state, kind, batch):
+            if kind != TEXTS:
+                _held(state, kind, batch, me.params.samples)
+                return
+            if "p" not in state:
+                w, us, u, p, seen = me._probable(state)
+                state.clear()
+                names = w[np.concatenate([[True], w[1:] != w[:-1]])]
+                base = np.log10((seen + 0.5) / (me.n + 0.5 * (me.v + 1)))
+                state |= {"names": names, "us": us, "code": np.searchsorted(names, w) * len(us) + u, "p": np.log10(p), "base": base, "known": seen > 0}
+            for cell in batch.column("cell"):
+                w, us, u, c, doc, keys = unpack(cell.as_py())
+                code = np.searchsorted(state["names"], w) * len(state["us"]) + np.searchsorted(state["us"], us)[u]
+                at = np.repeat(np.searchsorted(state["code"], code), c)
+                sums = [np.bincount(doc, weights=state[x][at], minlength=len(keys)) for x in ("base", "p", "known")]
+                size = np.bincount(doc, minlength=len(keys))
+                columns = [keys, sums[0], sums[1], sums[2].astype(np.int64), size.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "base", "model", "known", "size"])
+
+        n = self.params.samples
+        texts = _chunks(rows, self.n_parts, True)
+        tokens_ = self.last.where(F.col("kind") == CONTEXT).groupBy("part").agg(F.sum("customers").alias("n"))
+        shares = tokens_.select("part", F.greatest(F.lit(1), F.floor(F.col("n") / self.params.part_tokens)).cast("int").alias("shares"))
+        blank = [F.lit(None).cast("long").alias(x) for x in ("u", "customers", *(f"t{i}" for i in range(n)))]
+        share = F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int").alias("share")
+        texts = texts.join(F.broadcast(shares), "part").select("part", F.lit(TEXTS).alias("kind"), *blank, "cell", share)
+        parts = self._parts().join(F.broadcast(shares), "part")
+        parts = parts.select("part", "kind", "u", "customers", *(f"t{i}" for i in range(n)), "cell", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        schema = "key long, base double, model double, known long, size long"
+        return _by_part(parts.unionByName(texts), self.n_parts, schema, add, lambda part, state: (), ("part", "share"))
+
+
+def _settle(spark) -> None:
+    """Shuffle files of finished jobs go when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def model(rows: DataFrame, params: Params) -> Model:
+    spark, k = rows.sparkSession, params.samples
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_parts = max(2, int(chars / CHARS / params.part_tokens))
+    dishes = shared.cut(_dishes(rows, n_parts, k), "dishes")
+    n, v, ones, twos, _, c0, singles, doubles = _facts(dishes) or [0] * 8
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
     totals = {"v": v, "c0": float(c0), "t0": float(v), "d1": discount(singles, doubles), "d0": discount(ones, twos)}
-
-    for turn in range(params.passes - 1):
-        drawn = _seated(dishes, restaurants, n_parts, totals, params, turn, params.samples)
-        contexts, roots = _totals(shared.cut(drawn.select("u", "c", "t", "once_c0", "once_t0"), "seated"), params.samples)
-        mean = F.aggregate("tables", F.lit(0.0), lambda a, t: a + t) / params.samples
-        restaurants = shared.cut(contexts.select("u", mean.alias("tables")), "restaurants")
-        totals = totals | {"c0": sum(c for c, _ in roots) / params.samples, "t0": sum(t for _, t in roots) / params.samples}
-
-    seated = shared.cut(_seated(dishes, restaurants, n_parts, totals, params, params.passes, params.samples), "seated")
-    contexts, roots = _totals(seated, params.samples)
-    of = lambda name, i: F.get(name, F.lit(i))
-
-    def probability(i):
-        customers, tables = roots[i]
-        parent = (of("c0", i) - totals["d0"] * of("t0", i) + (s + totals["d0"] * tables) / (v + 1)) / (s + customers)
-        return (F.col("c") - totals["d1"] * of("t", i) + (s + totals["d1"] * of("tables", i)) * parent) / (s + F.col("customers"))
-
-    p = sum((probability(i) for i in range(params.samples)), F.lit(0.0)) / params.samples
-    return Model(shared.cut(seated.join(contexts, "u").select("u", "w", p.alias("p"), "seen"), "predicted"), n, v)
+    last = dishes
+    for turn in range(params.passes):
+        _settle(spark)
+        last = shared.cut(_sampled(dishes, _contexts(last, k), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
+        facts = _facts(last) or [0] * (2 * k)
+        roots = list(zip(facts[::2], facts[1::2], strict=True))
+        if turn < params.passes - 1:
+            totals = totals | {"c0": sum(c for c, _ in roots) / k, "t0": sum(t for _, t in roots) / k}
+    _settle(spark)
+    return Model(last, totals, roots, n_parts, params, n, v)
 
 
 def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity, a row for each row of docs."""
     shared.ship(docs.sparkSession)
     rows = _rows(docs)
-    pairs = _pairs(rows)
-    m = model(rows, pairs, params)
+    m = model(rows, params)
     n = m.n
-    base = F.log10((F.col("seen") + 0.5) / (m.n + 0.5 * (m.v + 1)))
-    found = m.found.select("u", "w", base.alias("base"), F.log10("p").alias("model"), (F.col("seen") > 0).cast("long").alias("known"))
-    tails = pairs.select("key", "u", "w").join(found, ["u", "w"]).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known")], F.count("*").alias("size"))
+    tails = m.sums(rows).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known", "size")])
     heads = rows.select("key", "doc_id", "held_out")
     # equal rows share a key: what came back for the key is divided among them
     copies = heads.withColumn("copies", F.count("*").over(Window.partitionBy("key")))

@@ -275,11 +275,10 @@ def test_language_model_probabilities(spark):
     """After every word the probabilities add up to 1, and they are those of a sampler that seats one customer at a time."""
     rows, texts, vocabulary = toy_corpus()
     held = lm._rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
-    pairs = lm._pairs(held)
     params = lm.Params(part_tokens=100, samples=40)
-    m = lm.model(held, pairs, params)
-    name = {words.hash_one(w.encode()): w for w in [*vocabulary, "unheard"]} | {lm.END: "END"}
-    found = {(name[r.u % 2**64], name[r.w % 2**64]): r.p for r in m.found.collect()}
+    m = lm.model(held, params)
+    name = {words.hash_one(w.encode()): w for w in [*vocabulary, "unheard"]} | {lm.END % 2**64: "END"}
+    found = {(name[r.u % 2**64], name[r.w % 2**64]): r.p for r in m.found().collect()}
     assert m.v == len(vocabulary) + 1
     total = collections.Counter()
     for (u, _), p in found.items():
