@@ -4,10 +4,10 @@ Restaurants. The root serves words; its base is uniform over the vocabulary and
 a restaurant of its own whose parent is the root. A customer (c) of a context who opens a table (t) is a customer of the
 root. With discount d and strength s, P(w|u) = (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u), the root likewise.
 
-Seating is sampled by Gibbs. Customers first sit down one after another; in a sweep each dish has as many customers leave,
-drawn at random, and sit down again as it has. The root keeps its tables from sweep to sweep: customers whose table in a
-context has closed leave it, those of new tables join. Dishes with more than `exact` customers are seated anew in growing
-blocks, each with a binomial draw of new tables, instead of a sweep.
+Seating is sampled by Gibbs. A sweep seats each dish anew, all its customers at once and given all other dishes: who sits
+where is summed out, and k tables have the probability ~ (weight of a new table)^k S(c, k), with generalized Stirling numbers
+S. The root is seated likewise; its customers are the tables of the contexts. Dishes with more than `exact` (a power of two)
+customers are seated in growing blocks, each with a binomial draw of new tables.
 
 Distribution. A dish is a pair of a previous word and a word. All dishes of one word lie in one part (by the word's hash),
 so the root's share of a word is local. What a part can't see, the restaurants' totals, stays as it was while a pass
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ CHUNK, CHARS = 4_000_000, 6
 @dataclass(frozen=True)
 class Params:
     strength: float = 1.0
-    exact: int = 32
+    exact: int = 256
     passes: int = 3
     sweeps: int = 4
     samples: int = 3
@@ -181,92 +182,41 @@ def seat_blocks(c: np.ndarray, opening: np.ndarray, d: float, rng) -> np.ndarray
     return t
 
 
-class Tables:
-    """Table sizes of dishes with at most `width` customers, a row for each dish."""
-
-    def __init__(self, n: int, width: int, rng):
-        self.sizes, self.rng = np.zeros((n, width), np.int16), rng
-
-    def leave(self, rows) -> None:
-        """A customer of each row, each as likely as the other, goes."""
-        s = self.sizes[rows]
-        at = self.rng.random(len(rows)) * s.sum(axis=1)
-        self.sizes[rows, (np.cumsum(s, axis=1) > at[:, None]).argmax(axis=1)] -= 1
-
-    def sit(self, rows, opening, d: float) -> None:
-        """A customer of each row sits down: at a table by its size less d, or at a new one by its weight, opening."""
-        s = self.sizes[rows]
-        taken = s > 0
-        at = self.rng.random(len(rows)) * (opening + s.sum(axis=1) - d * taken.sum(axis=1)) - opening
-        new = (at < 0) | ~taken.any(axis=1)
-        old = (np.cumsum(s - d * taken, axis=1) > at[:, None]).argmax(axis=1)
-        old = np.where(taken[np.arange(len(rows)), old], old, s.argmax(axis=1))  # a rounded sum can fall short
-        self.sizes[rows, np.where(new, (~taken).argmax(axis=1), old)] += 1
-
-    def sweep(self, c, opening, d: float) -> None:
-        for i in range(int(c.max(initial=0))):
-            rows = np.flatnonzero(c > i)
-            self.leave(rows)
-            self.sit(rows, opening[rows], d)
-
-    def tables(self):
-        return (self.sizes > 0).sum(axis=1)
+@lru_cache(maxsize=4)
+def stirling(n: int, d: float) -> np.ndarray:
+    """Logarithms of generalized Stirling numbers, [k, c]: how many seatings of c customers at k tables, by their weights:
+    the next customer opens a table (weight 1) or sits down at one (its size less d)."""
+    s = np.full((n + 1, n + 1), -np.inf)
+    s[0, 0] = 0.0
+    k = np.arange(n + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(n):
+            s[:, c + 1] = np.where(k <= c, np.log(np.maximum(c - d * k, 0)) + s[:, c], -np.inf)
+            s[1:, c + 1] = np.logaddexp(s[1:, c + 1], s[:-1, c])
+    return s
 
 
 class Seating:
-    """Tables of many dishes of contexts. A dish with one customer has one table."""
+    """Numbers of tables, t, of dishes with c customers: those with at most `exact` from their full conditional."""
 
-    def __init__(self, c: np.ndarray, opening: np.ndarray, d: float, exact: int, rng):
-        self.c, self.rng = c, rng
-        self.t = np.minimum(c, 1).astype(np.float64)
+    def __init__(self, c: np.ndarray, d: float, exact: int, rng):
+        self.c, self.d, self.rng, self.numbers = c, d, rng, stirling(exact, d)
+        self.t = np.minimum(c, 1).astype(np.float64)  # one customer has one table
         self.many = np.flatnonzero(c > exact)
-        self.some = []
-        low = 1
-        while low < exact:
-            i = np.flatnonzero((c > low) & (c <= min(2 * low, exact)))
-            low *= 2
-            if len(i):
-                seats = Tables(len(i), min(low, exact), rng)
-                for k in range(int(c[i].max())):
-                    rows = np.flatnonzero(c[i] > k)
-                    seats.sit(rows, opening[i][rows], d)
-                self.some.append((i, seats))
-                self.t[i] = seats.tables()
-        self._blocks(opening, d)
-
-    def _blocks(self, opening, d: float) -> None:
-        if len(self.many):
-            self.t[self.many] = seat_blocks(self.c[self.many], opening[self.many], d, self.rng)
+        widths = [2**i for i in range(1, exact.bit_length())]
+        self.some = [(w, np.flatnonzero((c > w // 2) & (c > 1) & (c <= w))) for w in widths]
 
-    def sweep(self, opening: np.ndarray, d: float) -> None:
+    def sweep(self, opening: np.ndarray) -> None:
         """opening: (s + d t_u) P(w) of each dish, the weight of a new table."""
-        for i, seats in self.some:
-            seats.sweep(self.c[i], opening[i], d)
-            self.t[i] = seats.tables()
-        self._blocks(opening, d)
-
-
-class Root:
-    """The root's tables of one part's words; its customers are the contexts' tables, which come and go."""
-
-    def __init__(self, n: int, exact: int, rng):
-        self.c, self.t, self.exact, self.rng = np.zeros(n, np.int64), np.zeros(n), exact, rng
-        self.seats = Tables(n, exact, rng)
-
-    def sweep(self, c: np.ndarray, opening: float, d: float) -> None:
-        few = c <= self.exact
-        self.seats.sizes[~few] = 0
-        now = self.seats.sizes.sum(axis=1, dtype=np.int64)
-        weight = np.full(len(c), opening)
-        for i in range(int(np.max((now - c)[few], initial=0))):
-            self.seats.leave(np.flatnonzero(few & (now - c > i)))
-        for i in range(int(np.max((c - now)[few], initial=0))):
-            rows = np.flatnonzero(few & (c - now > i))
-            self.seats.sit(rows, weight[rows], d)
-        self.seats.sweep(np.where(few, c, 0), weight, d)
-        self.c, self.t = c, self.seats.tables().astype(np.float64)
-        if not few.all():
-            self.t[~few] = seat_blocks(c[~few], weight[~few], d, self.rng)
+        for width, all_ in self.some:
+            for lo in range(0, len(all_), max(1, 1_000_000 // width)):
+                i = all_[lo : lo + max(1, 1_000_000 // width)]
+                weight = self.numbers[1 : width + 1][:, self.c[i]] + np.arange(1, width + 1)[:, None] * np.log(opening[i])
+                upto = np.cumsum(np.exp(weight - weight.max(axis=0)), axis=0)
+                below = (upto <= self.rng.random(len(i)) * upto[-1]).sum(axis=0)
+                self.t[i] = np.minimum(below + 1, self.c[i])
+        if len(self.many):
+            self.t[self.many] = seat_blocks(self.c[self.many], opening[self.many], self.d, self.rng)
 
 
 class Part:
@@ -275,21 +225,23 @@ class Part:
     def __init__(self, w, c, tables, totals: dict, params: Params, rng):
         self.p, self.g, self.tables = params, totals, tables
         self.words, self.first, self.word = np.unique(w, return_index=True, return_inverse=True)
-        self.root = Root(len(self.words), params.exact, rng)
+        self.rng = rng
         self._root(np.bincount(self.word, weights=c > 0, minlength=len(self.words)))
-        self.leaf = Seating(c, self._opening(), totals["d1"], params.exact, rng)
+        self.leaf = Seating(c, totals["d1"], params.exact, rng)
 
     def _root(self, customers) -> None:
+        """The tables of the root, whose customers are the contexts' tables."""
         g, s = self.g, self.p.strength
         base = (s + g["d0"] * g["t0"]) / (g["v"] + 1)
-        self.root.sweep(customers.astype(np.int64), base, g["d0"])
+        self.root = Seating(customers.astype(np.int64), g["d0"], self.p.exact, self.rng)
+        self.root.sweep(np.full(len(customers), base))
         self.parent = (self.root.c - g["d0"] * self.root.t + base) / (s + g["c0"])
 
     def _opening(self):
         return (self.p.strength + self.g["d1"] * self.tables) * self.parent[self.word]
 
     def sweep(self) -> None:
-        self.leaf.sweep(self._opening(), self.g["d1"])
+        self.leaf.sweep(self._opening())
         self._root(np.bincount(self.word, weights=self.leaf.t, minlength=len(self.words)))
 
     def sample(self) -> dict:
@@ -367,23 +319,27 @@ def _dishes(rows: DataFrame, n_parts: int, samples: int) -> DataFrame:
         customers = np.bincount(u, weights=c, minlength=len(us))
         tables = np.bincount(u, weights=c > 0, minlength=len(us))
         facts = [x for of in (seen, c) for x in (of.sum(), (of > 0).sum(), (of == 1).sum(), (of == 2).sum())]
-        yield from _out(part, samples, [us, customers, *[tables] * samples], _cells(w, us, u, c), facts)
+        yield from _out(part, samples, [us, customers, tables * samples, *[tables] * (samples - 1)], _cells(w, us, u, c), facts)
 
     chunks = _chunks(rows, n_parts, False).withColumn("kind", F.lit(TEXTS))
     return _by_part(chunks, n_parts, _schema(samples), add, finish)
 
 
-def _contexts(df: DataFrame, samples: int) -> DataFrame:
+def _contexts(df: DataFrame, names) -> DataFrame:
     """Every part's contexts with their sums over all parts."""
     over = Window.partitionBy("u")
-    sums = [F.sum(x).over(over).alias(x) for x in ("customers", *(f"t{i}" for i in range(samples)))]
-    return df.where(F.col("kind") == CONTEXT).select("part", "kind", "u", *sums, "cell")
+    sums = df.where(F.col("kind") == CONTEXT).select("part", "u", *names).select("part", "u", *(F.sum(x).over(over).alias(x) for x in names))
+    return sums.select("part", F.lit(CONTEXT).alias("kind"), "u", *names, F.lit(None).cast("binary").alias("cell"))
+
+
+def _names(samples: int) -> list[str]:
+    return ["customers", *(f"t{i}" for i in range(samples))]
 
 
-def _held(state, kind, batch, samples: int) -> None:
+def _held(state, kind, batch, names) -> None:
     """Gather a part's contexts and cells."""
     if kind == CONTEXT:
-        state.setdefault("contexts", []).append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "customers", *(f"t{i}" for i in range(samples)))])
+        state.setdefault("contexts", []).append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", *names)])
     else:
         state.setdefault("cells", []).extend(unpack(x.as_py()) for x in batch.column("cell"))
 
@@ -403,12 +359,12 @@ def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict,
     n = params.samples
 
     def add(state, kind, batch):
-        _held(state, kind, batch, n)
+        _held(state, kind, batch, ["t0"])
         return ()
 
     def finish(part, state):
-        (w, us, u, c), (customers, *tables) = _read(state)
-        x = Part(w, c, np.mean(tables, axis=0)[u], totals, params, np.random.default_rng([params.seed, int(part), turn]))
+        (w, us, u, c), (tables,) = _read(state)
+        x = Part(w, c, (tables / n)[u], totals, params, np.random.default_rng([params.seed, int(part), turn]))
         for _ in range(params.sweeps):
             x.sweep()
         drawn = []
@@ -416,11 +372,13 @@ def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict,
             x.sweep()
             drawn.append(x.sample())
         own = [np.bincount(u, weights=z, minlength=len(us)) for z in (c, *(d["t"] for d in drawn))]
+        if not last:  # the next pass asks for their mean
+            own = [np.zeros(len(us)), sum(own[1:]), *[np.zeros(len(us))] * (n - 1)]
         facts = [d[z].sum() for d in drawn for z in ("once_c0", "once_t0")]
         columns = [d[z].astype(np.int32) for z in ("t", "c0", "t0") for d in drawn]
         yield from _out(part, n, [us, *own], _cells(w, us, u, c, *columns) if last else (), facts)
 
-    both = contexts.unionByName(dishes.where(F.col("kind") == CELL))
+    both = contexts.union(dishes.where(F.col("kind") == CELL).select(*contexts.columns))
     return _by_part(both, n_parts, _schema(n), add, finish)
 
 
@@ -450,14 +408,15 @@ class Model:
         return w, us, u, p / k, seen
 
     def _parts(self) -> DataFrame:
-        return _contexts(self.last, self.params.samples).unionByName(self.last.where(F.col("kind") == CELL))
+        names = _names(self.params.samples)
+        return _contexts(self.last, names).union(self.last.where(F.col("kind") == CELL).select("part", "kind", "u", *names, "cell"))
 
     def found(self) -> DataFrame:
         """(u, w, p, seen) of every pair of the documents."""
         me = Model(None, self.totals, self.roots, self.n_parts, self.params, self.n, self.v)
 
         def add(state, kind, batch):
-            _held(state, kind, batch, me.params.samples)
+            _held(state, kind, batch, _names(me.params.samples))
             return ()
 
         def finish(part, state):
@@ -473,7 +432,7 @@ class Model:
 
         def add(state, kind, batch):
             if kind != TEXTS:
-                _held(state, kind, batch, me.params.samples)
+                _held(state, kind, batch, _names(me.params.samples))
                 return
             if "p" not in state:
                 w, us, u, p, seen = me._probable(state)
@@ -520,11 +479,14 @@ def model(rows: DataFrame, params: Params) -> Model:
     last = dishes
     for turn in range(params.passes):
         _settle(spark)
-        last = shared.cut(_sampled(dishes, _contexts(last, k), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
+        before, last = last, shared.cut(_sampled(dishes, _contexts(last, ["t0"]), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
         facts = _facts(last) or [0] * (2 * k)
+        if turn:
+            shared.discard(before)
         roots = list(zip(facts[::2], facts[1::2], strict=True))
         if turn < params.passes - 1:
             totals = totals | {"c0": sum(c for c, _ in roots) / k, "t0": sum(t for _, t in roots) / k}
+    shared.discard(dishes)
     _settle(spark)
     return Model(last, totals, roots, n_parts, params, n, v)
 

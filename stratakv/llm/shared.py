@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a `cut` that nothing reads any more."""
+    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+    folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
