@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from . import shared, words
 U = np.uint64
 END = int(np.array([words.hash_one(b"\n")], U).view(np.int64)[0])  # no word holds a line feed
 #: Tokens that a task gathers before it sends their pairs on, and about how many characters a token has.
-CHUNK, CHARS = 4_000_000, 6
+CHUNK, CHARS = 2_000_000, 6
 
 
 @dataclass(frozen=True)
@@ -124,12 +125,21 @@ def _chunk(w, sizes, train, keys, n_parts: int, scoring: bool):
         yield int(owner[lo]), pack(*columns)
 
 
+def _slices(batch):
+    """A batch in runs of whole documents, of about an eighth of a chunk each."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    piece = ends // (CHUNK * CHARS // 8)
+    cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(piece)], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
 def _chunks(rows: DataFrame, n_parts: int, scoring: bool) -> DataFrame:
     """(part, cell): the pairs of each chunk of documents, dealt to the parts of their words."""
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b)):
             w, sizes = tokens(batch.column("text"))
             held.append((w.view(np.int64), sizes, ~batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)))
             size += len(w)
