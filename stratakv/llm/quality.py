@@ -1,11 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio of each document, trusted text against the raw corpus.
 
 Words and word pairs are hashed into `buckets`. Two multinomials are fitted: one over the bucket counts of all documents,
-one over those of trusted documents (labels with quality 1 and toxic 0; at most `trusted` of them, the ones whose hashed
-id is smallest). A document's score is the mean log ratio over its n-grams. The bar is set once, from trusted documents
-that the fit left out (every second one) and the base rule passes: the `keep` quantile of their scores less `slack`; every document is held to it.
+one over those of all trusted documents (labels with quality 1 and toxic 0). A document's score is the mean log ratio over
+its n-grams. The bar comes from all trusted documents that the base rule passes: they are dealt by hashed id into two
+halves, each is scored with the counts of the other half, and the bar is the `keep` quantile of these scores less `slack`;
+every document is held to it. Counts and quantile are exact, nothing is drawn or capped; scores are ranked in steps of 2^-40.
 
-Everything is computed in the row with built-in functions; only bucket counts are shuffled. A null text is empty and has no
+Everything is computed in the row with built-in functions. Bucket counts are shuffled, and texts once by doc_id, to meet
+their labels; the trusted ones' n-grams are written and read back. A null text is empty and has no
 words. Without usable labels every document that passes the base rule is kept. Repeated rows give repeated rows; a null
 doc_id is scored like others but never trusted. Other columns are passed through by `keep_good` and not looked at.
 """
@@ -23,7 +25,6 @@ from . import shared
 @dataclass(frozen=True)
 class Params:
     buckets: int = 10_000
-    trusted: int = 20_000
     smoothing: float = 1.0
     keep: float = 0.002
     slack: float = 0.05
@@ -61,32 +62,78 @@ def features(params: Params) -> Column:
     return F.expr(f"concat({one}, {two})")
 
 
-def _ratios(counts: dict[int, tuple[int, int]], params: Params) -> list[float]:
+def _ratios(raw: dict[int, int], good: dict[int, int], params: Params) -> list[float]:
     from math import log
 
     a, b = params.smoothing, params.buckets
-    total = [sum(x[i] for x in counts.values()) for i in (0, 1)]
-    return [log((t + a) / (total[1] + a * b)) - log((r + a) / (total[0] + a * b)) for r, t in (counts.get(i, (0, 0)) for i in range(b))]
+    of_raw, of_good = (sum(x.values()) + a * b for x in (raw, good))
+    return [log((good.get(i, 0) + a) / of_good) - log((raw.get(i, 0) + a) / of_raw) for i in range(b)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, params: Params) -> tuple[list[float], float | None]:
-    """(log ratio of each bucket, bar). The driver gets `buckets` sums and one number."""
-    worded = with_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text")))
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.trusted)
-    chosen = trusted.select("doc_id", (F.pmod(F.shiftright(F.xxhash64("doc_id"), 8), F.lit(2)) + 1).alias("_role"))
-    marked = worded.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("_role", F.lit(0)).alias("_role"), shared.once(features(params)).alias("f"))  # at most `trusted` ids
-    grams = marked.select("_role", F.explode_outer("f").alias("bucket")).where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.when(F.col("_role") == 1, 1).otherwise(0)).alias("good"))
-    ratios = _ratios({r.bucket: (r.raw, r.good) for r in counts.toLocalIterator()}, params)
-    left_out = worded.join(F.broadcast(chosen.where("_role = 2")), "doc_id", "left_semi")
-    bar = scored(base_columns(left_out), ratios, params).where("not base_failed").agg(F.percentile("score", F.lit(params.keep))).first()[0]
-    return ratios, None if bar is None else bar - params.slack
+#: Scores are logarithms of ratios of counts, so they are below 64; as steps of 2^-STEP they have 48 bits.
+STEP, DIGIT = 40, 16
 
 
-def scored(worded: DataFrame, ratios: list[float], params: Params) -> DataFrame:
+def _ranked(scores: DataFrame, rank: int) -> float:
+    """The score with so many below it, digit by digit: each job counts at most 2^DIGIT cells."""
+    steps = scores.select((F.floor(F.col("score") * 2.0**STEP).cast("long") + (1 << 47)).alias("x"))
+    found = 0
+    for shift in (2 * DIGIT, DIGIT, 0):
+        here = steps.where(F.shiftright("x", shift + DIGIT) == found)
+        cells = here.groupBy(F.shiftright("x", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")).agg(F.count("*").alias("n"))
+        for digit, n in sorted(map(tuple, cells.collect())):
+            if rank < n:
+                break
+            rank -= n
+        found = found << DIGIT | digit
+    return (found - (1 << 47)) / 2.0**STEP
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile of column score, between two ranks in proportion; None without rows."""
+    n = scores.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low = _ranked(scores, int(at))
+    return low if at == int(at) else low + (at - int(at)) * (_ranked(scores, int(at) + 1) - low)
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, _half) of all trusted documents."""
+    ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids.withColumn("_half", F.pmod(F.shiftright(F.xxhash64("doc_id"), 8), F.lit(2)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, params: Params) -> tuple[list[float], float | None]:
+    """(log ratio of each bucket, bar). The driver gets `buckets` sums, cells of scores and one number."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("_text"))
+    grams = with_words(texts).select(F.explode(shared.once(features(params))).alias("bucket"))
+    raw = {r.bucket: r.n for r in grams.groupBy("bucket").agg(F.count("*").alias("n")).toLocalIterator()}
+    mine = base_columns(with_words(texts.join(trusted_ids(labels).hint("merge"), "doc_id")))  # one plan for any number of labels
+    mine = shared.cut(mine.select("_half", "base_failed", shared.once(features(params)).alias("_grams")), "trusted")
+    counts = mine.select("_half", F.explode("_grams").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("_half") == i).alias(f"n{i}") for i in (0, 1)])
+    halves = ({}, {})
+    for r in counts.toLocalIterator():
+        halves[0][r.bucket], halves[1][r.bucket] = r.n0, r.n1
+    other = [_mean(_ratios(raw, halves[1 - i], params)) for i in (0, 1)]
+    tried = shared.cut(mine.where("not base_failed").select(F.when(F.col("_half") == 0, other[0]).otherwise(other[1]).alias("score")), "scores")
+    bar = quantile(tried, params.keep)
+    for used in (mine, tried):
+        shared.discard(used)
+    good = {k: n + halves[1][k] for k, n in halves[0].items()}
+    return _ratios(raw, good, params), None if bar is None else bar - params.slack
+
+
+def _mean(ratios: list[float]) -> Column:
+    """The mean ratio over _grams."""
     table = shared.constant(ratios, "double")
     mean = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size("_grams")
-    return worded.withColumn("_grams", shared.once(features(params))).withColumn("score", F.when(F.size("_grams") == 0, 0.0).otherwise(mean)).drop("_grams")
+    return F.when(F.size("_grams") == 0, 0.0).otherwise(mean)
+
+
+def scored(worded: DataFrame, ratios: list[float], params: Params) -> DataFrame:
+    return worded.withColumn("_grams", shared.once(features(params))).withColumn("score", _mean(ratios)).drop("_grams")
 
 
 def assess(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:

@@ -105,6 +105,34 @@ def test_quality(docs, labels, empty):
     assert quality.assess(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_quality_counts_and_bar_come_from_all_trusted_documents(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, rng.integers(0, 60)))) for i in range(400)] + [(7, "again the same id"), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 8 == 1)) for i in range(450)] + [(2, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    params = quality.Params(buckets=50, keep=0.03)
+    ratios, bar = quality.fit(docs, labels, params)
+    halves = {r.doc_id: r._half for r in quality.trusted_ids(labels).collect()}
+    assert sorted(halves) == [i for i in range(450) if i % 4 > 0 and i % 8 != 1]
+    texts = quality.base_columns(quality.with_words(docs.withColumnRenamed("text", "_text")))
+    held = [(halves.get(r.doc_id), r.g, r.base_failed) for r in texts.select("doc_id", quality.features(params).alias("g"), "base_failed").collect()]
+    counts = lambda own: np.bincount([x for h, g, _ in held if h in own for x in g], minlength=50)
+    want = lambda own: np.log((counts(own) + 1) / (counts(own).sum() + 50)) - np.log((counts((0, 1, None)) + 1) / (counts((0, 1, None)).sum() + 50))
+    np.testing.assert_allclose(ratios, want((0, 1)), atol=1e-9)
+    scores = [want((1 - h,))[g].mean() for h, g, failed in held if h is not None and not failed]
+    assert len(scores) > 150
+    assert abs(bar - (np.quantile(scores, 0.03) - params.slack)) < 1e-9
+
+
+def test_quality_quantile_is_exact(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(0, 10, 500), np.full(300, -0.25), [0.0, 40.5, -41.0]])
+    scores = spark.createDataFrame([(float(x),) for x in values], "score double").repartition(3)
+    for share in (0.0, 0.002, 0.4, 1.0):
+        assert abs(quality.quantile(scores, share) - np.quantile(values, share)) < 1e-11
+    assert quality.quantile(scores.limit(0), 0.5) is None
+
+
 FEW = linedup.Params(buckets=64)
 
 
