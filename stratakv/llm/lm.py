@@ -16,7 +16,9 @@ and totals from that one sample, summed up after the pass, so every context's pr
 over the samples. Passes are written before they are used, so none is drawn twice.
 
 Space. Pairs travel packed: a row holds the pairs of one chunk of documents for one part, words by their place in a list
-(about 5 bytes a pair; a row of hashes takes over 20). No row is empty, so there are never more rows than pairs. Texts are
+(about 5 bytes a pair; a row of hashes takes over 20). So do a part's contexts: a home, which some contexts have by hash,
+gets a row from each part that has any of them, sums them up and sends each part the sums alone, in the order of the part's
+own list. No row is empty, so there are never more rows than pairs. Texts are
 split into words twice, for the model and for scoring, which is less than keeping them. A part's dishes are held by one
 task, texts are not: to be scored they stream past the dishes, and a part with much more of them than others (a word that
 a third of all tokens are) is dealt over several tasks, each with that part's dishes. A document's sums come together by key.
@@ -265,29 +267,59 @@ class Part:
 CONTEXT, CELL, TEXTS, FACT = 0, 1, 2, 10
 
 
-def _schema(samples: int) -> str:
-    """A part's rows: what it has of a context (CONTEXT), packed pairs (CELL, TEXTS), and numbers to be summed up (FACT and on)."""
-    return "part int, kind int, u long, customers long, " + ", ".join(f"t{i} long" for i in range(samples)) + ", cell binary"
+#: A part's rows: what it has of a home's contexts (CONTEXT), packed pairs (CELL, TEXTS), and numbers to be summed up (FACT and on).
+SCHEMA = "part int, kind int, home int, n long, cell binary"
+COLUMNS = ["part", "kind", "home", "n", "cell"]
 
 
-def _out(part: int, samples: int, contexts, cells, facts):
+def _homes(n_parts: int) -> int:
+    return -(-n_parts // 4)
+
+
+def _by_home(us: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in the order of their homes, else as they are; the homes, and where each begins, with the end."""
+    home = (us >> 16) % _homes(n_parts)
+    order = np.argsort(home, kind="stable")
+    home = home[order]
+    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+    return order, home[cuts], np.append(cuts, len(home))
+
+
+def _batches(rows):
+    """(part, kind, home, n, cell) as batches."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if len(held) == 5000 or size > 4_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), TYPES, strict=True)], COLUMNS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), TYPES, strict=True)], COLUMNS)
+
+
+TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _out(part: int, n_parts: int, contexts, cells, facts):
     """A part's rows as batches; contexts: u, customers and tables by sample."""
-    names = ["part", "kind", "u", "customers", *(f"t{i}" for i in range(samples)), "cell"]
-    n = len(contexts[0])
-    for lo in range(0, n, 100_000):
-        some = [pa.array(np.asarray(c[lo : lo + 100_000], np.int64)) for c in contexts]
-        m = len(some[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, CONTEXT, np.int32)), *some, pa.nulls(m, pa.binary())], names)
-    none = pa.nulls(1, pa.int64())
-    for cell in cells:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([CELL], pa.int32()), *[none] * (2 + samples), pa.array([cell], pa.binary())], names)
-    m = len(facts)
-    numbers = [pa.array(np.full(m, part, np.int32)), pa.array(np.arange(FACT, FACT + m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(np.asarray(facts, np.int64))]
-    yield pa.RecordBatch.from_arrays([*numbers, *[pa.nulls(m, pa.int64())] * samples, pa.nulls(m, pa.binary())], names)
+
+    def rows():
+        order, homes, cuts = _by_home(contexts[0], n_parts)
+        columns = [np.asarray(c, np.int64)[order] for c in contexts]
+        for home, lo, hi in zip(homes.tolist(), cuts[:-1], cuts[1:], strict=True):
+            some = [c[lo:hi] for c in columns]
+            yield part, CONTEXT, home, int(some[1].sum()), pack(*some)
+        for cell in cells:
+            yield part, CELL, None, None, cell
+        for i, fact in enumerate(facts):
+            yield part, FACT + i, None, int(fact), None
+
+    return _batches(rows())
 
 
 def _facts(df: DataFrame) -> list[int]:
-    found = df.where(F.col("kind") >= FACT).groupBy("kind").agg(F.sum("customers").alias("x")).orderBy("kind").collect()
+    found = df.where(F.col("kind") >= FACT).groupBy("kind").agg(F.sum("n").alias("x")).orderBy("kind").collect()
     return [r.x for r in found]
 
 
@@ -329,39 +361,55 @@ def _dishes(rows: DataFrame, n_parts: int, samples: int) -> DataFrame:
         customers = np.bincount(u, weights=c, minlength=len(us))
         tables = np.bincount(u, weights=c > 0, minlength=len(us))
         facts = [x for of in (seen, c) for x in (of.sum(), (of > 0).sum(), (of == 1).sum(), (of == 2).sum())]
-        yield from _out(part, samples, [us, customers, tables * samples, *[tables] * (samples - 1)], _cells(w, us, u, c), facts)
+        yield from _out(part, n_parts, [us, customers, tables * samples, *[tables] * (samples - 1)], _cells(w, us, u, c), facts)
 
     chunks = _chunks(rows, n_parts, False).withColumn("kind", F.lit(TEXTS))
-    return _by_part(chunks, n_parts, _schema(samples), add, finish)
+    return _by_part(chunks, n_parts, SCHEMA, add, finish)
+
 
+def _contexts(df: DataFrame, n_parts: int, names: tuple[int, ...]) -> DataFrame:
+    """Every part's contexts with their sums over all parts: columns names of customers (0) and tables by sample (1 and on)."""
 
-def _contexts(df: DataFrame, names) -> DataFrame:
-    """Every part's contexts with their sums over all parts."""
-    over = Window.partitionBy("u")
-    sums = df.where(F.col("kind") == CONTEXT).select("part", "u", *names).select("part", "u", *(F.sum(x).over(over).alias(x) for x in names))
-    return sums.select("part", F.lit(CONTEXT).alias("kind"), "u", *names, F.lit(None).cast("binary").alias("cell"))
+    def add(state, kind, batch):
+        state.setdefault("parts", []).extend(batch.column("part").to_pylist())
+        for cell in batch.column("cell"):
+            us, *columns = unpack(cell.as_py())
+            state.setdefault("held", []).append([us, *(columns[i] for i in names)])
+        return ()
 
+    def finish(home, state):
+        ends = np.cumsum([len(x[0]) for x in state["held"]])
+        us, *columns = (np.concatenate(x) for x in zip(*state.pop("held"), strict=True))
+        at = np.argsort(us, kind="stable")
+        new = np.concatenate([[True], us[at][1:] != us[at][:-1]])
+        place = np.empty_like(at)
+        place[at] = np.cumsum(new) - 1
+        sums = [np.add.reduceat(c[at], np.flatnonzero(new)) for c in columns]
+        yield from _batches((part, CONTEXT, home, None, pack(*(x[place[lo:hi]] for x in sums))) for part, lo, hi in zip(state["parts"], [0, *ends[:-1]], ends, strict=True))
 
-def _names(samples: int) -> list[str]:
-    return ["customers", *(f"t{i}" for i in range(samples))]
+    return _by_part(df.where(F.col("kind") == CONTEXT), _homes(n_parts), SCHEMA, add, finish, ("home",))
 
 
-def _held(state, kind, batch, names) -> None:
+def _held(state, kind, batch) -> None:
     """Gather a part's contexts and cells."""
+    cells = [unpack(x.as_py()) for x in batch.column("cell")]
     if kind == CONTEXT:
-        state.setdefault("contexts", []).append([batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", *names)])
+        state.setdefault("contexts", {}).update(zip(batch.column("home").to_pylist(), cells, strict=True))
     else:
-        state.setdefault("cells", []).extend(unpack(x.as_py()) for x in batch.column("cell"))
+        state.setdefault("cells", []).extend(cells)
 
 
-def _read(state) -> tuple[list, list]:
+def _read(state, n_parts: int) -> tuple[list, list]:
     """The part's pairs (w, us, u, other columns) in order, and the sums of each of us."""
     cells = sorted(state["cells"], key=lambda x: (x[0][0], x[1][x[2][0]]))
     us = cells[0][1]  # every cell of a part has all its contexts
     pairs = [np.concatenate([x[i] for x in cells]) for i in range(len(cells[0])) if i != 1]
-    contexts = [np.concatenate(x) for x in zip(*state["contexts"], strict=True)]
-    at = np.argsort(contexts[0])[np.searchsorted(np.sort(contexts[0]), us)]
-    return [pairs[0], us, *pairs[1:]], [x[at] for x in contexts[1:]]
+    order, homes, _ = _by_home(us, n_parts)
+    sums = []
+    for column in zip(*(state["contexts"][home] for home in homes.tolist()), strict=True):
+        sums.append(np.empty(len(us), np.int64))
+        sums[-1][order] = np.concatenate(column)
+    return [pairs[0], us, *pairs[1:]], sums
 
 
 def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict, params: Params, turn: int, last: bool) -> DataFrame:
@@ -369,11 +417,11 @@ def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict,
     n = params.samples
 
     def add(state, kind, batch):
-        _held(state, kind, batch, ["t0"])
+        _held(state, kind, batch)
         return ()
 
     def finish(part, state):
-        (w, us, u, c), (tables,) = _read(state)
+        (w, us, u, c), (tables,) = _read(state, n_parts)
         x = Part(w, c, (tables / n)[u], totals, params, np.random.default_rng([params.seed, int(part), turn]))
         for _ in range(params.sweeps):
             x.sweep()
@@ -386,10 +434,9 @@ def _sampled(dishes: DataFrame, contexts: DataFrame, n_parts: int, totals: dict,
             own = [np.zeros(len(us)), sum(own[1:]), *[np.zeros(len(us))] * (n - 1)]
         facts = [d[z].sum() for d in drawn for z in ("once_c0", "once_t0")]
         columns = [d[z].astype(np.int32) for z in ("t", "c0", "t0") for d in drawn]
-        yield from _out(part, n, [us, *own], _cells(w, us, u, c, *columns) if last else (), facts)
+        yield from _out(part, n_parts, [us, *own], _cells(w, us, u, c, *columns) if last else (), facts)
 
-    both = contexts.union(dishes.where(F.col("kind") == CELL).select(*contexts.columns))
-    return _by_part(both, n_parts, _schema(n), add, finish)
+    return _by_part(contexts.union(dishes.where(F.col("kind") == CELL)), n_parts, SCHEMA, add, finish)
 
 
 @dataclass(frozen=True)
@@ -407,7 +454,7 @@ class Model:
     def _probable(self, state):
         """(w, us, u, p, seen) of the part's pairs."""
         k, s, d0, d1 = self.params.samples, self.params.strength, self.totals["d0"], self.totals["d1"]
-        (w, us, u, c, *drawn), (customers, *tables) = _read(state)
+        (w, us, u, c, *drawn), (customers, *tables) = _read(state, self.n_parts)
         p = np.zeros(len(w))
         for i in range(k):
             t, c0, t0 = drawn[i], drawn[k + i], drawn[2 * k + i]
@@ -418,15 +465,14 @@ class Model:
         return w, us, u, p / k, seen
 
     def _parts(self) -> DataFrame:
-        names = _names(self.params.samples)
-        return _contexts(self.last, names).union(self.last.where(F.col("kind") == CELL).select("part", "kind", "u", *names, "cell"))
+        return _contexts(self.last, self.n_parts, tuple(range(1 + self.params.samples))).union(self.last.where(F.col("kind") == CELL))
 
     def found(self) -> DataFrame:
         """(u, w, p, seen) of every pair of the documents."""
         me = Model(None, self.totals, self.roots, self.n_parts, self.params, self.n, self.v)
 
         def add(state, kind, batch):
-            _held(state, kind, batch, _names(me.params.samples))
+            _held(state, kind, batch)
             return ()
 
         def finish(part, state):
@@ -442,7 +488,7 @@ class Model:
 
         def add(state, kind, batch):
             if kind != TEXTS:
-                _held(state, kind, batch, _names(me.params.samples))
+                _held(state, kind, batch)
                 return
             if "p" not in state:
                 w, us, u, p, seen = me._probable(state)
@@ -459,15 +505,14 @@ class Model:
                 columns = [keys, sums[0], sums[1], sums[2].astype(np.int64), size.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "base", "model", "known", "size"])
 
-        n = self.params.samples
         texts = _chunks(rows, self.n_parts, True)
-        tokens_ = self.last.where(F.col("kind") == CONTEXT).groupBy("part").agg(F.sum("customers").alias("n"))
+        tokens_ = self.last.where(F.col("kind") == CONTEXT).groupBy("part").agg(F.sum("n").alias("n"))
         shares = tokens_.select("part", F.greatest(F.lit(1), F.floor(F.col("n") / self.params.part_tokens)).cast("int").alias("shares"))
-        blank = [F.lit(None).cast("long").alias(x) for x in ("u", "customers", *(f"t{i}" for i in range(n)))]
+        blank = [F.lit(None).cast("int").alias("home"), F.lit(None).cast("long").alias("n")]
         share = F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int").alias("share")
         texts = texts.join(F.broadcast(shares), "part").select("part", F.lit(TEXTS).alias("kind"), *blank, "cell", share)
         parts = self._parts().join(F.broadcast(shares), "part")
-        parts = parts.select("part", "kind", "u", "customers", *(f"t{i}" for i in range(n)), "cell", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        parts = parts.select(*COLUMNS, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         schema = "key long, base double, model double, known long, size long"
         return _by_part(parts.unionByName(texts), self.n_parts, schema, add, lambda part, state: (), ("part", "share"))
 
@@ -489,7 +534,7 @@ def model(rows: DataFrame, params: Params) -> Model:
     last = dishes
     for turn in range(params.passes):
         _settle(spark)
-        before, last = last, shared.cut(_sampled(dishes, _contexts(last, ["t0"]), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
+        before, last = last, shared.cut(_sampled(dishes, _contexts(last, n_parts, (1,)), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
         facts = _facts(last) or [0] * (2 * k)
         if turn:
             shared.discard(before)

@@ -323,6 +323,35 @@ def test_language_model_probabilities(spark):
     assert apart < 0.03, apart
 
 
+def test_language_model_contexts_travel_packed(spark):
+    """A part sends its contexts in few rows, not in one for each, and gets the sums over all parts in the order of its own list."""
+    from pyspark.sql import functions as F
+
+    lm.shared.ship(spark)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 50)) for _ in range(60)]
+    held = lm._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    n_parts = 5
+    dishes = lm._dishes(held, n_parts, 2).cache()
+    contexts = dishes.where(F.col("kind") == lm.CONTEXT)
+    assert contexts.count() <= 2 * n_parts
+    want, own = collections.Counter(), {}
+    for r in contexts.collect():
+        us, customers, *tables = lm.unpack(r.cell)
+        own[r.part, r.home] = us
+        assert r.n == customers.sum()
+        for u, c, t in zip(us.tolist(), customers.tolist(), tables[0].tolist(), strict=True):
+            want[u, 0] += c
+            want[u, 1] += t
+    assert len(own) == contexts.count() and len(want) == 2 * (1 + len({w for t in texts for w in t.split()}))
+    got = lm._contexts(dishes, n_parts, (0, 1)).collect()
+    assert {(r.part, r.home) for r in got} == own.keys() and len(got) == len(own)
+    for r in got:
+        sums = lm.unpack(r.cell)
+        us = own[r.part, r.home].tolist()
+        assert [x.tolist() for x in sums] == [[want[u, i] for u in us] for i in (0, 1)]
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs).collect()
     assert len(got) == len(ROWS) and len(licenses.rules(licenses.Params())) > 200
