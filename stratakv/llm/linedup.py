@@ -6,7 +6,9 @@ class occurred before, or if an earlier class is linked with its class.
 
 The join. Words get one global order, rare ones first: by the count of their hash bucket over all texts, then by hash; any
 order is exact, and the buckets are a table of fixed size. In that order similar sets share a word among their first
-|x| - ceil(s |x|) + 1 (the prefix), which is the join key. The length filter, the positional filter (what can still be
+|x| - ceil(s |x|) + 1 (the prefix), which is the join key. Where more than `heavy` classes have a word (by cells of a table
+of fixed size) in their prefix, the key is that word with the one that both sets have next: it is among the words up to one
+place behind the prefix. So tests in a key's group don't grow with the square of the corpus, as single words' do. The length filter, the positional filter (what can still be
 shared after the places of the common word) and parities (how many words of a set have a bit, even or odd: each that
 differs is a word that only one side has) refuse pairs without error. A set of fewer than s / (100 - s) words is linked with none.
 
@@ -43,6 +45,8 @@ class Params:
     block: int = 256
     heads: int = 8
     filter_bits: int = 1 << 20
+    heavy: int = 3000
+    heavy_cells: int = 1 << 19
 
 
 def _words(text: Column) -> Column:
@@ -125,8 +129,36 @@ def _apart(x, y) -> Column:
     return F.when((x("n") > LONG) & (y("n") > LONG), sum(parts, F.bit_count(rest[0].bitwiseXOR(rest[1])))).otherwise(0)
 
 
-def _groups(entries: DataFrame, params: Params) -> DataFrame:
-    """(id, component) of the classes that have a candidate; two candidates are in one component.
+def _reach(n: Column, params: Params) -> Column:
+    """How many words of a set of n are its prefix."""
+    return (n - F.ceil(n * params.similarity / 100) + 1).cast("int")
+
+
+def _folded(h: Column) -> Column:
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _entries(classes: DataFrame, params: Params) -> DataFrame:
+    """(id, n, parity, parts, pos, token): the join keys of each class; pos: so many words before what both may share, but one."""
+    own = ("id", "n", "parity", *PARTS)
+    single = F.slice("prefix", 1, _reach(F.col("n"), params))
+    cell = F.xxhash64("word").bitwiseAND(F.lit(params.heavy_cells - 1))
+    words = classes.select(F.explode(single).alias("word"))
+    counts = words.groupBy(F.shiftright(cell, 6).cast("int").alias("at"), cell.bitwiseAND(F.lit(63)).cast("int").alias("bit")).agg(F.count("*").alias("c"))
+    many = F.col("c") > params.heavy if params.similarity >= 67 else F.lit(False)  # from 67 on, linked sets share two words
+    wanted = _cells(counts.where(many), F.col("at"), F.bit_or(F.expr("shiftleft(1L, bit)")), params.heavy_cells >> 6)
+    bit = F.expr("shiftleft(1L, cast(xxhash64(word) & 63 as int))")
+    heavy = F.get(shared.constant(wanted.tolist(), "bigint"), F.shiftright(cell, 6).cast("int")).bitwiseAND(bit) != 0
+    light = classes.select(*own, F.posexplode(single).alias("pos", "word")).where(~heavy).select(*own, "pos", _folded(F.col("word")).alias("token"))
+    pairs = classes.select(*own, "prefix", F.posexplode(single).alias("i", "word")).where(heavy)
+    pairs = pairs.select(*own, "word", "i", F.posexplode(F.expr("slice(prefix, i + 2, size(prefix))")).alias("k", "next"))
+    pairs = pairs.select(*own, (F.col("i") + F.col("k")).alias("pos"), _folded(F.xxhash64("word", "next")).alias("token"))
+    # computed once: else the optimizer would join each side of the union by itself, and shuffle all twice
+    return light.union(pairs).withColumn("token", shared.once(F.col("token")))
+
+
+def _groups(entries: DataFrame, params: Params) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, component) of the classes that have a candidate; two candidates are in one component. Also the steps it reads.
 
     Here id alone names a class: two classes with one hash come into one group, where they are told apart again.
     """
@@ -145,7 +177,7 @@ def _groups(entries: DataFrame, params: Params) -> DataFrame:
     across = shared.cut(across.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct(), "across")
     if across.limit(1).count():
         found = minhash.components(links.union(across))
-    return met.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return met.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), [met, links, own, across]
 
 
 def _counted(members: DataFrame, params: Params) -> DataFrame:
@@ -171,7 +203,9 @@ def _counted(members: DataFrame, params: Params) -> DataFrame:
         return F.struct(*[x[c].alias(c) for c in CLASS], hits.alias("hits"))
 
     rows = both.select(F.inline(F.transform("xs", counts)))
-    return rows.groupBy(*CLASS).agg(F.sum(F.size("hits")).alias("links"), F.bool_or(F.array_contains("hits", True)).alias("late"))
+    linked_ = shared.cut(rows.groupBy(*CLASS).agg(F.sum(F.size("hits")).alias("links"), F.bool_or(F.array_contains("hits", True)).alias("late")), "links")
+    shared.discard(blocks)
+    return linked_
 
 
 def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -181,17 +215,20 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     s = params.similarity
     table = _lines(docs).withColumn("tokens", shared.once(_tokens(F.col("_line"), ranks, params))).where(F.size("tokens") > 0)
     n = F.size("tokens")
-    prefix = F.when(n >= s // (100 - s), F.slice("tokens", 1, (n - F.ceil(n * s / 100) + 1).cast("int")))
+    prefix = F.when(n >= s // (100 - s), F.slice("tokens", 1, _reach(n, params) + 1))  # and one word more
     table = table.select("doc_id", "line", F.xxhash64("tokens").alias("id"), F.hash("tokens").alias("check"), n.alias("n"), prefix.alias("prefix"), *_parities())
     table = shared.cut(table, "lines")
     key = ["id", "check", "n"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "line")
-    classes = table.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("prefix", "parity", *PARTS)])
-    entries = classes.select("id", "n", "parity", *PARTS, F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.withColumn("token", F.col("token").bitwiseXOR(F.shiftrightunsigned("token", 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    groups = _groups(entries, params)
-    firsts = shared.cut(table.groupBy(*key).agg(F.min(place).alias("first")).select(*key, "first.*"), "firsts")
-    grouped = shared.cut(firsts.join(groups, "id").select(*CLASS, "component"), "groups")
+    classes = table.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("prefix", "parity", *PARTS)])
+    classes = shared.cut(classes.select(*key, "first.*", "size", "prefix", "parity", *PARTS), "classes")
+    shared.settle(docs.sparkSession)
+    entries = _entries(classes, params)
+    groups, steps = _groups(entries, params)
+    grouped = shared.cut(classes.select("doc", "line", "id").join(groups, "id").select(*CLASS, "component"), "groups")
+    for used in steps:
+        shared.discard(used)
+    shared.settle(docs.sparkSession)
     cell = F.xxhash64("doc", "line").bitwiseAND(F.lit(params.filter_bits - 1))
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
     wanted = _cells(grouped, F.shiftright(cell, 6), F.bit_or(bit), params.filter_bits >> 6)
@@ -200,21 +237,25 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     some = some.join(grouped.withColumnRenamed("id", "_id"), ["doc", "line"])  # a line's text, before it is more than that
     some = some.select("doc", "line", "_id", "component", shared.once(_tokens(F.col("_line"), ranks, params)).alias("tokens")).withColumn("id", F.xxhash64("tokens"))
     sets = some.where("id = _id").groupBy(*CLASS, "component").agg(F.first("tokens").alias("tokens"))
-    linked = shared.cut(_counted(sets, params), "links")
-    firsts = firsts.join(linked, list(CLASS), "left").select(*key, F.struct("doc", "line").alias("first"), "links", "late")
-    out = table.select("doc_id", "line", *key).join(firsts, key)
-    gone = F.coalesce("late", F.lit(False)) | (place != F.col("first"))
+    linked = _counted(sets, params)
+    shared.discard(grouped)
+    shared.settle(docs.sparkSession)
+    notable = classes.select(*CLASS, "check", "n", "size").join(linked, list(CLASS), "left").where("size > 1 or links is not null")  # the other classes' lines stay
+    notable = notable.select(*key, F.struct("doc", "line").alias("first"), "links", "late")
+    out = table.select("doc_id", "line", *key).join(notable, key, "left")
+    gone = F.coalesce("late", F.lit(False)) | F.coalesce(place != F.col("first"), F.lit(False))
     return out.select("doc_id", "line", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), gone.alias("removed"))
 
 
 def by_document(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """A row for each document: its lines, how many go, their numbers, and the links of its lines' classes."""
-    found = repeats(docs, params).groupBy("doc_id").agg(
+    found = repeats(docs, params).where("removed or n_links > 0").groupBy("doc_id").agg(
         F.count_if("removed").alias("n_removed"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))), lambda x: x.cast("string")), ",").alias("removed_lines"),
         F.sum("n_links").alias("n_links"),
     )
-    rows = _prepared(docs).groupBy("doc_id").agg(F.sum(F.size(F.split("_text", "\n", -1))).cast("long").alias("n_lines"))
+    n_lines = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    rows = _prepared(docs).groupBy("doc_id").agg(F.sum(n_lines).cast("long").alias("n_lines"))
     joined = rows.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     return joined.select("d.doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

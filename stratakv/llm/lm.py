@@ -29,7 +29,6 @@ Other columns are not looked at. An empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -517,12 +516,6 @@ class Model:
         return _by_part(parts.unionByName(texts), self.n_parts, schema, add, lambda part, state: (), ("part", "share"))
 
 
-def _settle(spark) -> None:
-    """Shuffle files of finished jobs go when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def model(rows: DataFrame, params: Params) -> Model:
     spark, k = rows.sparkSession, params.samples
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -533,7 +526,7 @@ def model(rows: DataFrame, params: Params) -> Model:
     totals = {"v": v, "c0": float(c0), "t0": float(v), "d1": discount(singles, doubles), "d0": discount(ones, twos)}
     last = dishes
     for turn in range(params.passes):
-        _settle(spark)
+        shared.settle(spark)
         before, last = last, shared.cut(_sampled(dishes, _contexts(last, n_parts, (1,)), n_parts, totals, params, turn, turn == params.passes - 1), "pass")
         facts = _facts(last) or [0] * (2 * k)
         if turn:
@@ -542,7 +535,7 @@ def model(rows: DataFrame, params: Params) -> Model:
         if turn < params.passes - 1:
             totals = totals | {"c0": sum(c for c, _ in roots) / k, "t0": sum(t for _, t in roots) / k}
     shared.discard(dishes)
-    _settle(spark)
+    shared.settle(spark)
     return Model(last, totals, roots, n_parts, params, n, v)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark deletes a job's shuffle files as soon as it ends; waiting for the driver's garbage collection kept them on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on one executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +57,12 @@ def discard(df: DataFrame) -> None:
     folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

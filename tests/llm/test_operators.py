@@ -176,6 +176,33 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(map(len, close.values())) > 200
 
 
+def test_line_dedup_keys_of_common_words(spark):
+    """Words that many sets have are keyed with the next common one: links stay exact, and no key gathers them all."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(14)
+    lines = [" ".join(["a", *(f"w{x}" for x in rng.integers(0, 40, n))]) for n in rng.integers(2, 45, 250)]
+    for x in list(lines):
+        own = x.split()
+        for j in rng.integers(0, len(own), max(1, len(own) // int(rng.integers(8, 14)))):
+            own[j] = f"w{rng.integers(0, 40)}"
+        lines += [" ".join(own), " ".join(own[: max(1, len(own) * 4 // 5)])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2)
+    sets = list(dict.fromkeys(frozenset(x.split()) for x in lines))
+    close = {w: sum(v != w and 100 * len(v & w) >= 80 * len(v | w) for v in sets) for w in sets}
+    assert sum(x > 0 for x in close.values()) > 200
+    for similarity, heavy in ((80, 1), (80, 20), (60, 1)):
+        want = close if similarity == 80 else {w: sum(v != w and 100 * len(v & w) >= 60 * len(v | w) for v in sets) for w in sets}
+        got = linedup.repeats(docs, linedup.Params(similarity=similarity, buckets=64, heavy=heavy)).collect()
+        assert {r.doc_id: r.n_links for r in got} == {i: want[frozenset(x.split())] for i, x in enumerate(lines)}
+
+    many = spark.range(600).select(F.col("id"), (F.lit(8) + F.col("id") % 30).cast("int").alias("n"), F.lit(0).cast("long").alias("parity"), *[F.lit(0).cast("long").alias(x) for x in linedup.PARTS])
+    reach = linedup._reach(F.col("n"), linedup.Params())
+    many = many.withColumn("prefix", F.transform(F.sequence(F.lit(0), reach), lambda i: F.when(i == 0, F.lit(77).cast("long")).otherwise(F.xxhash64("id", i))))
+    most = linedup._entries(many, linedup.Params(heavy=100)).groupBy("token").count().agg(F.max("count")).first()[0]
+    assert most <= 2  # 600 sets have the first word
+
+
 def test_line_dedup_agrees_with_its_sql(spark, tmp_path):
     from compare import difference
     from stratakv.llm import sql
