@@ -15,13 +15,15 @@ samples; each pass takes the totals from the samples of the one before. The prob
 and totals from that one sample, summed up after the pass, so every context's probabilities add up to 1; they are averaged
 over the samples. Passes are written before they are used, so none is drawn twice.
 
-Space. Pairs travel packed: a row holds the pairs of one chunk of documents for one part, words by their place in a list
-(about 5 bytes a pair; a row of hashes takes over 20). So do a part's contexts: a home, which some contexts have by hash,
+Space. Pairs travel packed: a row holds the pairs of one chunk of documents for one part, words by their place in a list;
+runs of a value and rising values are packed as such. To be scored, a chunk's documents are numbered; what a part gives to
+them goes back as one row for the chunk, whose documents are summed up together. Documents are scored in `rounds`, each
+with its own shuffles, so that what is on disk at once is a share of the texts' pairs. So do a part's contexts travel packed: a home, which some contexts have by hash,
 gets a row from each part that has any of them, sums them up and sends each part the sums alone, in the order of the part's
 own list. No row is empty, so there are never more rows than pairs. Texts are
 split into words twice, for the model and for scoring, which is less than keeping them. A part's dishes are held by one
 task, texts are not: to be scored they stream past the dishes, and a part with much more of them than others (a word that
-a third of all tokens are) is dealt over several tasks, each with that part's dishes. A document's sums come together by key.
+a third of all tokens are) is dealt over several tasks, each with that part's dishes.
 
 A null text is empty: one end token. A null doc_id belongs to the training side. Repeated rows count and score each.
 Other columns are not looked at. An empty table gives no rows.
@@ -29,8 +31,9 @@ Other columns are not looked at. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,7 @@ class Params:
     sweeps: int = 4
     samples: int = 3
     part_tokens: int = 1_500_000
+    rounds: int = 2
     seed: int = 20240229
 
 
@@ -72,58 +76,88 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
 
+PLAIN, RISING, RUNS = 0, 1, 2
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of integers as one compressed cell: item sizes and lengths, then each column, equal places of its bytes together."""
-    head = np.array([len(columns), *(x for c in columns for x in (c.itemsize, len(c)))], np.int32)
-    body = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
+    """Columns of integers as one compressed cell: forms, item sizes and lengths, then each column, equal places of its bytes
+    together. Long runs of one value are a value and a length (the next column), rising values are differences."""
+    coded = []
+    for c in columns:
+        starts = _starts(c)
+        runs = 2 * len(starts) <= len(c) and len(c) > 0
+        values = c[starts] if runs else c
+        rising = len(values) > 1 and bool((values[1:] >= values[:-1]).all())
+        coded.append((RUNS * runs + RISING * rising, np.diff(values, prepend=values.dtype.type(0)) if rising else values))
+        if runs:
+            coded.append((PLAIN, np.diff(starts, append=len(c)).astype(np.int32)))
+    head = np.array([len(coded), *(x for form, c in coded for x in (form, c.itemsize, len(c)))], np.int32)
+    body = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for _, c in coded)
     return zstandard.compress(head.tobytes() + b"".join(body), 1)
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:
     data = zstandard.decompress(cell)
     n = int(np.frombuffer(data, np.int32, 1)[0])
-    out, at = [], 4 + 8 * n
-    for size, length in np.frombuffer(data, np.int32, 2 * n, 4).reshape(-1, 2).tolist():
+    out, at, waits = [], 4 + 12 * n, False
+    for form, size, length in np.frombuffer(data, np.int32, 3 * n, 4).reshape(-1, 3).tolist():
         planes = np.frombuffer(data, np.uint8, size * length, at).reshape(size, length)
-        out.append(np.ascontiguousarray(planes.T).view(f"i{size}").reshape(-1))
+        values = np.ascontiguousarray(planes.T).view(f"i{size}").reshape(-1)
         at += size * length
+        if waits:
+            out[-1] = np.repeat(out[-1], values)
+        else:
+            out.append(np.cumsum(values, dtype=values.dtype) if form & RISING else values)
+        waits = bool(form & RUNS)
     return out
 
 
+def _sorted(code: np.ndarray, low: np.ndarray, codes: int, lows: int) -> tuple[np.ndarray, np.ndarray]:
+    """code and low, in order; both are under their bounds. One sort of plain numbers, where they fit into one."""
+    bits = lows.bit_length()
+    if codes << bits < 1 << 63:
+        both = np.sort((code << bits) | low)
+        return both >> bits, both & ((1 << bits) - 1)
+    at = np.lexsort((low, code))
+    return code[at], low[at]
+
+
 def _chunk(w, sizes, train, keys, n_parts: int, scoring: bool):
     """(part, cell) of one chunk's tokens: of each pair of a part's words u, w and, for the model, how often it was
-    seen in training, or, for scoring, the documents it stands in."""
-    names, word = np.unique(w, return_inverse=True)
+    seen in training, or, for scoring, how often and in which of the chunk's documents it stands. For scoring the first
+    cell also has the documents' keys and sizes."""
+    found = pc.dictionary_encode(pa.array(w))
+    names = found.dictionary.to_numpy()
+    order = np.argsort(names)
+    names = names[order]
     part = (names >> 32) % n_parts
-    order = np.lexsort((names, part))
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    names, part, word = names[order], part[order], place[word]
+    dealt = np.argsort(part, kind="stable")  # by part, then by hash
+    rank, place = np.empty_like(order), np.empty_like(order)
+    rank[order] = place[dealt] = np.arange(len(order))
+    word = rank[found.indices.to_numpy()]
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[np.cumsum(sizes) - sizes] = np.flatnonzero(names == END)[0]
-    code = word * len(names) + before
-    if scoring:
-        at = np.argsort(code, kind="stable")
-        code, docs = code[at], np.repeat(np.arange(len(sizes)), sizes)[at]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        code, c = code[starts], np.diff(np.append(starts, len(code)))
-    else:
-        code, c = np.unique(code * 2 + ~np.repeat(train, sizes), return_counts=True)
-        c[code & 1 == 1] = 0
-        code >>= 1
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        code, c = code[starts], np.add.reduceat(c, starts)
-    owner = part[code // len(names)]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    before[np.cumsum(sizes) - sizes] = np.searchsorted(names, END)
+    low = np.repeat(np.arange(len(sizes)) if scoring else 1 - train.astype(np.int64), sizes)
+    code, low = _sorted(place[word] * len(names) + before, low, len(names) ** 2, max(2, len(sizes)))
+    starts = _starts(code)
+    ends = np.append(starts[1:], len(code))
+    c = ends - starts if scoring else np.add.reduceat(1 - low, starts)
+    code = code[starts]
+    w, u = dealt[code // len(names)], code % len(names)
+    cuts = _starts(part[w])
     for lo, hi in zip(cuts, [*cuts[1:], len(code)], strict=True):
-        some, times = code[lo:hi], c[lo:hi].astype(np.int32)
-        us, u = np.unique(some % len(names), return_inverse=True)
-        columns = [names[some // len(names)], names[us], u.astype(np.int32), times]
+        us, own = np.unique(u[lo:hi], return_inverse=True)
+        columns = [names[w[lo:hi]], names[us], own.astype(np.int32), c[lo:hi].astype(np.int32)]
         if scoring:
-            own, doc = np.unique(docs[starts[lo] : starts[lo] + times.sum()], return_inverse=True)
-            columns += [doc.astype(np.int32), keys[own]]
-        yield int(owner[lo]), pack(*columns)
+            columns.append(low[starts[lo] : ends[hi - 1]].astype(np.int32))
+            columns += [keys, sizes] if lo == 0 else []
+        yield int(part[w[lo]]), pack(*columns)
 
 
 def _slices(batch):
@@ -136,7 +170,8 @@ def _slices(batch):
 
 
 def _chunks(rows: DataFrame, n_parts: int, scoring: bool) -> DataFrame:
-    """(part, cell): the pairs of each chunk of documents, dealt to the parts of their words."""
+    """(part, chunk, cell): the pairs of each chunk of documents, dealt to the parts of their words. A chunk's name is made of
+    its documents' keys: equal chunks have one."""
 
     def run(batches):
         held, size = [], 0
@@ -151,10 +186,12 @@ def _chunks(rows: DataFrame, n_parts: int, scoring: bool) -> DataFrame:
             yield from rows_of(held)
 
     def rows_of(held):
-        for part, cell in _chunk(*(np.concatenate(x) for x in zip(*held, strict=True)), n_parts, scoring):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cell], pa.binary())], ["part", "cell"])
+        w, sizes, train, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        chunk = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+        for part, cell in _chunk(w, sizes, train, keys, n_parts, scoring):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([cell], pa.binary())], ["part", "chunk", "cell"])
 
-    return rows.select("text", "held_out", "key").mapInArrow(run, "part int, cell binary")
+    return rows.select("text", "held_out", "key").mapInArrow(run, "part int, chunk long, cell binary")
 
 
 def _by_part(df: DataFrame, n_parts: int, schema: str, add, finish, by: tuple[str, ...] = ("part",)) -> DataFrame:
@@ -480,9 +517,9 @@ class Model:
 
         return _by_part(self._parts(), self.n_parts, "u long, w long, p double, seen long", add, finish)
 
-    def sums(self, rows: DataFrame) -> DataFrame:
-        """(key, base, model, known, size): what each part gives to each document. A part with more texts than others is
-        dealt over several tasks, each with the part's pairs."""
+    def _shares(self, rows: DataFrame) -> DataFrame:
+        """(chunk, cell): what each part gives to the documents of each chunk: their places, and columns of sums. A part with
+        more texts than others is dealt over several tasks, each with the part's pairs."""
         me = Model(None, self.totals, self.roots, self.n_parts, self.params, self.n, self.v)
 
         def add(state, kind, batch):
@@ -492,28 +529,53 @@ class Model:
             if "p" not in state:
                 w, us, u, p, seen = me._probable(state)
                 state.clear()
-                names = w[np.concatenate([[True], w[1:] != w[:-1]])]
+                names = w[_starts(w)]
                 base = np.log10((seen + 0.5) / (me.n + 0.5 * (me.v + 1)))
                 state |= {"names": names, "us": us, "code": np.searchsorted(names, w) * len(us) + u, "p": np.log10(p), "base": base, "known": seen > 0}
-            for cell in batch.column("cell"):
-                w, us, u, c, doc, keys = unpack(cell.as_py())
-                code = np.searchsorted(state["names"], w) * len(state["us"]) + np.searchsorted(state["us"], us)[u]
-                at = np.repeat(np.searchsorted(state["code"], code), c)
-                sums = [np.bincount(doc, weights=state[x][at], minlength=len(keys)) for x in ("base", "p", "known")]
-                size = np.bincount(doc, minlength=len(keys))
-                columns = [keys, sums[0], sums[1], sums[2].astype(np.int64), size.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "base", "model", "known", "size"])
+            for chunk, cell in zip(batch.column("n"), batch.column("cell"), strict=True):
+                w, us, u, c, doc, *whole = unpack(cell.as_py())
+                starts = _starts(w)
+                code = np.repeat(np.searchsorted(state["names"], w[starts]), np.diff(starts, append=len(w))) * len(state["us"]) + np.searchsorted(state["us"], us)[u]
+                found = np.searchsorted(state["code"], code)
+                base, p, known = (np.bincount(doc, weights=np.repeat(state[x][found], c)) for x in ("base", "p", "known"))
+                own = np.flatnonzero(np.bincount(doc))
+                columns = [own.astype(np.int32), *(_rounded(x[own]).view(np.int64) for x in (base, p)), known[own].astype(np.int32), *whole]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([pack(*columns)], pa.binary())], ["chunk", "cell"])
 
         texts = _chunks(rows, self.n_parts, True)
         tokens_ = self.last.where(F.col("kind") == CONTEXT).groupBy("part").agg(F.sum("n").alias("n"))
         shares = tokens_.select("part", F.greatest(F.lit(1), F.floor(F.col("n") / self.params.part_tokens)).cast("int").alias("shares"))
-        blank = [F.lit(None).cast("int").alias("home"), F.lit(None).cast("long").alias("n")]
         share = F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int").alias("share")
-        texts = texts.join(F.broadcast(shares), "part").select("part", F.lit(TEXTS).alias("kind"), *blank, "cell", share)
+        texts = texts.join(F.broadcast(shares), "part").select("part", F.lit(TEXTS).alias("kind"), F.lit(None).cast("int").alias("home"), F.col("chunk").alias("n"), "cell", share)
         parts = self._parts().join(F.broadcast(shares), "part")
         parts = parts.select(*COLUMNS, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-        schema = "key long, base double, model double, known long, size long"
-        return _by_part(parts.unionByName(texts), self.n_parts, schema, add, lambda part, state: (), ("part", "share"))
+        return _by_part(parts.unionByName(texts), self.n_parts, "chunk long, cell binary", add, lambda part, state: (), ("part", "share"))
+
+    def sums(self, rows: DataFrame) -> DataFrame:
+        """(key, base, model, known, size) of each document of each chunk."""
+
+        def add(state, kind, batch):
+            state.setdefault("cells", []).extend(batch.column("cell").to_pylist())
+            return ()
+
+        def finish(chunk, state):
+            cells = [unpack(x) for x in state.pop("cells")]
+            whole = [x[4:] for x in cells if len(x) > 4]  # of several equal chunks, one from each
+            keys, sizes = whole[0]
+            base, p, known = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+            for own, b, q, k, *_ in cells:
+                base[own] += b.view(np.float64)
+                p[own] += q.view(np.float64)
+                known[own] += k
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, base, p, known, sizes * len(whole))], ["key", "base", "model", "known", "size"])
+
+        shares = self._shares(rows).withColumn("kind", F.lit(TEXTS))
+        return _by_part(shares, 1, "key long, base double, model double, known long, size long", add, finish, ("chunk",))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Sums of logarithms to 34 binary places (3e-11): their last bytes are zero and pack to nothing."""
+    return np.rint(x * 2.0**34) / 2.0**34
 
 
 def model(rows: DataFrame, params: Params) -> Model:
@@ -545,7 +607,12 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     rows = _rows(docs)
     m = model(rows, params)
     n = m.n
-    tails = m.sums(rows).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known", "size")])
+    sums = []
+    for i in range(params.rounds):
+        sums.append(shared.cut(m.sums(rows.where(F.pmod("key", F.lit(params.rounds)) == i)), "sums"))
+        shared.settle(docs.sparkSession)
+    shared.discard(m.last)
+    tails = reduce(DataFrame.union, sums).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("base", "model", "known", "size")])
     heads = rows.select("key", "doc_id", "held_out")
     # equal rows share a key: what came back for the key is divided among them
     copies = heads.withColumn("copies", F.count("*").over(Window.partitionBy("key")))

@@ -379,6 +379,50 @@ def test_language_model_contexts_travel_packed(spark):
         assert [x.tolist() for x in sums] == [[want[u, i] for u in us] for i in (0, 1)]
 
 
+def test_language_model_cells_are_short(spark):
+    """Columns come back as they were; a chunk's cells name each word once, and its documents by number."""
+    rng = np.random.default_rng(4)
+    wide = rng.integers(-(2**63), 2**63 - 1, 500)
+    for columns in ([wide, np.sort(wide)], [np.repeat(np.sort(wide), 3), np.zeros(7, np.int32)], [np.zeros(0, np.int64), np.array([5, 4], np.int32)], [np.array([-(2**63), 2**63 - 1]), np.ones(1, np.int32)]):
+        got = lm.unpack(lm.pack(*columns))
+        assert [(x.dtype, x.tolist()) for x in got] == [(x.dtype, x.tolist()) for x in columns]
+    code, low = rng.integers(0, 50, 1000), rng.integers(0, 20, 1000)
+    want = sorted(zip(code.tolist(), low.tolist(), strict=True))
+    for codes in (50, 1 << 60):  # in one number, and where that does not fit
+        assert list(zip(*(x.tolist() for x in lm._sorted(code, low, codes, 20)), strict=True)) == want
+
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 200), 3000)) for _ in range(400)]
+    w, sizes = lm.tokens(pa.array(texts))
+    keys = rng.integers(-(2**63), 2**63 - 1, len(texts))
+    cells = list(lm._chunk(w.view(np.int64), sizes, np.ones(len(texts), bool), keys, 20, True))
+    assert sum(len(c) for _, c in cells) < 3 * len(w)
+    pairs = collections.Counter()
+    for i, (_, cell) in enumerate(cells):
+        names, us, u, times, doc, *whole = lm.unpack(cell)
+        assert [x.tolist() for x in whole] == ([keys.tolist(), sizes.tolist()] if i == 0 else [])
+        pairs.update(zip(np.repeat(us[u], times).tolist(), np.repeat(names, times).tolist(), doc.tolist(), strict=True))
+    want = collections.Counter()
+    at = 0
+    for d, n in enumerate(sizes.tolist()):
+        own = w.view(np.int64)[at : at + n].tolist()
+        want.update(zip([lm.END, *own[:-1]], own, [d] * n, strict=True))
+        at += n
+    assert pairs == want
+
+
+def test_language_model_sends_a_row_for_each_chunk_and_part(spark):
+    """Not one for each document and part; and equal chunks, which have one name, count each."""
+    rows = [(i, f"alpha beta w{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lm.shared.ship(spark)
+    held = lm._rows(df.union(df))  # two partitions with the same rows
+    m = lm.model(held, lm.Params(part_tokens=40))
+    assert m.n_parts > 2 and m._shares(held).count() <= 2 * m.n_parts
+    got = {r.doc_id: r for r in lm.score(df.union(df), lm.Params(part_tokens=40)).collect()}
+    one = {r.doc_id: r for r in lm.score(df.union(df).repartition(5), lm.Params(part_tokens=40, rounds=3)).collect()}
+    assert len(got) == 60 and all(r.n_tokens == 4 and abs(r.score - one[i].score) < 1e-8 and r.n_known == one[i].n_known for i, r in got.items())
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs).collect()
     assert len(got) == len(ROWS) and len(licenses.rules(licenses.Params())) > 200
