@@ -422,12 +422,16 @@ def extent_tags(spark, d):
 
 @query("extent_merge", EX + ", t as (select len, (ord - 1) // 5 as run, row_number() over (order by ord) as ord from ex), m as (select run, ord, cast(sum(len) over (partition by run order by ord) as bigint) as upto, len from t), g as (select run, (upto - 1) // 60 as grp, cast(sum(len) as bigint) as len, count(*) as parts, cast(min(upto - len) as bigint) as lo from m group by all) select cast(run * 1000000000 + lo as bigint) as poff, len, parts from g")
 def extent_merge(spark, d):
-    """Extents of five continue each other in both spaces: runs of five, in pieces of at most 60 bytes by where their bytes fall."""
+    """Extents of five continue each other in both spaces: runs of five, in pieces of at most 60 bytes by where their bytes fall.
+
+    Runs lie 64 KB apart, as an address has 47 bits; the result numbers them as the statement does, a billion apart.
+    """
     e = logs.extents(spark, d)
     run = F.floor((F.col("ord") - 1) / 5)
     before = F.coalesce(F.sum("len").over(Window.partitionBy(run).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    touching = e.withColumn("poff", run * 1_000_000_000 + before).withColumn("tag", F.lit(0))
-    return extents.merged(touching, 60).select("poff", "len", "parts")
+    touching = e.withColumn("poff", F.shiftleft(run, 16) + before).withColumn("tag", F.lit(0))
+    at = F.col("poff")
+    return extents.merged(touching, 60).select((F.shiftright(at, 16) * 1_000_000_000 + at.bitwiseAND(F.lit(65535))).alias("poff"), "len", "parts")
 
 
 @query("block_usage", EX + "select poff // 4194304 as block, cast(sum(len) as bigint) as live_bytes from ex group by 1")
