@@ -55,7 +55,7 @@ def compaction(log: DataFrame) -> DataFrame:
 
 
 def block_usage(extents: DataFrame) -> DataFrame:
-    """Bytes of each block of the address space; extents (poff, len) lie inside one block."""
+    """Bytes of each block of the address space; an extent (poff, len) counts in the block where it begins."""
     return extents.groupBy(F.floor(F.col("poff") / BLOCK_BYTES).cast("long").alias("block")).agg(F.sum("len").alias("live_bytes"))
 
 

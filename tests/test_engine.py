@@ -261,3 +261,20 @@ def test_a_run_of_extents_stays_in_the_address_space(spark, tmp_path):
     more = l.where("l_orderkey < 30000").withColumn("l_orderkey", F.col("l_orderkey") + 150_000)
     l.union(more).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert compare.difference(catalog.QUERIES["extent_merge"](spark, str(tmp_path)), catalog.ORACLES["extent_merge"], str(tmp_path)) == ""
+
+
+def test_an_appended_row_is_one_extent_over_borders(spark, tmp_path):
+    """Rows across the borders of cells and blocks; a block is emptied and what stays keeps its bytes."""
+    rows = [(i, bytes([i % 251]) * 100_001) for i in range(90)]
+    s = space.Space.empty(spark).append(spark.createDataFrame([*rows, (90, b"long" * 70_000)], "i long, b binary"), "i", "b").save(str(tmp_path / "a"))
+    want = b"".join(b for _, b in rows) + b"long" * 70_000
+    assert [r.len for r in s.extents.where("ord <= 90").collect()] == [100_001] * 90 and s.extents.agg(F.max("len")).first()[0] <= 128 << 10
+    assert s.integrity(metrics.block_usage(s.extents), len(want)).count() == 0
+    s, want = s.collapse(100, 4_194_304 - 50).save(str(tmp_path / "b")), want[:100] + want[4_194_354:]
+    s = s.collect_garbage(1).save(str(tmp_path / "c"))
+    assert s.integrity().count() == 0 and b"".join(bytes(r.data) for r in s.content(90_000).orderBy("id").collect()) == want
+
+
+def test_a_cursor_over_a_space_of_several_cells(spark):
+    folder = "/root/testdata/sf0.1"
+    assert compare.difference(catalog.QUERIES["space_cursor"](spark, folder), catalog.ORACLES["space_cursor"], folder) == ""
