@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 from . import logs
 from . import oracles as O
 from .functions import clock, scalar
-from .model import KVError, Mode
+from .model import Mode
 from .operators import batch, diff, extents, metrics, mutate, scan, search, space, values, workload
-from .plans import ordered, visible
+from .plans import files, ordered, visible
 from .sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,34 +389,39 @@ def merge_two_sources(spark, d):
 EX = O.with_(O.EXTENTS)
 
 
+def _extents(spark, d):
+    """The extents as files: finding their order needs every line to be sorted, once."""
+    return files.kept(logs.extents(spark, d), "extents")
+
+
 @query("extent_place", EX + "select ord, loff, len, poff from pl")
 def extent_place(spark, d):
-    return extents.placed(logs.extents(spark, d)).select("ord", "loff", "len", "poff")
+    return extents.placed(_extents(spark, d)).select("ord", "loff", "len", "poff")
 
 
 @query("extent_insert", EX + ", p as (select ord * 4 as k, least(len, 1003 - loff) as len, poff from pl where loff < 1003 union all select ord * 4 + 2, len - greatest(0, 1003 - loff), poff + greatest(0, 1003 - loff) from pl where loff + len > 1003 union all select (select min(ord) * 4 + 1 from pl where loff + len > 1003), 500, 77) select row_number() over (order by k) as ord, cast(len as bigint) as len, cast(poff as bigint) as poff from p")
 def extent_insert(spark, d):
-    return extents.insert(logs.extents(spark, d), 1003, 77, 500).select("ord", "len", "poff")
+    return extents.insert(_extents(spark, d), 1003, 77, 500).select("ord", "len", "poff")
 
 
 @query("extent_delete", EX + ", p as (select ord * 4 as k, least(len, 1003 - loff) as len, poff from pl where loff < 1003 union all select ord * 4 + 1, loff + len - greatest(loff, 1710), poff + greatest(loff, 1710) - loff from pl where loff + len > 1710) select row_number() over (order by k) as ord, cast(len as bigint) as len, cast(poff as bigint) as poff from p where len > 0")
 def extent_delete(spark, d):
-    return extents.delete(logs.extents(spark, d), 1003, 707).select("ord", "len", "poff")
+    return extents.delete(_extents(spark, d), 1003, 707).select("ord", "len", "poff")
 
 
 @query("extent_query", EX + "select ord, poff + greatest(loff, 5000) - loff as poff, least(loff + len, 9001) - greatest(loff, 5000) as len from pl where loff < 9001 and loff + len > 5000")
 def extent_query(spark, d):
-    return extents.query(logs.extents(spark, d), 5000, 4001)
+    return extents.query(_extents(spark, d), 5000, 4001)
 
 
 @query("extent_pquery", EX + ", q as (select c_custkey * 997 as loff from customer) select q.loff, coalesce(pl.poff + q.loff - pl.loff, -1) as poff from q left join pl on pl.loff <= q.loff and q.loff < pl.loff + pl.len")
 def extent_pquery(spark, d):
-    return extents.locate(logs.extents(spark, d), logs.table(spark, d, "customer").select((F.col("c_custkey") * 997).alias("loff")))
+    return extents.locate(_extents(spark, d), logs.table(spark, d, "customer").select((F.col("c_custkey") * 997).alias("loff")))
 
 
 @query("extent_tags", EX + ", p as (select ord * 4 as k, least(len, 2222 - loff) as len, poff, 0 as tag from pl where loff < 2222 union all select ord * 4 + 1, len - greatest(0, 2222 - loff), poff + greatest(0, 2222 - loff), case when loff <= 2222 then 9 else 0 end from pl where loff + len > 2222) select row_number() over (order by k) as ord, cast(len as bigint) as len, cast(poff as bigint) as poff, tag from p where len > 0")
 def extent_tags(spark, d):
-    return extents.set_tag(logs.extents(spark, d), 2222, 9).select("ord", "len", "poff", "tag")
+    return extents.set_tag(_extents(spark, d), 2222, 9).select("ord", "len", "poff", "tag")
 
 
 @query("extent_merge", EX + ", t as (select len, (ord - 1) // 5 as run, row_number() over (order by ord) as ord from ex), m as (select run, ord, cast(sum(len) over (partition by run order by ord) as bigint) as upto, len from t), g as (select run, (upto - 1) // 60 as grp, cast(sum(len) as bigint) as len, count(*) as parts, cast(min(upto - len) as bigint) as lo from m group by all) select cast(run * 1000000000 + lo as bigint) as poff, len, parts from g")
@@ -426,38 +430,38 @@ def extent_merge(spark, d):
 
     Runs lie 64 KB apart, as an address has 47 bits; the result numbers them as the statement does, a billion apart.
     """
-    e = logs.extents(spark, d)
+    e = _extents(spark, d)
     run = F.floor((F.col("ord") - 1) / 5)
     before = F.coalesce(F.sum("len").over(Window.partitionBy(run).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     touching = e.withColumn("poff", F.shiftleft(run, 16) + before).withColumn("tag", F.lit(0))
     at = F.col("poff")
-    return extents.merged(touching, 60).select((F.shiftright(at, 16) * 1_000_000_000 + at.bitwiseAND(F.lit(65535))).alias("poff"), "len", "parts")
+    return extents.merged(files.kept(touching, "touching"), 60).select((F.shiftright(at, 16) * 1_000_000_000 + at.bitwiseAND(F.lit(65535))).alias("poff"), "len", "parts")
 
 
 @query("block_usage", EX + "select poff // 4194304 as block, cast(sum(len) as bigint) as live_bytes from ex group by 1")
 def block_usage(spark, d):
-    return metrics.block_usage(logs.extents(spark, d))
+    return metrics.block_usage(logs.extents(spark, d, placed=False))
 
 
 @query("block_histogram", EX + "select b // 65536 as bucket, count(*) as blocks from (select cast(sum(len) as bigint) as b from ex group by poff // 4194304) group by 1")
 def block_histogram(spark, d):
-    return metrics.usage_histogram(logs.extents(spark, d))
+    return metrics.usage_histogram(logs.extents(spark, d, placed=False))
 
 
 @query("garbage_metrics", EX + ", b as (select cast(sum(len) as bigint) as n from ex group by poff // 4194304) select cast(sum(n) as bigint) as live_bytes, cast(sum(4194304 - n) as bigint) as garbage_bytes, count(*) as blocks_in_use, count(*) filter (n < 2097152) as blocks_under from b")
 def garbage_metrics(spark, d):
-    return metrics.garbage(logs.extents(spark, d))
+    return metrics.garbage(logs.extents(spark, d, placed=False))
 
 
 @query("gc_victims", EX + ", b as (select poff // 4194304 as block, cast(sum(len) * 1000 as bigint) as live_bytes from ex group by 1) select block, live_bytes, cast(case when live_bytes < 524288 then 1 when live_bytes < 1048576 then 2 when live_bytes < 2097152 then 3 else 4 end as int) as round from b where live_bytes < 4194304 - 262144")
 def gc_victims(spark, d):
-    return metrics.gc_victims(logs.extents(spark, d).withColumn("len", F.col("len") * 1000))
+    return metrics.gc_victims(logs.extents(spark, d, placed=False).withColumn("len", F.col("len") * 1000))
 
 
 @query("space_read_frag", EX + ", q as (select c_custkey as id, c_custkey * 797 as loff, 100 + c_custkey % 400 as length from customer) select id, count(*) as pieces, any_value(length) as bytes from q join pl on pl.loff < q.loff + q.length and pl.loff + pl.len > q.loff where q.loff + q.length <= (select sum(len) from ex) group by id")
 def space_read_frag(spark, d):
     c = F.col("c_custkey")
-    return extents.fragments(logs.extents(spark, d), logs.table(spark, d, "customer").select(c.alias("id"), (c * 797).alias("loff"), (100 + c % 400).alias("length")))
+    return extents.fragments(_extents(spark, d), logs.table(spark, d, "customer").select(c.alias("id"), (c * 797).alias("loff"), (100 + c % 400).alias("length")))
 
 
 #: The customers' names end to end, as hexadecimal digits, and a space's content in rows of 64 bytes.
@@ -471,7 +475,7 @@ def _space(spark, d):
 
 def _kept(s):
     """The space as files, so that what follows doesn't plan or run its history again."""
-    return s.save(_folder(s.extents.sparkSession, "space"))
+    return s.save(files.folder(s.extents.sparkSession, "space"))
 
 
 def _content(s):
@@ -557,12 +561,12 @@ def space_usage_check(spark, d):
 
 @query("extent_pdelete", EX + ", p as (select ord * 4 as k, least(len, 1003 - loff) as len, poff from pl where loff < 1003 union all select ord * 4 + 1, loff + len - greatest(loff, 1004), poff + greatest(loff, 1004) - loff from pl where loff + len > 1004) select row_number() over (order by k) as ord, cast(len as bigint) as len, cast(poff as bigint) as poff from p where len > 0")
 def extent_pdelete(spark, d):
-    return extents.delete_byte(logs.extents(spark, d), 1003).select("ord", "len", "poff")
+    return extents.delete_byte(_extents(spark, d), 1003).select("ord", "len", "poff")
 
 
 @query("extent_tree_diff", EX + ", y as (select ord, case when ord % 100 = 0 then len + 1 else len end as len, poff from ex), py as (select cast(sum(len) over (order by ord) - len as bigint) as loff, len, poff from y), px as (select loff, len, poff from pl) select 'a' as side, * from (select * from px except all select * from py) union all select 'b', * from (select * from py except all select * from px)")
 def extent_tree_diff(spark, d):
-    e = logs.extents(spark, d)
+    e = _extents(spark, d)
     longer = e.withColumn("len", F.col("len") + (F.col("ord") % 100 == 0).cast("long"))
     return space.difference(e, longer).drop("tag")
 
@@ -639,20 +643,10 @@ def text_trailer(spark, d):
     return text.trailer(_live(spark, d))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share; on one machine a temporary one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise KVError("set spark.checkpoint.dir to a folder that all machines share")
-    return f"{tempfile.mkdtemp(prefix=name)}/{name}"
-
-
 def _stored(spark, d):
     from .sources.store import Database
 
-    db = Database.open(spark, _folder(spark, "store"))
+    db = Database.open(spark, files.folder(spark, "store"))
     db.put_all(visible.live(logs.docs(spark, d)).select("key", "value"))
     return db
 
@@ -696,7 +690,7 @@ def stream_upsert(spark, d):
     """The events log in eight files through the stateful stream, drained, then the newest row of each key."""
     from .streaming import feed
 
-    folder = _folder(spark, "stream")
+    folder = files.folder(spark, "stream")
     log = logs.events(spark, d).select("seq", "key", "value", "tomb", "hlc")
     log.repartition(8, "seq").write.mode("overwrite").parquet(f"{folder}/log")
     name = f"upserts_{uuid.uuid4().hex}"

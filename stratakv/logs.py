@@ -62,8 +62,10 @@ def line(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") % 97).alias("batch_id"), F.col("seq").alias("pos"), "seq", key.alias("key"), F.col("l_returnflag").alias("value"), F.lit(False).alias("tomb"))
 
 
-def extents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ordered.rank(table(spark, folder, "lineitem").select(*LINE), LINE, out="ord")
+def extents(spark: SparkSession, folder: str, placed: bool = True) -> DataFrame:
+    """Extents in the order of the lines; ord is null where their places are not asked for."""
+    rows = table(spark, folder, "lineitem").select(*LINE)
+    rows = ordered.rank(rows, LINE, out="ord") if placed else rows.withColumn("ord", F.lit(None).cast("long"))
     return rows.select("ord", F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") * 4096).alias("poff"), F.lit(0).alias("tag"))
 
 

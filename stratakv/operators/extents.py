@@ -20,10 +20,58 @@ HOLE = 1 << 47
 ADDRESS = HOLE - 1
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where ranges of extents are cut, and what lies before each range: bytes, extents that have any, rows."""
+
+    cuts: list
+    bytes: list[int]
+    ranks: list[int]
+    first: int
+    last: int
+    rows: int
+
+    @property
+    def total(self) -> int:
+        return self.bytes[-1]
+
+    @property
+    def dense(self) -> bool:
+        """Are the ordinals 1, 2, 3, ... and no extent empty?"""
+        return not self.rows or (self.first == 1 and self.last == self.rows == self.ranks[-1])
+
+    def reached(self, low: int, high: int) -> list[int]:
+        """The ranges that hold bytes of [low, high)."""
+        return [r for r in range(len(self.cuts) + 1) if self.bytes[r] < high and self.bytes[r + 1] > low]
+
+
+def layout(extents: DataFrame) -> Layout:
+    cuts = ordered.bounds(extents, "ord")
+    held = ordered.dealt(extents, "ord", cuts).groupBy("_range").agg(F.sum("len"), F.count_if(F.col("len") > 0), F.min("ord"), F.max("ord"), F.count("*")).collect()  # a row for each range
+    sums = [[x or 0 for x in b] for b in ordered.before([r[:3] for r in held], ["sum", "sum"], len(cuts) + 1)]
+    return Layout(cuts, [b[0] for b in sums], [b[1] for b in sums], min((r[3] for r in held), default=0), max((r[4] for r in held), default=0), sum(r[5] for r in held))
+
+
+def _ranged(extents: DataFrame, at: Layout, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Adds loff and _rank, the place among extents with bytes, and the range; only ranges that hold bytes of [low, high) where these are given."""
+    if low is not None:
+        reached = at.reached(low, high)
+        if not reached:
+            extents = extents.limit(0)
+        if reached and reached[0]:
+            extents = extents.where(F.col("ord") >= at.cuts[reached[0] - 1])
+        if reached and reached[-1] < len(at.cuts):
+            extents = extents.where(F.col("ord") < at.cuts[reached[-1]])
+    upto = Window.partitionBy("_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ordered.parted(ordered.dealt(extents, "ord", at.cuts), at.cuts)
+    rows = rows.withColumn("_end", F.sum("len").over(upto)).withColumn("_rank", F.sum((F.col("len") > 0).cast("long")).over(upto))
+    begin = F.col("_end") - F.col("len") + ordered.carry(at.bytes[:-1], "long")
+    return rows.withColumn("loff", begin).withColumn("_rank", F.col("_rank") + ordered.carry(at.ranks[:-1], "long")).drop("_end")
+
+
 def placed(extents: DataFrame) -> DataFrame:
     """Adds loff."""
-    out = ordered.running(extents, ["ord"], {"_end": ("sum", "len")})
-    return out.withColumn("loff", F.col("_end") - F.col("len")).drop("_end")
+    return _ranged(extents, layout(extents)).select(*extents.columns, "loff")
 
 
 def size(extents: DataFrame) -> int:
@@ -100,6 +148,16 @@ def query(extents: DataFrame, loff: int, length: int) -> DataFrame:
     return out if end <= size(extents) else out.limit(0)
 
 
+def _found(extents: DataFrame, at: Layout, probes: DataFrame) -> DataFrame:
+    """probes (key, ...) with the extent (loff, len, poff, rank) that begins at or before the byte `key`.
+
+    Extents tile the space, so each range of them begins with an extent at the range's first byte, and a byte's extent lies
+    in the byte's range.
+    """
+    hits = _ranged(extents, at).where("len > 0").select(F.col("loff").alias("key"), F.struct("loff", "len", "poff", F.col("_rank").alias("rank")).alias("hit"))
+    return ordered.nearest(hits, probes, True, False, sorted({b for b in at.bytes[1:-1] if 0 < b < at.total}))
+
+
 def locate(extents: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (loff) with poff of that byte, -1 outside: a backward nearest search over extent starts."""
     key = lambda c: F.lpad(F.hex(c), 16, "0")  # noqa: E731  bytes in the order of the numbers
@@ -125,7 +183,7 @@ def set_tag(extents: DataFrame, loff: int, tag: int) -> DataFrame:
 
 
 def get_tag(extents: DataFrame, loff: int) -> DataFrame:
-    return placed(extents).where((F.col("loff") == loff) & (F.col("tag") != 0)).select("tag")
+    return _ranged(extents, layout(extents), loff, loff + 1).where((F.col("loff") == loff) & (F.col("tag") != 0)).select("tag")
 
 
 def merged(extents: DataFrame, max_extent: int = MAX_EXTENT_BYTES) -> DataFrame:
@@ -133,30 +191,33 @@ def merged(extents: DataFrame, max_extent: int = MAX_EXTENT_BYTES) -> DataFrame:
 
     A run is cut into groups that a maximal extent can hold: by where its bytes fall from the run's begin.
     """
-    cuts = ordered.bounds(extents, "ord")
-    at = placed(extents).withColumn("_range", ordered.range_of(F.col("ord"), cuts)).withColumn("_end", F.col("poff") + F.col("len"))
-    last = at.groupBy("_range").agg(F.max_by("_end", "ord").alias("_last"))
-    spine = extents.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range")).join(last, "_range", "left")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    carried = spine.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    at = at.join(F.broadcast(carried), "_range")
-    previous = F.coalesce(F.lag("_end").over(Window.partitionBy("_range").orderBy("ord")), "_carried")
+    at = layout(extents)
+    n = len(at.cuts) + 1
+    ends = {r[0]: r[1] for r in ordered.dealt(extents, "ord", at.cuts).groupBy("_range").agg(F.max_by(F.col("poff") + F.col("len"), "ord")).collect()}  # a row for each range
+    last = [None]
+    for r in range(n - 1):
+        last.append(ends.get(r, last[-1]))
+    inside = Window.partitionBy("_part").orderBy("ord")
+    rows = _ranged(extents, at).withColumn("_end", F.col("poff") + F.col("len"))
+    previous = F.coalesce(F.lag("_end").over(inside), ordered.carry(last, "long"))
     joins = F.coalesce((F.col("tag") == 0) & (F.col("poff") < HOLE) & (previous == F.col("poff")), F.lit(False))
-    at = at.withColumn("_new", F.when(joins, 0).otherwise(1).cast("long")).withColumn("_begin", F.when(F.col("_new") == 1, F.col("loff")))
-    runs = ordered.running(at.drop("_range"), ["ord"], {"_run": ("sum", "_new"), "_start": ("max", "_begin")})
+    rows = rows.withColumn("_new", F.when(joins, 0).otherwise(1).cast("long")).withColumn("_begin", F.when(F.col("_new") == 1, F.col("loff")))
+    held = ordered.before(rows.groupBy("_range").agg(F.sum("_new"), F.max("_begin")).collect(), ["sum", "max"], n)[:-1]  # a row for each range
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("_run", F.sum("_new").over(upto) + ordered.carry([b[0] or 0 for b in held], "long"))
+    runs = runs.withColumn("_start", F.greatest(F.max("_begin").over(upto), ordered.carry([b[1] for b in held], "long")))
     runs = runs.withColumn("_group", F.floor((F.col("loff") + F.col("len") - F.col("_start") - 1) / max_extent))
     return runs.groupBy("_run", "_group").agg(F.min("ord").alias("ord"), F.sum("len").alias("len"), F.min_by("poff", "ord").alias("poff"), F.min_by("tag", "ord").alias("tag"), F.count("*").alias("parts")).drop("_run", "_group")
 
 
 def fragments(extents: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (id, loff, length) with the number of pieces and bytes each reads: from the ranks of its first and last extent."""
-    key = lambda c: F.lpad(F.hex(c), 16, "0")
-    ranked = ordered.rank(placed(extents), ["ord"])
-    hits = ranked.select(key(F.col("loff")).alias("key"), F.struct("rank", "loff", "len").alias("hit"))
-    one = ordered.nearest(hits, ranges.select("id", "loff", "length", key(F.col("loff")).alias("key")), True, False)
-    two = ordered.nearest(hits, ranges.select("id", key(F.col("loff") + F.col("length") - 1).alias("key")), True, False)
-    both = one.select("id", "loff", "length", F.col("hit.rank").alias("r1")).join(two.select("id", F.col("hit.rank").alias("r2"), (F.col("hit.loff") + F.col("hit.len")).alias("end")), "id")
-    return both.where("loff + length <= end").select("id", (F.col("r2") - F.col("r1") + 1).alias("pieces"), F.col("length").alias("bytes"))
+    at = layout(extents)
+    inside = ranges.where((F.col("loff") >= 0) & (F.col("length") > 0) & (F.col("loff") + F.col("length") <= at.total))
+    ends = F.explode(F.array(F.col("loff").cast("long"), (F.col("loff") + F.col("length") - 1).cast("long"))).alias("key")
+    found = _found(extents, at, inside.select("id", "length", ends))
+    pieces = (F.max("hit.rank") - F.min("hit.rank") + 1).alias("pieces")
+    return found.groupBy("id").agg(pieces, F.max("length").alias("bytes"))
 
 
 @dataclass

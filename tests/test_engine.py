@@ -278,3 +278,28 @@ def test_an_appended_row_is_one_extent_over_borders(spark, tmp_path):
 def test_a_cursor_over_a_space_of_several_cells(spark):
     folder = "/root/testdata/sf0.1"
     assert compare.difference(catalog.QUERIES["space_cursor"](spark, folder), catalog.ORACLES["space_cursor"], folder) == ""
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_by_bisection_are_dealt_evenly(spark):
+    rng = random.Random(11)
+    cuts = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(40)})
+    rows = [(rng.randrange(10), rng.randrange(10)) for _ in range(300)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for got in (ordered.dealt(df, ["a", "b"], cuts).collect(), ordered.dealt(df, "a", [c[0] for c in cuts]).collect()):
+        assert len(got) == 301
+    assert all(r._range == (0 if r.a is None else sum(c <= (r.a, r.b) for c in cuts)) for r in ordered.dealt(df, ["a", "b"], cuts).collect())
+    assert all(r._range == (0 if r.a is None else sum(c[0] <= r.a for c in cuts)) for r in ordered.dealt(df, "a", [c[0] for c in cuts]).collect())
+    names = ordered._names(12, 4)
+    hashed = [r.p for r in spark.createDataFrame([(n,) for n in names], "n int").select(F.pmod(F.hash("n"), F.lit(4)).alias("p")).collect()]
+    assert len(set(names)) == 12 and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
+
+
+@pytest.mark.parametrize("name", ["space_read_frag"])
+def test_lines_are_sorted_once(spark, name):
+    """What follows the order of the lines reads it from files; before, each step sorted all lines again."""
+    df = catalog.QUERIES[name](spark, SMALL)
+    assert "l_linenumber" not in plan_of(df) and compare.difference(df, catalog.ORACLES[name], SMALL) == ""
