@@ -78,6 +78,38 @@ def size(extents: DataFrame) -> int:
     return extents.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
 
 
+def _covering(extents: DataFrame, at: Layout, loff: int):
+    """The extent that holds the byte at loff, or None; from the range it lies in."""
+    rows = _ranged(extents, at, loff, loff + 1).where((F.col("loff") <= loff) & (F.col("loff") + F.col("len") > loff)).collect()  # one at most
+    return rows[0] if rows else None
+
+
+def _later(poff: int, n: int) -> int:
+    """Where an extent's bytes from the n-th on lie; a hole has no place."""
+    return poff if poff >= HOLE else poff + n
+
+
+def _spliced(extents: DataFrame, at: Layout, first: int | None, last: int | None, place: int, new: list[tuple], gone: int) -> DataFrame:
+    """Extents with those from ordinal `first` to `last` (None: the end) replaced by a few new ones (len, poff, tag), numbered anew.
+
+    place is the first new one's ordinal, gone the number of those replaced. Where ordinals are places already, no row has
+    to meet another.
+    """
+    rows = extents.select("ord", "len", "poff", "tag").where("len > 0")
+    number = F.col("ord")
+    if not at.dense:
+        rows = _ranged(extents, at).where("len > 0").select("ord", "len", "poff", "tag", "_rank")
+        number = F.col("_rank")
+    if first is not None:
+        behind = F.lit(False) if last is None else F.col("ord") > last
+        rows = rows.where((F.col("ord") < first) | behind)
+        number = number + F.when(behind, len(new) - gone).otherwise(0)
+    rows = rows.select(number.cast("long").alias("ord"), "len", "poff", "tag")
+    if not new:
+        return rows
+    return rows.union(extents.sparkSession.createDataFrame([(place + i, *e) for i, e in enumerate(new)], "ord long, len long, poff long, tag int"))
+
+
 def _renumbered(pieces: DataFrame) -> DataFrame:
     """Pieces (ord, part, len, poff, tag) as extents with new ordinals."""
     w = ordered.rank(pieces.where("len > 0").withColumn("_k", F.col("ord") * 4 + F.col("part")), ["_k"], out="_r")
@@ -90,31 +122,20 @@ def insert(extents: DataFrame, loff: int, poff: int, length: int, tag: int = 0,
         raise KVError("the extent is too long")
     if length == 0:
         return extents
-    at = placed(extents)
-    total, last = extents.agg(F.coalesce(F.sum("len"), F.lit(0)), F.coalesce(F.max("ord"), F.lit(0))).first()
-    spark = extents.sparkSession
-    if loff >= total:
-        gap, rows, n = loff - total, [], 0
+    at = layout(extents)
+    if loff >= at.total:
+        gap, rows, n = loff - at.total, [], 0
         while gap > 0:
             n += 1
-            rows.append((last + n, min(gap, max_extent), HOLE, 0))
+            rows.append((at.last + n, min(gap, max_extent), HOLE, 0))
             gap -= max_extent
-        rows.append((last + n + 1, length, poff, tag))
-        return extents.select("ord", "len", "poff", "tag").union(spark.createDataFrame(rows, "ord long, len long, poff long, tag int"))
-    inside = (F.col("loff") < loff) & (F.col("loff") + F.col("len") > loff)
-    head = loff - F.col("loff")
-    pieces = F.when(
-        inside,
-        F.array(
-            F.struct(F.lit(0).alias("part"), head.cast("long").alias("len"), F.col("poff"), F.col("tag")),
-            F.struct(F.lit(2).alias("part"), (F.col("len") - head).cast("long").alias("len"), (F.col("poff") + F.when(F.col("poff") >= HOLE, 0).otherwise(head)).alias("poff"), F.lit(0).alias("tag")),
-        ),
-    ).otherwise(F.array(F.struct(F.when(F.col("loff") >= loff, 2).otherwise(0).alias("part"), F.col("len"), F.col("poff"), F.col("tag"))))
-    split = at.select("ord", F.explode(pieces).alias("x")).select("ord", "x.*")
-    # the new extent stands between the covering extent's parts, or right before the first extent at or after loff
-    anchor = at.where(F.col("loff") + F.col("len") > loff).agg(F.min("ord")).first()[0]
-    new = spark.createDataFrame([(anchor, 1, length, poff, tag)], "ord long, part int, len long, poff long, tag int")
-    return _renumbered(split.union(new))
+        rows.append((at.last + n + 1, length, poff, tag))
+        return extents.select("ord", "len", "poff", "tag").union(extents.sparkSession.createDataFrame(rows, "ord long, len long, poff long, tag int"))
+    c = _covering(extents, at, loff)
+    head = loff - c.loff
+    left = [(head, c.poff, c.tag)] if head else []
+    right = (c.len - head, _later(c.poff, head), 0 if head else c.tag)
+    return _spliced(extents, at, c.ord, c.ord, c._rank, [*left, (length, poff, tag), right], 1)
 
 
 def delete(extents: DataFrame, loff: int, length: int) -> DataFrame:
