@@ -190,17 +190,13 @@ def locate(extents: DataFrame, probes: DataFrame) -> DataFrame:
 
 def set_tag(extents: DataFrame, loff: int, tag: int) -> DataFrame:
     """Tags the extent that begins at loff, splitting the one that covers it."""
-    at = placed(extents)
-    inside = (F.col("loff") < loff) & (F.col("loff") + F.col("len") > loff)
-    head = (loff - F.col("loff")).cast("long")
-    pieces = F.when(
-        inside,
-        F.array(
-            F.struct(F.lit(0).alias("part"), head.alias("len"), F.col("poff"), F.col("tag")),
-            F.struct(F.lit(1).alias("part"), (F.col("len") - head).alias("len"), (F.col("poff") + head).alias("poff"), F.lit(tag).alias("tag")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("len"), F.col("poff"), F.when(F.col("loff") == loff, tag).otherwise(F.col("tag")).cast("int").alias("tag"))))
-    return _renumbered(at.select("ord", F.explode(pieces).alias("x")).select("ord", "x.*"))
+    at = layout(extents)
+    c = _covering(extents, at, loff)
+    if c is None:
+        return _spliced(extents, at, None, None, 0, [], 0)
+    head = loff - c.loff
+    left = [(head, c.poff, c.tag)] if head else []
+    return _spliced(extents, at, c.ord, c.ord, c._rank, [*left, (c.len - head, _later(c.poff, head), tag)], 1)
 
 
 def get_tag(extents: DataFrame, loff: int) -> DataFrame:
