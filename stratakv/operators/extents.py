@@ -110,12 +110,6 @@ def _spliced(extents: DataFrame, at: Layout, first: int | None, last: int | None
     return rows.union(extents.sparkSession.createDataFrame([(place + i, *e) for i, e in enumerate(new)], "ord long, len long, poff long, tag int"))
 
 
-def _renumbered(pieces: DataFrame) -> DataFrame:
-    """Pieces (ord, part, len, poff, tag) as extents with new ordinals."""
-    w = ordered.rank(pieces.where("len > 0").withColumn("_k", F.col("ord") * 4 + F.col("part")), ["_k"], out="_r")
-    return w.select(F.col("_r").alias("ord"), "len", "poff", "tag")
-
-
 def insert(extents: DataFrame, loff: int, poff: int, length: int, tag: int = 0, max_extent: int = MAX_EXTENT_BYTES) -> DataFrame:
     """Puts an extent at loff: the one that covers loff is split, later ones move right; beyond the end a hole fills the gap."""
     if length > max_extent or length < 0:
@@ -140,18 +134,16 @@ def insert(extents: DataFrame, loff: int, poff: int, length: int, tag: int = 0,
 
 def delete(extents: DataFrame, loff: int, length: int) -> DataFrame:
     """Removes [loff, loff + length); what follows moves left. An extent trimmed at its front loses its tag."""
-    if loff < 0 or length < 0 or loff + length > size(extents):
-        raise KVError("the range is outside the space")
+    at = layout(extents)
     end = loff + length
-    left = F.greatest(F.least(F.col("len"), loff - F.col("loff")), F.lit(0)).cast("long")
-    right = F.greatest(F.least(F.col("len"), F.col("loff") + F.col("len") - end), F.lit(0)).cast("long")
-    whole = right == F.col("len")
-    pieces = F.array(
-        F.struct(F.lit(0).alias("part"), F.when(whole, F.lit(0)).otherwise(left).cast("long").alias("len"), F.col("poff"), F.col("tag")),
-        F.struct(F.lit(1).alias("part"), right.alias("len"), (F.col("poff") + F.when(F.col("poff") >= HOLE, 0).otherwise(F.col("len") - right)).alias("poff"), F.when(whole, F.col("tag")).otherwise(0).cast("int").alias("tag")),
-    )
-    # an extent before the range keeps its left piece whole, one after it its right piece
-    return _renumbered(placed(extents).select("ord", F.explode(pieces).alias("x")).select("ord", "x.*"))
+    if loff < 0 or length < 0 or end > at.total:
+        raise KVError("the range is outside the space")
+    a, b = _covering(extents, at, loff), _covering(extents, at, end)
+    if a is None:
+        return _spliced(extents, at, None, None, 0, [], 0)
+    left = [(loff - a.loff, a.poff, a.tag)] if loff > a.loff else []
+    right = [(b.loff + b.len - end, _later(b.poff, end - b.loff), 0 if end > b.loff else b.tag)] if b else []
+    return _spliced(extents, at, a.ord, b.ord if b else None, a._rank, [*left, *right], b._rank - a._rank + 1 if b else 0)
 
 
 def delete_byte(extents: DataFrame, loff: int) -> DataFrame:

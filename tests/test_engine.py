@@ -298,13 +298,45 @@ def test_ranges_by_bisection_are_dealt_evenly(spark):
     assert len(set(names)) == 12 and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
 
 
-@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff"])
+@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete"])
 def test_lines_are_sorted_once(spark, name):
     """What follows the order of the lines reads it from files; before, each step sorted all lines again."""
     df = catalog.QUERIES[name](spark, SMALL)
     assert "l_linenumber" not in plan_of(df) and compare.difference(df, catalog.ORACLES[name], SMALL) == ""
 
 
+def test_edits_and_queries_of_extents_with_gaps_and_empty_ones(spark):
+    """Ordinals with gaps and extents without bytes, over several ranges, against a list."""
+    rng = random.Random(12)
+    rows = [(3 * i + 5, rng.choice([0, 1, 7, 30]), extents.HOLE if i % 11 == 3 else 100_000 + 64 * i, i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "ord long, len long, poff long, tag int").repartition(5)
+    tree = lambda: extents.Tree([[n, p, t] for _, n, p, t in rows if n])
+    total = tree().total
+    same = lambda got, want: [list(r) for r in got.orderBy("ord").select("ord", "len", "poff", "tag").collect()] == [[i, *e] for i, e in enumerate(want.extents, 1)]
+    for at, n in ((0, 1), (total // 2, 93), (total - 5, 5), (0, total), (rng.randrange(total - 400), 400), (total, 0)):
+        t = tree()
+        t.delete(at, n)
+        assert same(extents.delete(df, at, n), t)
+    for at in (0, 1, total // 3, total - 1):
+        t = tree()
+        t.insert(at, 77, 12, 3)
+        assert same(extents.insert(df, at, 77, 12, 3), t)
+        t = tree()
+        t.set_tag(at, 9)
+        assert same(extents.set_tag(df, at, 9), t) and extents.get_tag(extents.set_tag(df, at, 9), at).first().tag == 9
+    probes = spark.createDataFrame([(i,) for i in range(-3, total + 4, 5)], "loff long")
+    assert all(r.poff == (tree().locate(r.loff) if r.loff >= 0 else -1) for r in extents.locate(df, probes).collect())
+    cut = extents.query(df, total // 2, 200).collect()
+    assert sum(r.len for r in cut) == 200 and extents.query(df, total - 1, 2).count() == 0
+
+
+def test_an_edit_of_numbered_extents_moves_no_row(spark):
+    df = spark.range(1, 2001).select(F.col("id").alias("ord"), F.lit(10).cast("long").alias("len"), (F.col("id") * 64).alias("poff"), F.lit(0).alias("tag"))
+    for out in (extents.insert(df, 5003, 7, 20), extents.delete(df, 5003, 707), extents.delete_byte(df, 5003), extents.set_tag(df, 5003, 9)):
+        plan = plan_of(out)
+        assert "Window" not in plan and "Sort" not in plan and "Repartition" not in plan
+
+
 def test_two_trees_are_compared_in_one_aggregation(spark):
     a = spark.createDataFrame([(1, 5, 0, 0), (2, 0, 9, 0), (3, 0, 9, 0), (4, 6, 64, 1)], "ord long, len long, poff long, tag int")
     b = spark.createDataFrame([(1, 5, 0, 0), (2, 6, 64, 2)], "ord long, len long, poff long, tag int")
