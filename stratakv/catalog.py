@@ -295,7 +295,8 @@ st as (select batch_id, cast(1 as bigint) as s from (select distinct batch_id fr
 
 @query("batch_sub_batches", _SUB + "select p.batch_id, p.pos, p.key, (select count(*) from st where st.batch_id = p.batch_id and st.s <= p.n) - 1 as sub_batch from p")
 def batch_sub_batches(spark, d):
-    return batch.sub_batches(logs.line(spark, d)).select("batch_id", "pos", "key", "sub_batch")
+    ops = files.kept(logs.line(spark, d).select("batch_id", "pos", "key"), "ops")
+    return batch.sub_batches(ops).select("batch_id", "pos", "key", "sub_batch")
 
 
 @query("batch_hlc_interval", _SUB + ", t as (select batch_id, s, row_number() over (order by batch_id, s) as i, ((batch_id + 1) * 65536000) as pt from st), h as (select batch_id, i + max(pt - i) over (order by i) as hlc from t) select batch_id, min(hlc) as begin, max(hlc) + 1 as endx from h group by batch_id")

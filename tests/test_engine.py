@@ -298,7 +298,7 @@ def test_ranges_by_bisection_are_dealt_evenly(spark):
     assert len(set(names)) == 12 and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
 
 
-@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete", "extent_pdelete"])
+@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete", "extent_pdelete", "batch_sub_batches"])
 def test_lines_are_sorted_once(spark, name):
     """What follows the order of the lines reads it from files; before, each step sorted all lines again."""
     df = catalog.QUERIES[name](spark, SMALL)
@@ -343,3 +343,20 @@ def test_two_trees_are_compared_in_one_aggregation(spark):
     out = space.difference(a, b)
     assert plan_of(out).count("Aggregate [") == 1
     assert sorted(map(tuple, out.collect())) == [("a", 5, 0, 9, 0), ("a", 5, 0, 9, 0), ("a", 5, 6, 64, 1), ("b", 5, 6, 64, 2)]
+
+
+def test_sub_batches_are_walked_without_a_batch_in_memory(spark):
+    rng = random.Random(13)
+    ops = [(b, 7 * i, rng.choice([None, *range(1 + 9 * b)])) for b in range(-1, 4) for i in range(250)]
+    df = spark.createDataFrame([(b, p, None if k is None else f"k{k}") for b, p, k in ops], "batch_id long, pos long, key string").repartition(6)
+    want, seen, number, batch_id = {}, set(), 0, None
+    for b, p, k in ops:
+        if b != batch_id:
+            seen, number, batch_id = set(), 0, b
+        if k in seen:
+            seen, number = set(), number + 1
+        seen.add(k)
+        want[b, p] = number
+    got = batch.sub_batches(df)
+    assert "FlatMapGroupsInPandas" not in plan_of(got) and "MapInPandas" in plan_of(batch.starts(df))
+    assert {(r.batch_id, r.pos): r.sub_batch for r in got.collect()} == want
