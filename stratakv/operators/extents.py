@@ -173,9 +173,7 @@ def _found(extents: DataFrame, at: Layout, probes: DataFrame) -> DataFrame:
 
 def locate(extents: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (loff) with poff of that byte, -1 outside: a backward nearest search over extent starts."""
-    key = lambda c: F.lpad(F.hex(c), 16, "0")  # noqa: E731  bytes in the order of the numbers
-    hits = placed(extents).where("len > 0").select(key(F.col("loff")).alias("key"), F.struct("loff", "len", "poff").alias("hit"))
-    found = ordered.nearest(hits, probes.withColumn("key", key(F.col("loff"))), True, False)
+    found = _found(extents, layout(extents), probes.withColumn("key", F.col("loff").cast("long")))
     inside = F.col("loff") < F.col("hit.loff") + F.col("hit.len")
     return found.select("loff", F.when(inside, F.col("hit.poff") + F.col("loff") - F.col("hit.loff")).otherwise(-1).alias("poff"))
 
