@@ -188,8 +188,8 @@ def scan_take_while(spark, d):
 
 @query("scan_short_50", OR + ", r as (select *, row_number() over (order by key) as rank from live), s as (select key as probe, rank from r where seq % 10 = 0) select s.probe, cast(r.rank - s.rank as int) as step, r.key, r.value from s join r on r.rank between s.rank and s.rank + 49")
 def scan_short_50(spark, d):
-    live = visible.live(logs.orders(spark, d)).select("key", "value", "seq")
-    return scan.short_scans(live, live.where("seq % 10 = 0").select("key"), 50).select("probe", F.col("step").cast("int").alias("step"), "key", "value")
+    live = files.kept(ordered.rank(visible.live(logs.orders(spark, d)).select("key", "value", "seq"), ["key"]), "ranked")
+    return scan.short_scans(live.drop("seq"), live.where("seq % 10 = 0").select("key"), 50).select("probe", F.col("step").cast("int").alias("step"), "key", "value")
 
 
 @query("iter_next_prev", EV + "select row_number() over (order by key) as rank, key, lag(key) over (order by key) as prev_key, lead(key) over (order by key) as next_key from live")

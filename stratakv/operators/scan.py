@@ -52,13 +52,29 @@ def neighbours(live: DataFrame) -> DataFrame:
     return rows.where("rank is not null").select(*ranked.columns, "prev_key", "next_key")
 
 
+#: Rows that a block of a short scan holds at most.
+SCAN_BLOCK = 64
+
+
 def short_scans(live: DataFrame, probes: DataFrame, n: int) -> DataFrame:
-    """For each probe (key, ...): the first n rows at or above it, by rank: the start's rank plus 0..n-1."""
-    ranked = ordered.rank(live, ["key"])
+    """For each probe (key, ...): the first n rows at or above it, by rank: the start's rank plus 0..n-1.
+
+    live may come with its ranks. Rows are met in blocks of neighbours, so that a probe is joined with the few blocks that
+    hold its rows, not with each of them.
+    """
+    ranked = live if "rank" in live.columns else ordered.rank(live, ["key"])
+    size = min(n, SCAN_BLOCK)
     hits = ranked.select("key", F.struct("rank").alias("hit"))
-    start = ordered.nearest(hits, probes.withColumnRenamed("key", "key"), False, False)
-    steps = start.where("hit is not null").select(F.col("key").alias("probe"), *[c for c in probes.columns if c != "key"], F.col("hit.rank").alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
-    return steps.join(ranked, F.col("rank") == F.col("_start") + F.col("step")).drop("_start", "rank")
+    start = ordered.nearest(hits, probes, False, False).where("hit is not null")
+    block = lambda rank: F.floor((rank - 1) / size).cast("long")
+    rows = F.array_sort(F.collect_list(F.struct("rank", *[c for c in ranked.columns if c != "rank"]))).alias("_rows")
+    blocks = ranked.groupBy(block(F.col("rank")).alias("_block")).agg(rows)
+    first = F.col("hit.rank")
+    asked = start.select(F.col("key").alias("probe"), *[c for c in probes.columns if c != "key"], first.alias("_start"), F.explode(F.sequence(block(first), block(first + n - 1))).alias("_block"))
+    at = F.col("_start") - F.col("_block") * size  # the start's place in the block, from 1
+    low, high = F.greatest(at, F.lit(1)), F.least(at + n - 1, F.lit(size))
+    met = asked.join(blocks, "_block").select(*[c for c in asked.columns if c != "_block"], F.explode(F.slice("_rows", low.cast("int"), (high - low + 1).cast("int"))).alias("_row"))
+    return met.select("probe", *[c for c in probes.columns if c != "key"], (F.col("_row.rank") - F.col("_start")).cast("int").alias("step"), *[f"_row.{c}" for c in ranked.columns if c != "rank"])
 
 
 def cursor(df: DataFrame):

@@ -360,3 +360,13 @@ def test_sub_batches_are_walked_without_a_batch_in_memory(spark):
     got = batch.sub_batches(df)
     assert "FlatMapGroupsInPandas" not in plan_of(got) and "MapInPandas" in plan_of(batch.starts(df))
     assert {(r.batch_id, r.pos): r.sub_batch for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 64, 150])
+def test_short_scans_meet_blocks(spark, n):
+    live = relation(spark, [(f"{i:04d}", f"v{i}") for i in range(0, 500, 2)]).select("key", "value")
+    probes = spark.createDataFrame([(f"{i:04d}", i) for i in (0, 1, 7, 100, 377, 498, 499)], "key string, id long")
+    out = scan.short_scans(live, probes, n)
+    assert "_block" in plan_of(out)
+    want = {(f"{p:04d}", p, j, f"{i:04d}", f"v{i}") for p in (0, 1, 7, 100, 377, 498, 499) for j, i in enumerate(range(p + p % 2, 500, 2)) if j < n}
+    assert {(r.probe, r.id, r.step, r.key, r.value) for r in out.collect()} == want
