@@ -301,8 +301,9 @@ def batch_sub_batches(spark, d):
 
 @query("batch_hlc_interval", _SUB + ", t as (select batch_id, s, row_number() over (order by batch_id, s) as i, ((batch_id + 1) * 65536000) as pt from st), h as (select batch_id, i + max(pt - i) over (order by i) as hlc from t) select batch_id, min(hlc) as begin, max(hlc) + 1 as endx from h group by batch_id")
 def batch_hlc_interval(spark, d):
-    ops = logs.line(spark, d).withColumn("pt", (F.col("batch_id") + 1) * 65536000)
-    return batch.intervals(batch.stamped(ops, "pt", start=0))
+    ops = files.kept(logs.line(spark, d).select("batch_id", "pos", "key"), "ops")
+    ops = batch.sub_batches(ops).withColumn("pt", (F.col("batch_id") + 1) * 65536000)
+    return batch.intervals(batch.ticks(ops, "pt", start=0))
 
 
 @query("hlc_local", O.with_("e as (select event_id, row_number() over (order by event_id) as n, ((epoch_us(ts) * 1000 + 65535) // 65536) * 65536 as pt from events), f as (select event_id, n, pt as hlc from e where n = 1 union all select e.event_id, e.n, greatest(e.pt, f.hlc + 1) from f join e on e.n = f.n + 1)", recursive=True) + "select event_id, hlc from f")
