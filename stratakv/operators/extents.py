@@ -152,13 +152,13 @@ def delete_byte(extents: DataFrame, loff: int) -> DataFrame:
 
 def query(extents: DataFrame, loff: int, length: int) -> DataFrame:
     """The physical pieces of [loff, loff + length) in order; no rows when it is out of range."""
-    at = placed(extents)
+    at = layout(extents)
     end = loff + length
-    rows = at.where((F.col("loff") < end) & (F.col("loff") + F.col("len") > loff))
+    rows = _ranged(extents, at, loff, max(end, loff + 1)).where((F.col("loff") < end) & (F.col("loff") + F.col("len") > loff))
     from_ = F.greatest(F.col("loff"), F.lit(loff))
     to = F.least(F.col("loff") + F.col("len"), F.lit(end))
     out = rows.select("ord", (F.col("poff") + from_ - F.col("loff")).alias("poff"), (to - from_).alias("len"))
-    return out if end <= size(extents) else out.limit(0)
+    return out if end <= at.total else out.limit(0)
 
 
 def _found(extents: DataFrame, at: Layout, probes: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def test_ranges_by_bisection_are_dealt_evenly(spark):
     assert len(set(names)) == 12 and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
 
 
-@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete", "extent_pdelete", "batch_sub_batches", "extent_pquery", "batch_hlc_interval", "extent_place"])
+@pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete", "extent_pdelete", "batch_sub_batches", "extent_pquery", "batch_hlc_interval", "extent_place", "extent_query"])
 def test_lines_are_sorted_once(spark, name):
     """What follows the order of the lines reads it from files; before, each step sorted all lines again."""
     df = catalog.QUERIES[name](spark, SMALL)
