@@ -370,3 +370,14 @@ def test_short_scans_meet_blocks(spark, n):
     assert "_block" in plan_of(out)
     want = {(f"{p:04d}", p, j, f"{i:04d}", f"v{i}") for p in (0, 1, 7, 100, 377, 498, 499) for j, i in enumerate(range(p + p % 2, 500, 2)) if j < n}
     assert {(r.probe, r.id, r.step, r.key, r.value) for r in out.collect()} == want
+
+
+def test_ranges_of_a_search_come_from_both_sides(spark, monkeypatch):
+    """All ranges end in the first hundredth of the keys; before, every later key fell into one task's range."""
+    seen, dealt = [], ordered.dealt
+    monkeypatch.setattr(ordered, "dealt", lambda df, columns, cuts, out="_range": seen.append(cuts) or dealt(df, columns, cuts, out))
+    live = relation(spark, [(f"{i:05d}", "") for i in range(10_000)])
+    ranges = spark.createDataFrame([(f"{i:05d}", f"{i + 2:05d}") for i in range(0, 100, 5)], "begin string, end string")
+    got = {r.key for r in mutate.delete_ranges(live, ranges).collect()}
+    assert got == {f"{i:05d}" for i in range(100) if i % 5 < 2}
+    assert max(int(c[-1]) for c in seen) > 6000
