@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratakv import catalog, cli, logs
 from stratakv.functions import clock, generators, scalar
 from stratakv.model import ConflictError, KVError, Mode
-from stratakv.operators import batch, extents, metrics, mutate, scan, search, space
+from stratakv.operators import batch, extents, metrics, mutate, scan, search, space, workload
 from stratakv.plans import ordered, visible
 from stratakv.sources.store import Database
 
@@ -390,3 +390,12 @@ def test_a_clock_of_milliseconds_meets_no_other_row(spark, make):
     assert "Window" not in plan_of(log)
     want = clock.stamp(log.select("seq", clock.physical(F.col("seq") * 1000).alias("pt")), "seq", "pt").select("seq", "hlc")
     assert log.select("seq", "hlc").exceptAll(want).count() == 0 and log.count() == want.count()
+
+
+def test_scans_of_a_mix_need_no_ranks(spark):
+    live = relation(spark, [(f"{i:03d}", "") for i in range(100)])
+    ops = spark.createDataFrame([(f"{i:03d}", "scan") for i in range(0, 120)] + [("x", "set")], "key string, op string")
+    for rows, ok in ((50, 50), (100, 0), (99, 1), (500, 0)):
+        out = workload.run_mix(live, ops, rows)
+        assert "Window" not in plan_of(out) and {r.op: (r.n, r.ok) for r in out.collect()} == {"scan": (120, ok), "set": (1, 1)}
+    assert compare.difference(catalog.QUERIES["ycsb_e"](spark, SMALL), catalog.ORACLES["ycsb_e"], SMALL) == ""
