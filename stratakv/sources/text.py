@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, scalar
 from ..operators import scan
+from ..plans import files
 
 
 def load(spark: SparkSession, path: str, value_is_key: bool = False) -> DataFrame:
@@ -21,7 +22,9 @@ def dump(live: DataFrame) -> DataFrame:
 
 
 def dump_keys(live: DataFrame) -> DataFrame:
-    return scan.ascend(live).select("rank", "key", F.coalesce(scalar.n_bytes(F.col("value")), F.lit(0)).alias("n_bytes"), scalar.digest(F.coalesce("value", F.lit(""))).alias("digest"))
+    """(rank, key, n_bytes, digest). The values are read once: what is ranked is kept as files without them."""
+    rows = live.select("key", F.coalesce(scalar.n_bytes(F.col("value")), F.lit(0)).alias("n_bytes"), scalar.digest(F.coalesce("value", F.lit(""))).alias("digest"))
+    return scan.ascend(files.kept(rows, "keys")).select("rank", "key", "n_bytes", "digest")
 
 
 def dump_times(live: DataFrame) -> DataFrame:

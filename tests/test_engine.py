@@ -399,3 +399,8 @@ def test_scans_of_a_mix_need_no_ranks(spark):
         out = workload.run_mix(live, ops, rows)
         assert "Window" not in plan_of(out) and {r.op: (r.n, r.ok) for r in out.collect()} == {"scan": (120, ok), "set": (1, 1)}
     assert compare.difference(catalog.QUERIES["ycsb_e"](spark, SMALL), catalog.ORACLES["ycsb_e"], SMALL) == ""
+
+
+def test_a_dump_of_keys_reads_values_once(spark):
+    df = catalog.QUERIES["text_dump_keys"](spark, SMALL)
+    assert "max_by" not in plan_of(df) and compare.difference(df, catalog.ORACLES["text_dump_keys"], SMALL) == ""
