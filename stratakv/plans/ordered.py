@@ -61,13 +61,13 @@ def _murmur3(i: int) -> int:
 
 
 def _names(count: int, partitions: int) -> list[int]:
-    """A number for each range, such that hash partitioning deals the ranges evenly."""
+    """A number for each range, such that hash partitioning deals the ranges evenly; they grow, so that sorted rows stay in order."""
     found: list[list[int]] = [[] for _ in range(partitions)]
     rounds, i = -(-count // partitions), 0
     while sum(min(len(f), rounds) for f in found) < rounds * partitions:
         found[_murmur3(i) % partitions].append(i)
         i += 1
-    return [found[r % partitions][r // partitions] for r in range(count)]
+    return sorted(found[r % partitions][r // partitions] for r in range(count))
 
 
 def parted(df: DataFrame, cuts: list) -> DataFrame:

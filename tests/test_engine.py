@@ -295,7 +295,7 @@ def test_ranges_by_bisection_are_dealt_evenly(spark):
     assert all(r._range == (0 if r.a is None else sum(c[0] <= r.a for c in cuts)) for r in ordered.dealt(df, "a", [c[0] for c in cuts]).collect())
     names = ordered._names(12, 4)
     hashed = [r.p for r in spark.createDataFrame([(n,) for n in names], "n int").select(F.pmod(F.hash("n"), F.lit(4)).alias("p")).collect()]
-    assert len(set(names)) == 12 and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
+    assert len(set(names)) == 12 and names == sorted(names) and all(hashed.count(p) == 3 for p in range(4)) and len(set(ordered._names(4, 4))) == 4
 
 
 @pytest.mark.parametrize("name", ["space_read_frag", "extent_insert", "extent_tags", "extent_tree_diff", "extent_delete", "extent_pdelete", "batch_sub_batches", "extent_pquery", "batch_hlc_interval", "extent_place", "extent_query"])
